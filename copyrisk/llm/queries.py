@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, sharding
+from . import boosting, decontaminate, isolation, near_dup, pii, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +21,35 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op2_sharding(_table(spark, sf_dir, "documents"))
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isolation.op4_quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosting.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op9_url_filter(_table(spark, sf_dir, "pages"))
+
+
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": _op1,
         "op2_sharding": _op2,
+        "op4_quality_rules": _op4,
         "op6_minhash_near_dedup": _op6,
+        "op8_quality_classifier": _op8,
+        "op9_url_filter": _op9,
+        "op10_personal_data": _op10,
     }
 
 
