@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosting, decontaminate, isolation, near_dup, pii, sharding, url_filter
+from . import boosting, decontaminate, isolation, near_dup, packing, pii, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op2_sharding(_table(spark, sf_dir, "documents"))
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.op4_quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": _op1,
         "op2_sharding": _op2,
+        "op3_packing": _op3,
         "op4_quality_rules": _op4,
         "op6_minhash_near_dedup": _op6,
         "op8_quality_classifier": _op8,
