@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosting, decontaminate, isolation, near_dup, packing, pii, sharding, url_filter
+from . import boosting, decontaminate, html_text, isolation, near_dup, packing, pii, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": _op3,
         "op4_quality_rules": _op4,
         "op6_minhash_near_dedup": _op6,
+        "op7_html_extraction": _op7,
         "op8_quality_classifier": _op8,
         "op9_url_filter": _op9,
         "op10_personal_data": _op10,
