@@ -15,21 +15,34 @@ from .shingles import MinHasher, mix, shingle_set
 
 #: Bands of rows: two sets of similarity 0.75 share none of the bands with a chance of 6e-6.
 BANDS, ROWS = 32, 4
-#: Bits of an odd sketch.
-BITS = 1024
-#: An estimate may be this far below the threshold before a pair is given up: over five
-#: standard deviations of an estimate from 128 samples near 0.75.
-MARGIN = 0.22
+#: Bits of an odd sketch for each MinHash sample in it.
+BITS = 8
+#: An estimate may be this far below the threshold before a pair is given up, which is over five
+#: standard deviations of an estimate near 0.75: from the samples of all bands, and from FINE
+#: samples, which the few classes of open buckets get.
+MARGIN, FINE, FINE_MARGIN = 0.22, 1024, 0.07
+#: Shingles in at most so many open classes count as rare: classes that share one are compared,
+#: and for all others rare shingles are as good as not shared.
+RARE = 4
 #: A bucket in which more pairs than this are open is first dealt anew by a second band.
 OPEN_PAIRS = 20_000
 #: How often such a bucket may be dealt anew, and by how many other bands each time.
 DEALS, OTHER_BANDS = 2, 16
 
 
-def odd_sketch(samples: np.ndarray) -> bytes:
-    """Parity bitmap of MinHash samples: equal samples of two sets cancel out in the XOR."""
+def odd_sketch(samples: np.ndarray) -> np.ndarray:
+    """Parity bitmap of MinHash samples as longs: equal samples of two sets cancel out in the XOR."""
+    bits = BITS * len(samples)
     slot = mix(samples.astype(np.uint64) | (np.arange(len(samples), dtype=np.uint64) << np.uint64(32))) >> np.uint64(40)
-    return np.packbits((np.bincount((slot % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+    parity = np.bincount((slot % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(bool)).view(np.int64)
+
+
+def sketch_similarity(x: Column, y: Column, samples: int) -> Column:
+    """Similarity that the odd sketches of two sets, each of ``samples`` samples, suggest."""
+    ones = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
+    left = F.greatest(1 - 2 * ones / F.lit(float(BITS * samples)), F.lit(1e-3))
+    return 1 + F.lit(BITS / 4.0) * F.log(left)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -54,87 +67,124 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keys.append(key.view(np.int64))
                 sketches.append(odd_sketch(m))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
             )
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    return src.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
+    return src.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, fine: int = 0) -> DataFrame:
+    """``id, shingles, sketch`` of ``id, raw``; the sketch is of ``fine`` samples, or null."""
+    hasher = MinHasher(fine, 23) if fine else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(raw.as_py()).view(np.int64) for raw in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = [shingle_set(raw.as_py()) for raw in b.column(1)]
+            sketches = [odd_sketch(hasher(s)) if hasher and len(s) else None for s in sets]
+            cols = [pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], sketches)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "shingles", "sketch"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(run, "id long, shingles array<long>, sketch array<long>")
 
 
-def sketch_similarity(x: Column, y: Column, samples: int = BANDS * ROWS, bits: int = BITS) -> Column:
-    """Similarity that two odd sketches (hexadecimal strings' integers, see below) suggest."""
-    ones = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
-    left = F.greatest(1 - 2 * ones / F.lit(float(bits)), F.lit(1e-3))
-    return 1 + F.lit(bits / (4.0 * samples)) * F.log(left)
-
-
-def _as_longs(sketch: Column) -> Column:
-    """The sketch as an array of longs, for XOR and population counts in the JVM."""
-    h = F.hex(sketch)
-    return F.transform(F.sequence(F.lit(0), F.lit(BITS // 32 - 1)), lambda i: F.conv(F.substring(h, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+def _full_sets(ids: DataFrame, texts: DataFrame, name: str, fine: int = 0) -> DataFrame:
+    few, _ = small_or_not(stage_table(ids.distinct(), f"near-{name}-ids"))
+    return stage_table(_sets(texts.join(few, "id").select("id", "raw"), fine).dropDuplicates(["id"]), f"near-{name}-sets")
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, name: str) -> DataFrame:
     """Those of the distinct pairs ``a < b`` whose full shingle sets are similar enough."""
     x, y = (sketches.select(F.col("id").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    likely = pairs.join(x, "a").join(y, "b").filter(sketch_similarity(_as_longs(F.col("sa")), _as_longs(F.col("sb"))) >= threshold - MARGIN)
-    likely = stage_table(likely.select("a", "b"), f"near-{name}")
-    ids, _ = small_or_not(stage_table(likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))).distinct(), f"near-{name}-ids"))
-    sets = stage_table(_sets(texts.join(ids, "id").select("id", "raw")).dropDuplicates(["id"]), f"near-{name}-sets")
+    close = sketch_similarity(F.col("sa"), F.col("sb"), BANDS * ROWS) >= threshold - MARGIN
+    likely = stage_table(pairs.join(x, "a").join(y, "b").filter(close).select("a", "b"), f"near-{name}")
+    sets = _full_sets(likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))), texts, name)
+    return stage_table(_confirmed(likely, sets, threshold), "near-links")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     x, y = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     need = F.lit(100 * threshold) * (F.size("sa") + F.size("sb") - F.col("both"))
-    return likely.join(x, "a").join(y, "b").withColumn("both", both).filter(100 * F.col("both") >= need).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").withColumn("both", both).filter(100 * F.col("both") >= need).select("a", "b")
 
 
-def _open_pairs(rows: DataFrame, band_keys: DataFrame) -> DataFrame:
-    """Pairs of ids that share a bucket and aren't known to be connected.
+def _shares(sets: DataFrame) -> DataFrame:
+    """``id, n, most, usual``: the size of the shingle set, how many of its shingles aren't rare
+    among these sets, and how many sets a shingle of it occurs in on average."""
+    each = sets.select("id", F.explode("shingles").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
+    known = each.join(shared, "s", "left").withColumn("c", F.coalesce("c", F.lit(1))).groupBy("id")
+    return known.agg(F.count("*").alias("n"), F.count_if(F.col("c") > RARE).alias("most"), F.count_if(F.col("c") > 1).alias("some"), F.avg("c").alias("usual"))
 
-    ``rows``: ``key, pos, id, comp``.  Buckets within one component are done.  In the others each
-    row outside the bucket's largest component meets all rows of other components.  Buckets with
-    very many such pairs are dealt anew by each of several other bands, which all but the
-    dissimilar pairs share somewhere; what is still large after that is compared in full.
+
+def _rare_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of ids of different components that share a rare shingle."""
+    each = sets.select("id", F.explode("shingles").alias("s")).join(comps, "id")
+    rare = each.groupBy("s").agg(F.count("*").alias("c"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter((F.col("c") <= RARE) & F.expr("c0 <> c1"))
+    x = each.join(rare.select("s"), "s").select("s", "id", "comp")
+    y = x.select("s", F.col("id").alias("j"), F.col("comp").alias("cj"))
+    return x.join(y, "s").filter("id < j and comp <> cj").select(F.col("id").alias("a"), F.col("j").alias("b")).distinct()
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (``key, id, comp`` and more) of buckets with more than one component."""
+    stat = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+    return rows.join(stat.select("key"), "key", "left_semi")
+
+
+def _open_pairs(rows: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ids that share a bucket, may be similar and aren't known to be connected.
+
+    ``rows``: ``key, pos, id, comp``; ``about``: ``id, n, most, sketch, bands``.  Buckets within
+    one component are done.  In the others each row outside the bucket's largest component meets
+    those rows of other components for which sizes, shingles that aren't rare, and fine sketches
+    allow the threshold.  Buckets with very many such rows are dealt anew by each of several
+    other bands, which all but the dissimilar pairs share somewhere; what is still large after
+    that is compared in full.
     """
     found = None
+    facts = ("n", "most", "sketch")
+    allowed = F.lit(1 + threshold) * F.least("most_i", "most_j") >= F.lit(threshold) * (F.col("n_i") + F.col("n_j"))
+    close = sketch_similarity(F.col("sketch_i"), F.col("sketch_j"), FINE) >= threshold - FINE_MARGIN
     for deal in range(DEALS + 1):
         cells = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        stat = cells.groupBy("key").agg(F.sum("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("big"), F.max("n").alias("most"), F.count("*").alias("comps"))
-        stat = stat.filter("comps > 1").withColumn("hot", F.col("m") * (F.col("m") - F.col("most")) > F.lit(OPEN_PAIRS))
+        stat = cells.groupBy("key").agg(F.sum("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("big"), F.max("n").alias("largest"), F.count("*").alias("comps"))
+        stat = stat.filter("comps > 1").withColumn("hot", F.col("m") * (F.col("m") - F.col("largest")) > F.lit(OPEN_PAIRS))
         rows = stage_table(rows.join(stat.select("key", "big", "hot"), "key"), "near-open")
         last = deal == DEALS
-        direct = rows if last else rows.filter("not hot")
-        x = direct.filter("comp <> big").select("key", F.col("id").alias("i"), F.col("comp").alias("ci"))
-        y = direct.select("key", F.col("id").alias("j"), F.col("comp").alias("cj"))
-        pairs = x.join(y, "key").filter("ci <> cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+        direct = (rows if last else rows.filter("not hot")).join(about.select("id", *facts), "id")
+        x = direct.filter("comp <> big").select("key", F.col("id").alias("i"), F.col("comp").alias("ci"), *(F.col(k).alias(f"{k}_i") for k in facts))
+        y = direct.select("key", F.col("id").alias("j"), F.col("comp").alias("cj"), *(F.col(k).alias(f"{k}_j") for k in facts))
+        met = x.join(y, (x["key"] == y["key"]) & F.expr("ci <> cj") & allowed & close)
+        pairs = met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
         found = pairs if found is None else found.unionAll(pairs)
         if last or (hot := rows.filter("hot")).isEmpty():
             return found.distinct()
         n = F.size("bands")
-        again = hot.select("key", "pos", "id", "comp").join(band_keys, "id").withColumn("step", F.explode(F.sequence(F.lit(1), F.least(F.lit(OTHER_BANDS), n - 1))))
+        again = hot.select("key", "pos", "id", "comp").join(about.select("id", "bands"), "id").withColumn("step", F.explode(F.sequence(F.lit(1), F.least(F.lit(OTHER_BANDS), n - 1))))
         other = ((F.col("pos") + F.col("step")) % n).cast("int")
         rows = stage_table(again.select(F.xxhash64("key", F.get("bands", other)).alias("key"), other.alias("pos"), "id", "comp").distinct(), "near-deal")
     return found
 
 
+def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    comp = stage_table(connected_components(links), "near-comp").select(F.col("node").alias("id"), "component")
+    return rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Texts with equal sets of five-word shingles are one class, known by its least id, so exact
     copies cost one row however many there are.  Classes that share a MinHash band are
     candidates.  Each class is first compared with one partner, the least id that it meets in
-    any bucket; components of the confirmed links leave few buckets open, and only pairs across
-    components of those are compared.  A pair goes to the exact check on full sets if its odd
-    sketches' XOR count allows the threshold.  No bucket or group is capped.
+    any bucket; components of the confirmed links leave few buckets open.  In those, classes
+    most of whose shingles no other open class has are done, as nothing can be similar to them;
+    the rest are compared with the most ordinary class of their buckets, and then only pairs
+    across components remain.  A pair goes to the exact check on full sets if its odd sketches'
+    XOR count allows the threshold.  No bucket or group is capped.
 
     Null and empty texts have no shingles and are linked with nothing; their component is their
     own id.  A null id is ignored in the search for the least id, and its row keeps a null
@@ -153,12 +203,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     sketches = reps.select("id", "sketch")
     first = rows.filter("id <> first").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
-    links = stage_table(_verified(first, sketches, texts, threshold, "first"), "near-links")
-    comp = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    known = rows.join(stage_table(comp, "near-comp"), "id", "left").select("key", "pos", "id", F.coalesce("comp", "id").alias("comp"))
-    rest = stage_table(_open_pairs(known, reps.select("id", "bands")), "near-pairs")
-    if not rest.isEmpty():
-        links = links.unionAll(stage_table(_verified(rest, sketches, texts, threshold, "rest"), "near-links"))
+    links = _verified(first, sketches, texts, threshold, "first")
+    rows = stage_table(_open(_with_components(rows.drop("first"), links)), "near-open1")
+    if not rows.isEmpty():
+        sets = _full_sets(rows.select("id"), texts, "open", FINE)
+        shares = stage_table(_shares(sets).filter(F.col("some") >= F.lit(threshold) * F.col("n")), "near-shares")
+        rows = stage_table(rows.join(shares, "id").select("key", "pos", "id", "comp", "usual"), "near-able")
+        plain = rows.groupBy("key").agg(F.max(F.struct("usual", "id", "comp")).alias("p"))
+        star = rows.join(plain, "key").filter("comp <> p.comp").groupBy("id").agg(F.max("p").alias("p"))
+        star = star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+        links = links.unionAll(stage_table(_confirmed(star, sets, threshold), "near-links"))
+        rows = stage_table(_with_components(rows.drop("comp"), links), "near-joined")
+        able = sets.join(shares, "id")
+        about = stage_table(able.select("id", "n", "most", "sketch").join(reps.select("id", "bands"), "id"), "near-about")
+        rest = _open_pairs(rows, about, threshold).unionAll(_rare_pairs(able.select("id", "shingles"), rows.select("id", "comp").distinct())).distinct()
+        links = links.unionAll(stage_table(_confirmed(stage_table(rest, "near-pairs"), sets, threshold), "near-links"))
     comp = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
     of_set = classes.join(comp, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "id").alias("comp"))
     out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b", "n_shingles"], "left")
