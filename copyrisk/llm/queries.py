@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosting, decontaminate, html_text, isolation, near_dup, packing, pii, sharding, url_filter
+from . import boosting, decontaminate, html_text, isolation, near_dup, packing, pii, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.op4_quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": _op2,
         "op3_packing": _op3,
         "op4_quality_rules": _op4,
+        "op5_suffix_array_dedup": _op5,
         "op6_minhash_near_dedup": _op6,
         "op7_html_extraction": _op7,
         "op8_quality_classifier": _op8,
