@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spans import once
 from ..operators import agencies, evaluation, flags, replay
 from ..rules import all_rules, core_rules
 from . import copy_text
@@ -34,8 +35,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def copy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy, dealt over all cores: a split of the narrow orders makes many texts to match."""
     o, c, n = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    j = j.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     return j.select(*[F.expr(x).alias(k) for k, x in copy_text.COLUMNS.items()])
 
 
@@ -52,7 +55,7 @@ def flags_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flag_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = copy_docs(spark, sf_dir).select("doc_id", flags.candidates(F.col("text"), core_rules()).alias("flags"))
+    d = copy_docs(spark, sf_dir).select("doc_id", once(flags.candidates(F.col("text"), core_rules())).alias("flags"))
     return flags.explode_flags(d).groupBy("seq", "flag_type").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
 
 

@@ -118,7 +118,8 @@ def causal_rules() -> list[Rule]:
 
 def certainty_rules() -> list[Rule]:
     """Rule 200: certainty verbs, unless an article or a possessive makes a noun of them."""
-    guard = r"(?<!\b(?:the|a|an|this|that|any|no|by|tv|his|her|its|their|our|my|your)\s)"
+    nouns = ["the", "a", "an", "this", "that", "any", "no", "by", "tv", "his", "her", "its", "their", "our", "my", "your"]
+    guard = "".join(rf"(?<!\b{w}\s)" for w in nouns)
     return [Rule(200, "certainty_language", "Medium", v.REASONS["certainty"], rf"{guard}\b{_any(v.CERTAINTY)}\b")]
 
 
