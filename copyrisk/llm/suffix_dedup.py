@@ -27,17 +27,21 @@ _TABLE = np.random.default_rng(19).integers(0, 1 << 63, 256, dtype=np.uint64)
 _STEPS = np.random.default_rng(23).integers(0, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 
 
-def fingerprints(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """For each start of a ``length``-byte string, the least hash of the ``gram``-byte strings in it.
-
-    Equal strings have equal fingerprints, whatever stands around them.  ``gram``: a power of two.
-    """
+def gram_hashes(raw: bytes, gram: int = GRAM) -> np.ndarray:
+    """Hashes of the ``gram``-byte strings of a text.  ``gram``: a power of two."""
     h = _TABLE[np.frombuffer(raw, np.uint8)]
     size = 1
     while size < gram:
         h = h[:-size] * _STEPS[size.bit_length() - 1] + h[size:]
         size *= 2
-    h = mix(h)
+    return mix(h)
+
+
+def fingerprints(h: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """For each start of a ``length``-byte string, the least hash of the ``gram``-byte strings in it.
+
+    Equal strings have equal fingerprints, whatever stands around them.  ``h``: of :func:`gram_hashes`.
+    """
     width, size = length - gram + 1, 1
     while size * 2 <= width:
         h = np.minimum(h[:-size], h[size:])
@@ -46,12 +50,14 @@ def fingerprints(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarr
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def segments(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts with one fingerprint: fingerprints, first starts, hashes of the bytes.
+def segments(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of string starts with one fingerprint: fingerprints, first starts, hashes of the bytes,
+    and whether the text has the fingerprint's gram twice, as where strings of one run are equal.
 
     A run's bytes reach from its first start to the end of the string at its last one.
     """
-    fp = fingerprints(raw, length)
+    h = gram_hashes(raw)
+    fp = fingerprints(h, length)
     new = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
     ends = np.append(new[1:], len(fp))
     if (ends - new).max() > RUN:  # periodic text: cut long runs
@@ -59,7 +65,8 @@ def segments(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
         ends = np.append(new[1:], len(fp))
     view = memoryview(raw)
     digest = np.array([xxhash.xxh3_64_intdigest(view[a : b + length - 1]) for a, b in zip(new.tolist(), ends.tolist())], np.uint64)
-    return fp[new], new, digest
+    known, times = np.unique(h, return_counts=True)
+    return fp[new], new, digest, times[np.searchsorted(known, fp[new])] > 1
 
 
 def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -181,16 +188,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
         for b in batches:
             cols = [segments(x.as_py(), length) for x in b.column(2)]
             lists = [pa.array([c[i].view(np.int64) if i != 1 else c[i].astype(np.int32) for c in cols], pa.list_(pa.int32() if i == 1 else pa.int64())) for i in range(3)]
+            lists.append(pa.array([c[3] for c in cols], pa.list_(pa.bool_())))
             last = pa.array([len(x.as_py()) - length for x in b.column(2)], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists, last], names=["h1", "h2", "fp", "s0", "seg", "last"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists, last], names=["h1", "h2", "fp", "s0", "seg", "twin", "last"])
 
     long_enough = docs.filter(F.octet_length("raw") >= length)
-    pieces = stage_table(long_enough.mapInArrow(cut, "h1 long, h2 long, fp array<long>, s0 array<int>, seg array<long>, last int"), "suffix-segments")
+    pieces = stage_table(long_enough.mapInArrow(cut, "h1 long, h2 long, fp array<long>, s0 array<int>, seg array<long>, twin array<boolean>, last int"), "suffix-segments")
     # a segment's last start is the one before the next segment
     ends = F.concat(F.transform(F.slice("s0", F.lit(2), F.size("s0")), lambda s: s - 1), F.array("last"))
     each = pieces.select("h1", "h2", F.explode(F.arrays_zip("fp", "seg", "s0", ends.alias("s1"))).alias("p")).select("h1", "h2", "p.fp", "p.seg", "p.s0", "p.s1")
-    counted = pieces.select(F.explode(F.arrays_zip("fp", "seg")).alias("p")).select("p.fp", "p.seg").groupBy("fp")
-    shared = counted.agg(F.count("*").alias("c"), F.min("seg").alias("x"), F.max("seg").alias("y")).filter("c > 1").select("fp", (F.col("x") != F.col("y")).alias("mixed"))
+    counted = pieces.select(F.explode(F.arrays_zip("fp", "seg", "twin")).alias("p")).select("p.*").groupBy("fp")
+    shared = counted.agg(F.count("*").alias("c"), F.min("seg").alias("x"), F.max("seg").alias("y"), F.max("twin").alias("twin"))
+    # a lone run that may repeat within itself goes to a shard as different runs do
+    shared = shared.filter("c > 1 or twin").select("fp", ((F.col("x") != F.col("y")) | (F.col("c") == 1)).alias("mixed"))
     met = stage_table(each.join(shared, "fp"), "suffix-met")
     whole = met.filter("not mixed").select("h1", "h2", F.col("s0").alias("a"), F.col("s1").alias("b"))
 
