@@ -24,10 +24,8 @@ MARGIN, FINE, FINE_MARGIN = 0.22, 1024, 0.07
 #: Shingles in at most so many open classes count as rare: classes that share one are compared,
 #: and for all others rare shingles are as good as not shared.
 RARE = 4
-#: A bucket in which more pairs than this are open is first dealt anew by a second band.
+#: Sets of a bucket in which more pairs than this are open meet by rare shingles instead.
 OPEN_PAIRS = 20_000
-#: How often such a bucket may be dealt anew, and by how many other bands each time.
-DEALS, OTHER_BANDS = 2, 16
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
@@ -119,54 +117,71 @@ def _shares(sets: DataFrame) -> DataFrame:
     return known.agg(F.count("*").alias("n"), F.count_if(F.col("c") > RARE).alias("most"), F.count_if(F.col("c") > 1).alias("some"), F.avg("c").alias("usual"))
 
 
-def _rare_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of ids of different components that share a rare shingle."""
-    each = sets.select("id", F.explode("shingles").alias("s")).join(comps, "id")
+def _rare_pairs(sets: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ids of different components that share a rare shingle and are close in size."""
+    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(comps, "id")
     rare = each.groupBy("s").agg(F.count("*").alias("c"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter((F.col("c") <= RARE) & F.expr("c0 <> c1"))
-    x = each.join(rare.select("s"), "s").select("s", "id", "comp")
-    y = x.select("s", F.col("id").alias("j"), F.col("comp").alias("cj"))
-    return x.join(y, "s").filter("id < j and comp <> cj").select(F.col("id").alias("a"), F.col("j").alias("b")).distinct()
+    x = each.join(rare.select("s"), "s").select("s", "id", "comp", "n")
+    y = x.select("s", F.col("id").alias("j"), F.col("comp").alias("cj"), F.col("n").alias("nj"))
+    sized = F.least("n", "nj") >= F.lit(threshold) * F.greatest("n", "nj")
+    return x.join(y, "s").filter(F.expr("id < j and comp <> cj") & sized).select(F.col("id").alias("a"), F.col("j").alias("b")).distinct()
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The rows (``key, id, comp`` and more) of buckets with more than one component."""
+    """The rows (``key, id, comp``) of buckets with more than one component."""
     stat = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
     return rows.join(stat.select("key"), "key", "left_semi")
 
 
-def _open_pairs(rows: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of ids that share a bucket, may be similar and aren't known to be connected.
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """``key, id, comp``: each set under its rarest shingles, as many as similar sets can't all lack.
 
-    ``rows``: ``key, pos, id, comp``; ``about``: ``id, n, most, sketch, bands``.  Buckets within
-    one component are done.  In the others each row outside the bucket's largest component meets
-    those rows of other components for which sizes, shingles that aren't rare, and fine sketches
-    allow the threshold.  Buckets with very many such rows are dealt anew by each of several
-    other bands, which all but the dissimilar pairs share somewhere; what is still large after
-    that is compared in full.
+    ``sets``: ``id, comp, shingles``.  Of two similar sets each holds the share ``threshold`` of
+    the other, so in one order of all shingles, the rarest first, their leading parts meet:
+    nothing is lost.  A passage that very many sets share comes last and is seldom a key.
     """
-    found = None
+    each = sets.select("id", "comp", F.explode("shingles").alias("s"))
+    times = each.groupBy("s").agg(F.count("*").alias("c"), (F.min("comp") != F.max("comp")).alias("met"))
+    own = each.join(times, "s").groupBy("id", "comp").agg(F.array_sort(F.collect_list(F.struct("c", "s", "met"))).alias("w"))
+    lead = (F.size("w") - F.ceil(F.size("w") * F.lit(threshold) - 1e-9) + 1).cast("int")
+    return own.select("id", "comp", F.explode(F.slice("w", F.lit(1), lead)).alias("w")).filter("w.met").select(F.col("w.s").alias("key"), "id", "comp")
+
+
+def _with_biggest(rows: DataFrame) -> DataFrame:
+    """``key, id, comp`` of keys with several components, with ``big``, the largest, and ``hot``."""
+    cells = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    stat = cells.groupBy("key").agg(F.sum("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("big"), F.max("n").alias("largest"), F.count("*").alias("comps"))
+    stat = stat.filter("comps > 1").withColumn("hot", F.col("m") * (F.col("m") - F.col("largest")) > F.lit(OPEN_PAIRS))
+    return rows.join(stat.select("key", "big", "hot"), "key")
+
+
+def _met(rows: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of rows outside a key's largest component with rows of its other components, where
+    sizes, shingles that aren't rare, and fine sketches allow the threshold."""
     facts = ("n", "most", "sketch")
     allowed = F.lit(1 + threshold) * F.least("most_i", "most_j") >= F.lit(threshold) * (F.col("n_i") + F.col("n_j"))
     close = sketch_similarity(F.col("sketch_i"), F.col("sketch_j"), FINE) >= threshold - FINE_MARGIN
-    for deal in range(DEALS + 1):
-        cells = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        stat = cells.groupBy("key").agg(F.sum("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("big"), F.max("n").alias("largest"), F.count("*").alias("comps"))
-        stat = stat.filter("comps > 1").withColumn("hot", F.col("m") * (F.col("m") - F.col("largest")) > F.lit(OPEN_PAIRS))
-        rows = stage_table(rows.join(stat.select("key", "big", "hot"), "key"), "near-open")
-        last = deal == DEALS
-        direct = (rows if last else rows.filter("not hot")).join(about.select("id", *facts), "id")
-        x = direct.filter("comp <> big").select("key", F.col("id").alias("i"), F.col("comp").alias("ci"), *(F.col(k).alias(f"{k}_i") for k in facts))
-        y = direct.select("key", F.col("id").alias("j"), F.col("comp").alias("cj"), *(F.col(k).alias(f"{k}_j") for k in facts))
-        met = x.join(y, (x["key"] == y["key"]) & F.expr("ci <> cj") & allowed & close)
-        pairs = met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-        found = pairs if found is None else found.unionAll(pairs)
-        if last or (hot := rows.filter("hot")).isEmpty():
-            return found.distinct()
-        n = F.size("bands")
-        again = hot.select("key", "pos", "id", "comp").join(about.select("id", "bands"), "id").withColumn("step", F.explode(F.sequence(F.lit(1), F.least(F.lit(OTHER_BANDS), n - 1))))
-        other = ((F.col("pos") + F.col("step")) % n).cast("int")
-        rows = stage_table(again.select(F.xxhash64("key", F.get("bands", other)).alias("key"), other.alias("pos"), "id", "comp").distinct(), "near-deal")
-    return found
+    known = rows.join(about.select("id", *facts), "id")
+    x = known.filter("comp <> big").select("key", F.col("id").alias("i"), F.col("comp").alias("ci"), *(F.col(k).alias(f"{k}_i") for k in facts))
+    y = known.select("key", F.col("id").alias("j"), F.col("comp").alias("cj"), *(F.col(k).alias(f"{k}_j") for k in facts))
+    met = x.join(y, (x["key"] == y["key"]) & F.expr("ci <> cj") & allowed & close)
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
+def _open_pairs(rows: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ids that share a bucket, may be similar and aren't known to be connected.
+
+    ``rows``: ``key, id, comp``; ``about``: ``id, n, most, sketch, shingles``.  Buckets within
+    one component are done.  The sets of buckets in which very many pairs are open meet by
+    their rarest shingles, which loses no pair; see :func:`_prefixes`.
+    """
+    rows = stage_table(_with_biggest(rows), "near-open")
+    found = _met(rows.filter("not hot"), about, threshold)
+    hot = stage_table(rows.filter("hot").select("id", "comp").distinct(), "near-hot")
+    if hot.isEmpty():
+        return found
+    lead = stage_table(_with_biggest(_prefixes(hot.join(about.select("id", "shingles"), "id"), threshold)), "near-lead")
+    return found.unionAll(_met(lead, about, threshold)).distinct()
 
 
 def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -196,7 +211,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
     # one row of a class stands for it; if rows of one id differ, the id and set together name the row
     reps = full.withColumnRenamed("doc_id", "id").join(classes, ["id", "set_a", "set_b", "n_shingles"], "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch")
     reps = stage_table(reps, "near-reps")
-    rows = reps.select("id", F.posexplode("bands").alias("pos", "key"))
+    rows = reps.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("key", "first")
     rows = stage_table(rows.join(shared, "key"), "near-rows")
 
@@ -208,15 +223,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
     if not rows.isEmpty():
         sets = _full_sets(rows.select("id"), texts, "open", FINE)
         shares = stage_table(_shares(sets).filter(F.col("some") >= F.lit(threshold) * F.col("n")), "near-shares")
-        rows = stage_table(rows.join(shares, "id").select("key", "pos", "id", "comp", "usual"), "near-able")
+        rows = stage_table(rows.join(shares, "id").select("key", "id", "comp", "usual"), "near-able")
         plain = rows.groupBy("key").agg(F.max(F.struct("usual", "id", "comp")).alias("p"))
         star = rows.join(plain, "key").filter("comp <> p.comp").groupBy("id").agg(F.max("p").alias("p"))
         star = star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
         links = links.unionAll(stage_table(_confirmed(star, sets, threshold), "near-links"))
         rows = stage_table(_with_components(rows.drop("comp"), links), "near-joined")
         able = sets.join(shares, "id")
-        about = stage_table(able.select("id", "n", "most", "sketch").join(reps.select("id", "bands"), "id"), "near-about")
-        rest = _open_pairs(rows, about, threshold).unionAll(_rare_pairs(able.select("id", "shingles"), rows.select("id", "comp").distinct())).distinct()
+        about = stage_table(able.select("id", "n", "most", "sketch", "shingles"), "near-about")
+        rest = _open_pairs(rows, about, threshold).unionAll(_rare_pairs(about.select("id", "shingles"), rows.select("id", "comp").distinct(), threshold)).distinct()
         links = links.unionAll(stage_table(_confirmed(stage_table(rest, "near-pairs"), sets, threshold), "near-links"))
     comp = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
     of_set = classes.join(comp, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "id").alias("comp"))

@@ -1,8 +1,10 @@
+import random
 import re
 from hashlib import sha256
 
 import pytest
 
+from copyrisk.llm import near_dup
 from copyrisk.llm.boosting import classify_quality
 from copyrisk.llm.decontaminate import contaminated
 from copyrisk.llm.near_dup import near_duplicates
@@ -68,6 +70,30 @@ def test_near_duplicates_against_brute_force(docs):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows} == {(i, len(s), comp[i], comp[i] == i) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("open_pairs", [0, 20_000])
+def test_shared_passages_against_brute_force(spark, monkeypatch, open_pairs):
+    """Texts that share most of their words without being similar, with similar ones among them."""
+    monkeypatch.setattr(near_dup, "OPEN_PAIRS", open_pairs)
+    rng = random.Random(4)
+    texts = []
+    for i in range(60):
+        own = [f"x{i}_{k}" for k in range(rng.randrange(20, 60))]
+        texts.append(WORDS[:80] + own)
+        if i % 4 == 0:
+            texts.append(WORDS[:80] + own[:-3] + [f"y{i}"])
+        if i % 5 == 0:
+            texts.append(WORDS[: 80 - i % 3] + own + own[:4])
+    sets = [shingles(" ".join(t)) for t in texts]
+    comp = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if comp[i] != comp[j] and 100 * len(a & b) >= 75 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    rows = near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(comp))
+
+
 def test_containment_against_brute_force(spark, docs):
     items = [(0, " ".join(WORDS[30:60])), (1, "short text"), (2, ""), (3, None), (4, " ".join(WORDS[310:330]) + " new words that differ from it here and there")]
     want = set()
