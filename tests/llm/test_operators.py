@@ -137,3 +137,18 @@ def test_empty_tables(spark, docs):
     assert classify_quality(none, labels).isEmpty() and classify_quality(docs, labels).count() == len(DOCS)
     for f in (remove_repeats, near_duplicates, pack_documents, personal_data, op2_sharding):
         assert f(none).isEmpty(), f
+
+
+def test_neighbours_of_other_shards_share_windows(spark):
+    """Two texts on each topic, far from each other in the table; the longer one is the seed."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"t{i % 12}x{k}" for k in range(60)], k=150 if i < 12 else 100)) for i in range(24)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(4, "doc_id")
+    sizes = {r.doc_id: r.doc_tokens for r in pack_documents(table).collect()}
+    window = sum(sizes.values()) // 12
+    assert window > max(sizes.values()) and min(sizes[d] for d in range(12)) > max(sizes[d] for d in range(12, 24))
+    rows = pack_documents(table, window=window, shard_tokens=600).collect()
+    assert sum(r.length for r in rows) == sum(sizes.values())
+    seeds = {r.sequence_id: r.doc_id for r in rows if r.offset == 0}
+    second = {seeds[r.sequence_id]: r.doc_id for r in rows if r.offset and r.offset == sizes[seeds[r.sequence_id]]}
+    assert {d: second[d] for d in range(12)} == {d: d + 12 for d in range(12)}
