@@ -1,10 +1,12 @@
+import math
 import random
 import re
 from hashlib import sha256
 
+import numpy as np
 import pytest
 
-from copyrisk.llm import near_dup
+from copyrisk.llm import near_dup, packing
 from copyrisk.llm.boosting import classify_quality
 from copyrisk.llm.decontaminate import contaminated
 from copyrisk.llm.near_dup import near_duplicates
@@ -139,6 +141,35 @@ def test_empty_tables(spark, docs):
         assert f(none).isEmpty(), f
 
 
+def test_scores_against_brute_force(spark, tmp_path_factory):
+    """Seeds ask all shards with all their words; frequencies and mean length are the table's."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(WORDS, [1 / (k + 1) for k in range(400)], k=rng.randrange(40, 160))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(3, "doc_id")
+    shards = packing._shards(rows, packing.default_tokenizer(), 10**6, 1, "doc_id", "text", 1500).cache()
+    known = sorted(shards.select("block", "n").collect())
+    assert len(known) == 3
+    base, at = {}, 0
+    for b, n in known:
+        base[b], at = at, at + n
+    bags = [t.split() for t in texts]
+    df = {w: sum(w in b for b in bags) for w in WORDS}
+    mean = sum(map(len, bags)) / 60
+    room, size = np.array([1] * 20 + [0] * 40, np.int32), np.array([0] * 20 + [1] * 40, np.int32)
+    state = spark.sparkContext.broadcast((base, room, size, 60, mean))
+    got = {}
+    for r in packing._offers(packing._index(shards), 2, state).collect():
+        got.setdefault(r.seed, {})[r.doc] = -(-r.near // 60) / packing.STEPS
+    assert len(got) == 20
+    for s, found in got.items():
+        want = {}
+        for d in range(20, 60):
+            tf = {w: bags[d].count(w) for w in set(bags[s]) & set(bags[d])}
+            want[d] = sum(math.log1p((60 - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(bags[d]) / mean)) for w, c in tf.items())
+        assert len(found) >= packing.OFFERS and all(abs(want[d] - x) < 0.01 for d, x in found.items())
+        assert all(x <= sorted(want.values())[-packing.OFFERS] + 0.01 for d, x in want.items() if d not in found)
+
+
 def test_neighbours_of_other_shards_share_windows(spark):
     """Two texts on each topic, far from each other in the table; the longer one is the seed."""
     rng = random.Random(3)
