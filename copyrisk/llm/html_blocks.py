@@ -9,9 +9,9 @@ from html import unescape
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>"
-    r"|<[/!?][^>]*>"
-    r"|<[a-zA-Z][^>]*>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"  # a quote is left open
+    r"|<[/!?][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
@@ -74,12 +74,12 @@ def blocks(html: str) -> list[Block]:
             parts.append(html[at : m.start()])
             linked += (m.start() - at) * (links > 0)
         at = m.end()
-        tag = m[3]
+        tag, slash, attributes = (m[3], m[2], m[4]) if m[3] else (m[6], m[5], m[7])
         if tag is None:
             if m[0][1].isalpha():  # a script or the like separates words, a comment doesn't
                 parts.append(" ")
             continue
-        tag, ends = tag.lower(), m[2] == "/"
+        tag, ends = tag.lower(), slash == "/"
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links + (-1 if ends else 1))
@@ -99,7 +99,7 @@ def blocks(html: str) -> list[Block]:
         elif stack and stack[-1][0] == "p":
             stack.pop()
         if tag not in VOID:
-            stack.append((tag, _names(m[4])))
+            stack.append((tag, _names(attributes)))
     if at < len(html):
         parts.append(html[at:])
     flush()

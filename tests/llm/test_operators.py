@@ -9,6 +9,7 @@ import pytest
 from copyrisk.llm import near_dup, packing
 from copyrisk.llm.boosting import classify_quality
 from copyrisk.llm.decontaminate import contaminated
+from copyrisk.llm.html_blocks import blocks
 from copyrisk.llm.near_dup import near_duplicates
 from copyrisk.llm.packing import pack_documents
 from copyrisk.llm.pii import personal_data
@@ -183,3 +184,16 @@ def test_neighbours_of_other_shards_share_windows(spark):
     seeds = {r.sequence_id: r.doc_id for r in rows if r.offset == 0}
     second = {seeds[r.sequence_id]: r.doc_id for r in rows if r.offset and r.offset == sizes[seeds[r.sequence_id]]}
     assert {d: second[d] for d in range(12)} == {d: d + 12 for d in range(12)}
+
+
+def test_html_blocks_of_tags_with_long_values_and_open_quotes():
+    for value in ("x" * 10_000, "a>b" * 3000):
+        for q in "\"'":
+            got = blocks(f"<div class=content><p>one</p><div class=sidebar data-props={q}{value}{q}>two</div><p>three</p></div>")
+            assert [(b.text, b.path) for b in got] == [
+                ("one", (("div", "content"), ("p", ""))),
+                ("two", (("div", "content"), ("div", "sidebar"))),
+                ("three", (("div", "content"), ("p", ""))),
+            ]
+    got = blocks("<div class=content><p>one</p><div id=aside title='x>two</div ><p>three</p></div>")
+    assert [(b.text, b.path[-1][0]) for b in got] == [("one", "p"), ("two", "div"), ("three", "p")] and len(got[2].path) == 2
