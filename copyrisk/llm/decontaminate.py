@@ -64,39 +64,58 @@ def contaminated(
 
     Null and empty texts, on either side, match nothing.  An item of fewer than ``n`` words
     matches only documents that consist of exactly its words.  Repeated rows of an id count once
-    each in the first pass and give one row in the result.  Other columns are ignored.
+    each in the first pass and give one row in the result.  Null ids count as one id, and texts of
+    one id are told apart by their digest.  Other columns are ignored.
 
     Returns ``doc_id, item_id, n_item, n_shared, containment``.
     """
+    return _met(docs, items, threshold, n, id_col, text_col, item_col, item_text_col).groupBy("doc_id", "item_id").agg(
+        F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared")
+    ).withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
+
+
+def text_key(text: Column) -> Column:
+    """A digest of a text that is never null."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def _met(
+    docs: DataFrame,
+    items: DataFrame,
+    threshold: float = CONTAINMENT,
+    n: int = WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """``doc_id, key, item_id, n_item, n_shared`` of the texts, by :func:`text_key`, that hold an item."""
     index = stage_table(item_index(items, item_col, item_text_col, threshold, n), "bench")
     sketched, _ = small_or_not(index.select("item_id", F.explode("sketch").alias("h")).distinct())
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pairs = stage_table(
-        d.select("doc_id", F.explode(shingle_hashes(F.col("text"), n)).alias("h")).join(sketched, "h").select("doc_id", "item_id").distinct(),
-        "bench-pairs",
-    )
+    met = d.select("doc_id", "text", F.explode(shingle_hashes(F.col("text"), n)).alias("h")).join(sketched, "h")
+    pairs = stage_table(met.select("doc_id", text_key(F.col("text")).alias("key"), "item_id").distinct(), "bench-pairs")
     few, _ = small_or_not(pairs)
     sets, _ = small_or_not(index.select("item_id", "shingles", "n_item"), 20_000)
     shared = F.size(F.array_intersect("doc_shingles", "shingles"))
-    met = (
-        d.withColumnRenamed("doc_id", "id")
-        .join(few, F.col("id") == F.col("doc_id"))
-        .select("doc_id", "item_id", shingle_hashes(F.col("text"), n).alias("doc_shingles"))
+    return (
+        d.select(F.col("doc_id").alias("id"), "text", text_key(F.col("text")).alias("own"))
+        .join(few, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("key")))
+        .select("doc_id", "key", "item_id", shingle_hashes(F.col("text"), n).alias("doc_shingles"))
         .join(sets, "item_id")
-        .select("doc_id", "item_id", "n_item", shared.alias("n_shared"))
+        .select("doc_id", "key", "item_id", "n_item", shared.alias("n_shared"))
         .filter(F.col("n_shared") >= F.col("n_item") * F.lit(threshold))
     )
-    return met.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared")).withColumn(
-        "containment", F.round(F.col("n_shared") / F.col("n_item"), 6)
-    )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents that hold no test item, with all their columns; see :func:`contaminated`."""
-    id_col = how.get("id_col", "doc_id")
-    found = contaminated(docs, items, **how).select(F.col("doc_id").alias(id_col)).distinct()
+    """The documents that hold no test item, with all their columns; see :func:`contaminated`.
+
+    Rows go by their text, so a clean one stays though its id is another's, and null ids go too.
+    """
+    found = _met(docs, items, **how).select(F.col("key").alias("text_key")).distinct()
     few, _ = small_or_not(stage_table(found, "bench-docs"))
-    return docs.join(few, id_col, "left_anti")
+    return docs.join(few, text_key(F.col(how.get("text_col", "text"))) == F.col("text_key"), "left_anti")
 
 
 def op1_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ def sketch_similarity(x: Column, y: Column, samples: int) -> Column:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, bands, sketch``; (set_a, set_b) names the shingle set."""
+    """``doc_id, n_shingles, set_a, set_b, bands, sketch, digest``; (set_a, set_b) names the shingle set."""
     hasher = MinHasher(bands * rows)
     weights = np.random.default_rng(3).integers(1, 1 << 63, (bands, rows), dtype=np.uint64) | np.uint64(1)
     salt = np.arange(1, bands + 1, dtype=np.uint64)
@@ -65,12 +66,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keys.append(key.view(np.int64))
                 sketches.append(odd_sketch(m))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array([sha256(raw.as_py()).digest() for raw in b.column(1)], pa.binary())],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "digest"],
             )
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    return src.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
+    return src.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, digest binary")
 
 
 def _sets(docs: DataFrame, fine: int = 0) -> DataFrame:
@@ -205,6 +206,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
     own id.  A null id is ignored in the search for the least id, and its row keeps a null
     component unless others share its group.  Repeated rows stay.  An empty table gives no rows.
     """
+    return _grouped(docs, threshold, id_col, text_col).drop("digest")
+
+
+def _grouped(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """:func:`near_duplicates` with the ``digest`` of each row's text."""
     sig = stage_table(signatures(docs, id_col, text_col), "near-sig")
     full = sig.filter("n_shingles > 0")
     classes = stage_table(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id")).filter("id is not null"), "near-classes")
@@ -235,16 +241,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
         links = links.unionAll(stage_table(_confirmed(stage_table(rest, "near-pairs"), sets, threshold), "near-links"))
     comp = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
     of_set = classes.join(comp, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "id").alias("comp"))
-    out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b", "n_shingles"], "left")
+    out = sig.select("doc_id", "n_shingles", "set_a", "set_b", "digest").join(of_set, ["set_a", "set_b", "n_shingles"], "left")
     least = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.col("comp").isNull()).alias("kept"))
+    return out.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.col("comp").isNull()).alias("kept"), "digest")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that :func:`near_duplicates` keeps, with all their columns.
 
-    Rows of one id count as one document: where an id repeats, its rows stay together.
+    Rows go by their id and text, so those of a null id go too, and a row stays though another
+    text of its id goes.
     """
-    dropped = stage_table(near_duplicates(docs, threshold, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "near-dropped")
-    few, _ = small_or_not(dropped)
-    return docs.join(few, id_col, "left_anti")
+    dropped = _grouped(docs, threshold, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    few, _ = small_or_not(stage_table(dropped, "near-dropped"))
+    own = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    return docs.join(few, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_digest")), "left_anti")

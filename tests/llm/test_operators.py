@@ -8,7 +8,7 @@ import pytest
 
 from copyrisk.llm import near_dup, packing
 from copyrisk.llm.boosting import classify_quality
-from copyrisk.llm.decontaminate import contaminated
+from copyrisk.llm.decontaminate import contaminated, drop_contaminated
 from copyrisk.llm.html_blocks import blocks
 from copyrisk.llm.near_dup import near_duplicates
 from copyrisk.llm.packing import pack_documents
@@ -197,3 +197,20 @@ def test_html_blocks_of_tags_with_long_values_and_open_quotes():
             ]
     got = blocks("<div class=content><p>one</p><div id=aside title='x>two</div ><p>three</p></div>")
     assert [(b.text, b.path[-1][0]) for b in got] == [("one", "p"), ("two", "div"), ("three", "p")] and len(got[2].path) == 2
+
+
+def test_contaminated_rows_with_null_or_shared_ids(spark):
+    hit, clean = " ".join(WORDS[30:60]), " ".join(WORDS[200:240])
+    rows = [(None, hit), (None, clean), (1, hit), (1, clean), (2, None), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(0, hit)], "item_id long, text string")
+    assert sorted(((r.doc_id, r.item_id, r.n_shared) for r in contaminated(table, items).collect()), key=str) == [(1, 0, 26), (None, 0, 26)]
+    got = [(r.doc_id, r.text) for r in drop_contaminated(table, items).collect()]
+    assert sorted(got, key=str) == sorted(((i, x) for i, x in rows if x != hit), key=str)
+
+
+def test_near_duplicates_with_null_or_shared_ids_go(spark):
+    clean = " ".join(WORDS[200:290])
+    rows = [(0, LONG), (None, LONG), (1, LONG), (1, clean), (None, "some other text of its own"), (None, None)]
+    got = [(r.doc_id, r.text) for r in near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], *rows[3:]], key=str)
