@@ -52,7 +52,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Trained models and a tokenizer take part, which SQL cannot express; see tests/llm.
+#: Trained models and a tokenizer take part, which SQL cannot express; what tests lack is in the README.
 ORACLE_SQL = None
 
 
