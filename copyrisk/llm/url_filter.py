@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html import unescape
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +40,10 @@ def _node(url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``a, b``: a page's own url and the urls that its canonical link or refresh redirect name."""
+    """``a, b``: a page's own url and the urls that its canonical link or refresh redirect name.
+
+    References are resolved against the page's base or url, with character references decoded.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
     attr = r"""(?is)\b{}\s*=\s*["']?\s*([^"'\s>]+)"""
     canonical = F.transform(
@@ -48,15 +54,25 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0), lambda t: t.rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b""")),
         lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1),
     )
-    named = pages.filter(html.rlike("(?i)canonical|refresh") & F.col(url_col).isNotNull()).select(F.col(url_col).alias("u"), F.explode(F.concat(canonical, refresh)).alias("t"))
-    target = (
-        F.when(F.col("t").rlike("(?i)^https?://"), F.col("t"))
-        .when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t")))
-        .when(F.col("t").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("u")), F.col("t")))
-    )
+    base = F.regexp_extract(F.regexp_extract(html, r"(?is)<base\b[^>]*>", 0), attr.format("href"), 1)
+    named = pages.filter(html.rlike("(?i)canonical|refresh") & F.col(url_col).isNotNull()).select(F.col(url_col).alias("u"), base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("t"))
+    target = F.arrow_udf(_resolved, "string")("u", "base", "t")
     return named.filter("t <> ''").select(_node(F.col("u")).alias("a"), _node(target).alias("b")).filter("a is not null and b is not null")
 
 
+def _resolved(urls: pa.Array, bases: pa.Array, references: pa.Array) -> pa.Array:
+    """What references name on pages with these urls and base references; null if not on the web."""
+
+    def one(url: str, base: str, reference: str) -> str | None:
+        try:
+            found = urljoin(urljoin(url, unescape(base)), unescape(reference))
+        except ValueError:
+            return None
+        return found if found[:8].lower().startswith(("http://", "https://")) else None
+
+    return pa.array([one(*x) for x in zip(*(c.to_pylist() for c in (urls, bases, references)))], pa.string())
+
+
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]] | DataFrame = RULES,

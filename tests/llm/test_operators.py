@@ -15,6 +15,7 @@ from copyrisk.llm.packing import pack_documents
 from copyrisk.llm.pii import personal_data
 from copyrisk.llm.sharding import op2_sharding
 from copyrisk.llm.suffix_dedup import remove_repeats
+from copyrisk.llm.url_filter import link_edges
 
 WORDS = [f"w{i}" for i in range(400)]
 LONG = " ".join(WORDS[:120])
@@ -214,3 +215,16 @@ def test_near_duplicates_with_null_or_shared_ids_go(spark):
     rows = [(0, LONG), (None, LONG), (1, LONG), (1, clean), (None, "some other text of its own"), (None, None)]
     got = [(r.doc_id, r.text) for r in near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted([rows[0], *rows[3:]], key=str)
+
+
+def test_link_targets_are_resolved(spark):
+    pages = [
+        ("http://a.net/es/x.html", '<link rel=canonical href="page.html">', "a.net/es/page.html"),
+        ("http://a.net/es/d/x", '<link rel="canonical" href="../a">', "a.net/es/a"),
+        ("http://a.net/es/x", '<link rel="canonical" href="?id=1&amp;y=2">', "a.net/es/x?id=1&y=2"),
+        ("http://a.net/es/x", '<base href="http://b.net/q/"><meta http-equiv=refresh content="0; url=r&#46;html">', "b.net/q/r.html"),
+        ("http://a.net/es/x", '<link rel="canonical" href="HTTP://C.net/z">', "c.net/z"),
+        ("http://a.net/es/x", '<link rel="canonical" href="mailto:me">', None),
+    ]
+    table = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    assert sorted(r.b for r in link_edges(table).collect()) == sorted(b for _, _, b in pages if b)
