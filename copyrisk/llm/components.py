@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage_table
+from .scratch import scratch, stage_table
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -35,12 +35,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     logarithm of the size of the largest component.  No edges give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = stage_table(e.distinct(), "cc")
-    seen = _checksum(e)
-    while seen[0]:
-        e = stage_table(_small_star(_large_star(e)), "cc")
-        now = _checksum(e)
-        if now == seen:
-            break
-        seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with scratch() as kept:
+        e = stage_table(e.distinct(), "cc")
+        seen = _checksum(e)
+        while seen[0]:
+            with scratch() as last:
+                e = stage_table(_small_star(_large_star(e)), "cc")
+                last.append(e)
+            now = _checksum(e)
+            if now == seen:
+                break
+            seen = now
+        found = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        kept.append(stage_table(found, "cc-found"))
+    return kept[0]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import small_or_not, stage_table
+from .scratch import having, scratch, small_or_not, stage_table
 from .shingles import MinHasher, mix, shingle_set
 
 #: Bands of rows: two sets of similarity 0.75 share none of the bands with a chance of 6e-6.
@@ -27,6 +27,8 @@ MARGIN, FINE, FINE_MARGIN = 0.22, 1024, 0.07
 RARE = 4
 #: Sets of a bucket in which more pairs than this are open meet by rare shingles instead.
 OPEN_PAIRS = 20_000
+#: Keys of a set that are carried along to tell under which key two sets meet first.
+HEADS = 16
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
@@ -89,8 +91,9 @@ def _sets(docs: DataFrame, fine: int = 0) -> DataFrame:
 
 
 def _full_sets(ids: DataFrame, texts: DataFrame, name: str, fine: int = 0) -> DataFrame:
-    few, _ = small_or_not(stage_table(ids.distinct(), f"near-{name}-ids"))
-    return stage_table(_sets(texts.join(few, "id").select("id", "raw"), fine).dropDuplicates(["id"]), f"near-{name}-sets")
+    asked = stage_table(ids.select(F.col("id").alias("_k")).distinct(), f"near-{name}-ids")
+    own = having(texts, F.col("id"), asked, F.col("id") == F.col("_k"))
+    return stage_table(_sets(own.select("id", "raw"), fine).dropDuplicates(["id"]), f"near-{name}-sets")
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, name: str) -> DataFrame:
@@ -131,11 +134,13 @@ def _rare_pairs(sets: DataFrame, comps: DataFrame, threshold: float) -> DataFram
 def _open(rows: DataFrame) -> DataFrame:
     """The rows (``key, id, comp``) of buckets with more than one component."""
     stat = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-    return rows.join(stat.select("key"), "key", "left_semi")
+    open_, _ = small_or_not(stage_table(stat.select("key"), "near-keys"))
+    return rows.join(open_, "key", "left_semi")
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """``key, id, comp``: each set under its rarest shingles, as many as similar sets can't all lack.
+    """``key, id, comp, rest``: each set under its rarest shingles, as many as similar sets can't all
+    lack; ``rest``: how many of its shingles come from that one on, the rarest first.
 
     ``sets``: ``id, comp, shingles``.  Of two similar sets each holds the share ``threshold`` of
     the other, so in one order of all shingles, the rarest first, their leading parts meet:
@@ -145,28 +150,42 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     times = each.groupBy("s").agg(F.count("*").alias("c"), (F.min("comp") != F.max("comp")).alias("met"))
     own = each.join(times, "s").groupBy("id", "comp").agg(F.array_sort(F.collect_list(F.struct("c", "s", "met"))).alias("w"))
     lead = (F.size("w") - F.ceil(F.size("w") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    return own.select("id", "comp", F.explode(F.slice("w", F.lit(1), lead)).alias("w")).filter("w.met").select(F.col("w.s").alias("key"), "id", "comp")
+    own = own.withColumn("lead", F.filter(F.transform(F.slice("w", F.lit(1), lead), lambda x, i: F.struct(x["s"].alias("s"), (F.size("w") - i).alias("rest"), x["met"].alias("met"))), lambda x: x["met"]))
+    own = own.withColumn("heads", F.slice(F.transform("lead", lambda x: x["s"]), 1, HEADS))
+    return own.select("id", "comp", "heads", F.explode("lead").alias("w")).select(F.col("w.s").alias("key"), "id", "comp", "heads", F.col("w.rest").alias("rest"))
 
 
 def _with_biggest(rows: DataFrame) -> DataFrame:
-    """``key, id, comp`` of keys with several components, with ``big``, the largest, and ``hot``."""
+    """``rows`` of keys with several components, with ``big``, the largest, and ``hot``."""
     cells = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     stat = cells.groupBy("key").agg(F.sum("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("big"), F.max("n").alias("largest"), F.count("*").alias("comps"))
-    stat = stat.filter("comps > 1").withColumn("hot", F.col("m") * (F.col("m") - F.col("largest")) > F.lit(OPEN_PAIRS))
-    return rows.join(stat.select("key", "big", "hot"), "key")
+    stat = stat.filter("comps > 1").select("key", "big", (F.col("m") * (F.col("m") - F.col("largest")) > F.lit(OPEN_PAIRS)).alias("hot"))
+    known, _ = small_or_not(stage_table(stat, "near-stat"))
+    return rows.join(known, "key")
 
 
 def _met(rows: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
     """Pairs of rows outside a key's largest component with rows of its other components, where
-    sizes, shingles that aren't rare, and fine sketches allow the threshold."""
+    sizes, shingles that aren't rare, and fine sketches allow the threshold.
+
+    ``rows``: ``key, id, comp, big, heads, rest``.  A pair is met under the first key alone that
+    both ``heads`` hold, so it is one row however many keys it shares; only pairs whose heads
+    have no key in common are met under each.  ``rest``, where it isn't null: how many shingles
+    the two can share at most if the key is their first.
+    """
     facts = ("n", "most", "sketch")
-    allowed = F.lit(1 + threshold) * F.least("most_i", "most_j") >= F.lit(threshold) * (F.col("n_i") + F.col("n_j"))
+    sides = [
+        rows.join(about.select("id", *facts), "id").select("key", *(F.col(k).alias(f"{k}_{s}") for k in ("id", "comp", "heads", "rest", *facts)), *(["big"] if s == "i" else []))
+        for s in "ij"
+    ]
+    need = F.lit(threshold) * (F.col("n_i") + F.col("n_j"))
+    allowed = F.lit(1 + threshold) * F.least("most_i", "most_j", "rest_i", "rest_j") >= need
     close = sketch_similarity(F.col("sketch_i"), F.col("sketch_j"), FINE) >= threshold - FINE_MARGIN
-    known = rows.join(about.select("id", *facts), "id")
-    x = known.filter("comp <> big").select("key", F.col("id").alias("i"), F.col("comp").alias("ci"), *(F.col(k).alias(f"{k}_i") for k in facts))
-    y = known.select("key", F.col("id").alias("j"), F.col("comp").alias("cj"), *(F.col(k).alias(f"{k}_j") for k in facts))
-    met = x.join(y, (x["key"] == y["key"]) & F.expr("ci <> cj") & allowed & close)
-    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    first = F.coalesce(F.try_element_at(F.array_intersect("heads_i", "heads_j"), F.lit(1)), sides[0]["key"]) == sides[0]["key"]
+    # two rows outside the largest component meet twice; the one of lesser id keeps the pair
+    once = (F.col("comp_j") == F.col("big")) | (F.col("id_i") < F.col("id_j"))
+    met = sides[0].filter("comp_i <> big").join(sides[1], (sides[0]["key"] == sides[1]["key"]) & F.expr("comp_i <> comp_j") & once & allowed & close & first)
+    return met.select(F.least("id_i", "id_j").alias("a"), F.greatest("id_i", "id_j").alias("b")).distinct()
 
 
 def _open_pairs(rows: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
@@ -177,12 +196,13 @@ def _open_pairs(rows: DataFrame, about: DataFrame, threshold: float) -> DataFram
     their rarest shingles, which loses no pair; see :func:`_prefixes`.
     """
     rows = stage_table(_with_biggest(rows), "near-open")
-    found = _met(rows.filter("not hot"), about, threshold)
+    heads = rows.filter("not hot").groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("heads"))
+    found = _met(rows.filter("not hot").join(heads, "id").withColumn("rest", F.lit(None).cast("int")), about, threshold)
     hot = stage_table(rows.filter("hot").select("id", "comp").distinct(), "near-hot")
     if hot.isEmpty():
         return found
-    lead = stage_table(_with_biggest(_prefixes(hot.join(about.select("id", "shingles"), "id"), threshold)), "near-lead")
-    return found.unionAll(_met(lead, about, threshold)).distinct()
+    lead = stage_table(_prefixes(hot.join(about.select("id", "shingles"), "id"), threshold), "near-lead")
+    return found.unionAll(_met(stage_table(_with_biggest(lead), "near-led"), about, threshold)).distinct()
 
 
 def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -211,35 +231,38 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
 
 def _grouped(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """:func:`near_duplicates` with the ``digest`` of each row's text."""
-    sig = stage_table(signatures(docs, id_col, text_col), "near-sig")
-    full = sig.filter("n_shingles > 0")
-    classes = stage_table(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id")).filter("id is not null"), "near-classes")
-    # one row of a class stands for it; if rows of one id differ, the id and set together name the row
-    reps = full.withColumnRenamed("doc_id", "id").join(classes, ["id", "set_a", "set_b", "n_shingles"], "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch")
-    reps = stage_table(reps, "near-reps")
-    rows = reps.select("id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("key", "first")
-    rows = stage_table(rows.join(shared, "key"), "near-rows")
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    sketches = reps.select("id", "sketch")
-    first = rows.filter("id <> first").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
-    links = _verified(first, sketches, texts, threshold, "first")
-    rows = stage_table(_open(_with_components(rows.drop("first"), links)), "near-open1")
-    if not rows.isEmpty():
-        sets = _full_sets(rows.select("id"), texts, "open", FINE)
-        shares = stage_table(_shares(sets).filter(F.col("some") >= F.lit(threshold) * F.col("n")), "near-shares")
-        rows = stage_table(rows.join(shares, "id").select("key", "id", "comp", "usual"), "near-able")
-        plain = rows.groupBy("key").agg(F.max(F.struct("usual", "id", "comp")).alias("p"))
-        star = rows.join(plain, "key").filter("comp <> p.comp").groupBy("id").agg(F.max("p").alias("p"))
-        star = star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-        links = links.unionAll(stage_table(_confirmed(star, sets, threshold), "near-links"))
-        rows = stage_table(_with_components(rows.drop("comp"), links), "near-joined")
-        able = sets.join(shares, "id")
-        about = stage_table(able.select("id", "n", "most", "sketch", "shingles"), "near-about")
-        rest = _open_pairs(rows, about, threshold).unionAll(_rare_pairs(about.select("id", "shingles"), rows.select("id", "comp").distinct(), threshold)).distinct()
-        links = links.unionAll(stage_table(_confirmed(stage_table(rest, "near-pairs"), sets, threshold), "near-links"))
-    comp = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    with scratch() as kept:
+        sig = stage_table(signatures(docs, id_col, text_col), "near-sig")
+        full = sig.filter("n_shingles > 0")
+        classes = stage_table(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id")).filter("id is not null"), "near-classes")
+        # one row of a class stands for it; if rows of one id differ, the id and set together name the row
+        reps = full.withColumnRenamed("doc_id", "id").join(classes, ["id", "set_a", "set_b", "n_shingles"], "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch")
+        reps = stage_table(reps, "near-reps")
+        rows = reps.select("id", F.explode("bands").alias("key"))
+        shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("key", "first")
+        rows = stage_table(rows.join(shared, "key"), "near-rows")
+
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+        sketches = reps.select("id", "sketch")
+        first = rows.filter("id <> first").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
+        links = _verified(first, sketches, texts, threshold, "first")
+        rows = stage_table(_open(_with_components(rows.drop("first"), links)), "near-open1")
+        if not rows.isEmpty():
+            sets = _full_sets(rows.select("id"), texts, "open", FINE)
+            shares = stage_table(_shares(sets).filter(F.col("some") >= F.lit(threshold) * F.col("n")), "near-shares")
+            rows = stage_table(rows.join(shares, "id").select("key", "id", "comp", "usual"), "near-able")
+            plain = rows.groupBy("key").agg(F.max(F.struct("usual", "id", "comp")).alias("p"))
+            star = rows.join(plain, "key").filter("comp <> p.comp").groupBy("id").agg(F.max("p").alias("p"))
+            star = star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+            links = links.unionAll(stage_table(_confirmed(star, sets, threshold), "near-links"))
+            rows = stage_table(_with_components(rows.drop("comp"), links), "near-joined")
+            able = sets.join(shares, "id")
+            about = stage_table(able.select("id", "n", "most", "sketch", "shingles"), "near-about")
+            rest = _open_pairs(rows, about, threshold).unionAll(_rare_pairs(about.select("id", "shingles"), rows.select("id", "comp").distinct(), threshold)).distinct()
+            links = links.unionAll(stage_table(_confirmed(stage_table(rest, "near-pairs"), sets, threshold), "near-links"))
+        found = connected_components(links)
+        kept += [sig, classes, found]
+        comp = found.select(F.col("node").alias("id"), F.col("component").alias("comp"))
     of_set = classes.join(comp, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "id").alias("comp"))
     out = sig.select("doc_id", "n_shingles", "set_a", "set_b", "digest").join(of_set, ["set_a", "set_b", "n_shingles"], "left")
     least = F.coalesce("comp", "doc_id")
@@ -252,7 +275,6 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str =
     Rows go by their id and text, so those of a null id go too, and a row stays though another
     text of its id goes.
     """
-    dropped = _grouped(docs, threshold, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    few, _ = small_or_not(stage_table(dropped, "near-dropped"))
+    dropped = _grouped(docs, threshold, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_k")).distinct()
     own = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    return docs.join(few, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_digest")), "left_anti")
+    return having(docs, own, stage_table(dropped, "near-dropped"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_k")), "left_anti")
