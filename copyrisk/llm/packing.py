@@ -1,114 +1,34 @@
-"""Lexical retrieval packing: a sharded BM25 index of the whole table offers unused neighbours that fill windows."""
+"""Lexical retrieval packing: shards of a BM25 inverted index return unused neighbours that fill windows."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from math import ceil
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stage_table
 from .tokens import word_tokens
 
 WINDOW = 2048
-#: Tokens, and documents, from which on a task closes an index shard and starts the next.
-SHARD_TOKENS, SHARD_DOCS = 2_000_000, 4096
+#: Tokens and documents that fill an index shard; a shard holds about as many of either at most.
+SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4096
 #: Texts encoded at a time.
 SLICE = 100
-#: BM25's two constants, and the steps of a score that count as different.
-K1, B, STEPS = 1.2, 0.75, 1024
-#: Unused neighbours that a window is offered in a round, and windows that a document is offered
-#: to, by each partition of the index.  Rounds go on until all windows are full.
-OFFERS = 8
-NONE = -(1 << 62)
-#: Scores held at a time, and products summed at a time.
-CELLS, PRODUCTS = 4_000_000, 4_000_000
-#: Open windows up to which the driver deals out a round's offers, the best first.
-FEW = 5000
-#: Shards of a partition of the index, and the partitions that a small index is spread over.
-TOGETHER, SPREAD = 8, 12
+#: BM25's two constants.
+K1, B = 1.2, 0.75
+#: Terms of more documents of a shard are scored by products of matrices of so many terms at a time.
+RARE, COLUMNS = 16, 2048
+#: A shard of rows that can't be told apart is closed at so many times its size.
+OVERFULL = 4
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_SHARD = "block long, n long, n_words long, tails binary, doc_ids binary, sizes binary, ids binary, lengths binary, terms binary, first binary, doc binary, tf binary"
-_TYPES = {"lengths": "<i4", "terms": "<u8", "first": "<i4", "doc": "<i4", "tf": "<i4"}
-_OFFER = "seed long, doc long, block long, near long, room long, size long"
-
-
-def shard_arrays(words: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """Postings of a shard by word: sorted words, where each one's postings start, documents, counts."""
-    n = len(words)
-    sizes = np.array([len(w) for w in words], np.int64)
-    terms, code = np.unique(np.concatenate(words), return_inverse=True)
-    pair, tf = np.unique(code * n + np.repeat(np.arange(n), sizes), return_counts=True)
-    term, doc = np.divmod(pair, n)
-    first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
-    return {"lengths": sizes.astype("<i4"), "terms": terms.astype("<u8"), "first": first.astype("<i4"), "doc": doc.astype("<i4"), "tf": tf.astype("<i4")}
-
-
-class Postings:
-    """A shard's postings of the documents in ``live``, as rows of ``live``."""
-
-    def __init__(self, shard: dict[str, np.ndarray], live: np.ndarray):
-        self.terms, self.live = shard["terms"], live
-        row = np.full(len(shard["lengths"]), -1)
-        row[live] = np.arange(len(live))
-        row = row[shard["doc"]]
-        self.kept = row >= 0
-        self.row = row[self.kept]
-        self.term = np.repeat(np.arange(len(self.terms)), np.diff(shard["first"]))[self.kept]
-        self.count = np.bincount(self.term, minlength=len(self.terms))
-        self.first = np.cumsum(self.count) - self.count
-
-
-def bm25(seeds: Postings, idf: np.ndarray, docs: Postings, weight: np.ndarray) -> np.ndarray:
-    """BM25 of each document for all distinct words of each seed.
-
-    ``idf``: of the seeds' words.  ``weight``: the rest of the formula, by posting of ``docs``.
-    Words that many have on both sides are summed as a product of matrices, the others by posting.
-    """
-    ns, nd = len(seeds.live), len(docs.live)
-    out = np.zeros(ns * nd)
-    at = np.minimum(np.searchsorted(docs.terms, seeds.terms), max(len(docs.terms) - 1, 0))
-    if not len(docs.terms) or not len(seeds.terms):
-        return out.reshape(ns, nd)
-    met = (docs.terms[at] == seeds.terms) & (seeds.count > 0)
-    met[met] = docs.count[at[met]] > 0
-    dense = met & (seeds.count * docs.count[at] * 150 > ns * nd)
-    h = np.flatnonzero(dense)
-    if len(h):
-        x, y = np.zeros((ns, len(h)), np.float32), np.zeros((len(h), nd), np.float32)
-        col = np.full(len(seeds.terms), -1)
-        col[h] = np.arange(len(h))
-        p = np.flatnonzero(dense[seeds.term])
-        x[seeds.row[p], col[seeds.term[p]]] = idf[seeds.term[p]]
-        back = np.full(len(docs.terms), -1)
-        back[at[h]] = np.arange(len(h))
-        p = np.flatnonzero(back[docs.term] >= 0)
-        y[back[docs.term[p]], docs.row[p]] = weight[p]
-        out += (x @ y).ravel()
-    p = np.flatnonzero((met & ~dense)[seeds.term])
-    term = seeds.term[p]
-    many, start = docs.count[at[term]], docs.first[at[term]]
-    total = np.cumsum(many)
-    i = 0
-    while i < len(p):
-        done = total[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(total, done + PRODUCTS, "right")))
-        n = many[i:j]
-        post = np.repeat(start[i:j] - (total[i:j] - n - done), n) + np.arange(total[j - 1] - done)
-        out += np.bincount(np.repeat(seeds.row[p[i:j]] * nd, n) + docs.row[post], np.repeat(idf[term[i:j]], n) * weight[post], ns * nd)
-        i = j
-    return out.reshape(ns, nd)
-
-
-def powers(n: int) -> list[int]:
-    """The powers of two that sum to n, largest first."""
-    return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
+_TOKENS = "doc_id long, h long, n long, ids binary"
 
 
 def default_tokenizer() -> str:
@@ -117,180 +37,180 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _shards(docs: DataFrame, path: str, window: int, end_id: int, id_col: str, text_col: str, shard_tokens: int) -> DataFrame:
-    """One row per index shard: its documents' ids, token ids and postings."""
+def powers(n: int) -> list[int]:
+    """The powers of two that sum to n, largest first."""
+    return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block = word_tokens(path), TaskContext.get().partitionId() << 32
-        ids, words, docs_ = [], [], []
-
-        def closed() -> pa.RecordBatch:
-            sizes, every = np.array([len(x) for x in ids], "<i8"), np.concatenate(ids)
-            cols = {"tails": (sizes % window).astype("<i4"), "sizes": sizes, "ids": every.astype("<u2" if every.max() < 1 << 16 else "<u4")}
-            null = np.array([d is None for d in docs_], "u1")
-            cols["doc_ids"] = np.concatenate([np.array([d or 0 for d in docs_], "<i8").view("u1"), null])
-            cols |= shard_arrays(words)
-            row = {"block": block, "n": len(ids), "n_words": sum(map(len, words)), **{k: v.tobytes() for k, v in cols.items()}}
-            names = [f.split()[0] for f in _SHARD.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array([row[k]], pa.binary() if isinstance(row[k], bytes) else pa.int64()) for k in names], names=names)
-
-        total = 0
-        for b in batches:
-            for i in range(0, b.num_rows, SLICE):
-                part = b.slice(i, SLICE)
-                docs_ += part.column(0).to_pylist()
-                for x, w in encoder.encode(part.column(1).to_pylist(), end_id):
-                    ids.append(x), words.append(w)
-                    total += len(x)
-                if total >= shard_tokens or len(ids) >= SHARD_DOCS:
-                    yield closed()
-                    block += 1
-                    ids, words, docs_, total = [], [], [], 0
-        if ids:
-            yield closed()
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    return src.mapInArrow(run, _SHARD)
+def unpack(ids: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
-def _index(shards: DataFrame) -> DataFrame:
-    """The shards' postings, with the number of documents of the whole table that have each word."""
+def token_table(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, h, n, ids``: a hash of each row's text, and its ids with ``end_id`` after them."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_tokens(path)
         for b in batches:
-            for block, terms, first in zip(*(c.to_pylist() for c in b.columns)):
-                t, c = np.frombuffer(terms, "<i8"), np.diff(np.frombuffer(first, "<i4"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), block)), pa.array(np.arange(len(t), dtype=np.int64)), pa.array(t), pa.array(c.astype(np.int64))], names=["block", "pos", "term", "c"])
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                ids = [x for x, _ in encoder.encode(part.column(2).to_pylist(), end_id)]
+                packed = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
+                cols = [part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "n", "ids"])
 
-    each = shards.select("block", "terms", "first").mapInArrow(words, "block long, pos long, term long, c long")
-    known = each.withColumn("df", F.sum("c").over(Window.partitionBy("term")))
-    df = known.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "df"))), lambda x: x["df"]).alias("df"))
-    return shards.select("block", "lengths", "terms", "first", "doc", "tf").join(df, "block", "left")
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(raw).alias("h"), raw.alias("raw"))
+    return src.mapInArrow(run, _TOKENS)
 
 
-def _offers(index: DataFrame, parts: int, state) -> DataFrame:
-    """Of each open window, the unused documents of the whole table that its seed finds best, and
-    of each unused document, the open windows whose seeds find it best.
+def document_frequencies(tokens: DataFrame) -> np.ndarray:
+    """How many documents of the whole table hold each token.
 
-    Every shard meets every shard.  Equal scores go by the way from the seed to the document in
-    table order, so that windows of equal seeds differ in what they find.
+    Tasks count into an array of the vocabulary's size, so the vocabulary bounds what reaches
+    the driver, however many documents there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, room, size, n, mean = state.value
-        last, seeds, best = None, None, None
-        of_docs: dict[int, list[np.ndarray]] = {}
-
-        def rows(seed: np.ndarray, doc: np.ndarray, block: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-            cols = (seed, doc, block, near, room[seed], size[doc])
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=[f.split()[0] for f in _OFFER.split(", ")])
-
-        def offered() -> Iterator[pa.RecordBatch]:
-            near, doc, block = best
-            seed, k = np.nonzero(near > NONE)
-            yield rows(base[last] + seeds.live[seed], doc[seed, k], block[seed, k], near[seed, k])
-
+        df = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for r in range(b.num_rows):
-                own = {f: b.column(i)[r] for i, f in enumerate(b.schema.names)}
-                block, other = own["block"].as_py(), own["o_block"].as_py()
-                shard = {f: np.frombuffer(own[f].as_buffer(), t) for f, t in _TYPES.items()}
-                if block != last:
-                    if best is not None:
-                        yield from offered()
-                    last, best = block, None
-                    live = np.flatnonzero(room[base[block] : base[block] + len(shard["lengths"])] > 0)
-                    seeds = Postings(shard, live) if len(live) else None
-                    df = own["df"].values.to_numpy() if own["df"].is_valid else np.zeros(0)
-                    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-                    if seeds:
-                        best = tuple(np.full((len(live), OFFERS), v, np.int64) for v in (NONE, 0, 0))
-                if not seeds:
-                    continue
-                shard = {f: np.frombuffer(own[f"o_{f}"].as_buffer(), t) for f, t in _TYPES.items()}
-                live = np.flatnonzero(size[base[other] : base[other] + len(shard["lengths"])] > 0)
-                if not len(live):
-                    continue
-                docs = Postings(shard, live)
-                tf = shard["tf"][docs.kept]
-                norm = K1 * (1 - B + B * shard["lengths"] / mean)
-                weight = tf * (K1 + 1) / (tf + norm[live][docs.row])
-                keys, step = base[other] + live, max(1, CELLS // len(live))
-                for i in range(0, len(seeds.live), step):
-                    part = seeds
-                    if step < len(seeds.live):
-                        mine = (seeds.row >= i) & (seeds.row < i + step)
-                        part = _rows(seeds, mine, i, step)
-                    near = np.rint(bm25(part, idf, docs, weight) * STEPS).astype(np.int64) * n
-                    near -= (keys[None, :] - (base[block] + part.live)[:, None]) % n
-                    mine = of_docs.setdefault(other, [np.full((len(live), OFFERS), NONE), np.zeros((len(live), OFFERS), np.int64), keys])
-                    both = np.concatenate([mine[0], near.T], 1), np.concatenate([mine[1], np.tile(base[block] + part.live, (len(live), 1))], 1)
-                    top = np.argpartition(-both[0], OFFERS - 1, axis=1)[:, :OFFERS]
-                    mine[:2] = (np.take_along_axis(x, top, 1) for x in both)
-                    top = np.argpartition(-near, OFFERS - 1, axis=1)[:, :OFFERS] if len(live) > OFFERS else np.tile(np.arange(len(live)), (len(near), 1))
-                    every = [np.concatenate([x[i : i + step], y], 1) for x, y in zip(best, (np.take_along_axis(near, top, 1), keys[top], np.full(top.shape, other)))]
-                    top = np.argpartition(-every[0], OFFERS - 1, axis=1)[:, :OFFERS]
-                    for x, y in zip(best, every):
-                        x[i : i + step] = np.take_along_axis(y, top, 1)
-        if best is not None:
-            yield from offered()
-        for other, (near, seed, keys) in of_docs.items():
-            d, k = np.nonzero(near > NONE)
-            yield rows(seed[d, k], keys[d], np.full(len(d), other), near[d, k])
-
-    names = ["block", *_TYPES]
-    left = index.select(*names, "df").coalesce(parts).hint("shuffle_replicate_nl")
-    right = index.select(*[F.col(c).alias(f"o_{c}") for c in names]).coalesce(parts)
-    return left.crossJoin(right).mapInArrow(run, _OFFER)
-
-
-def _rows(seeds: Postings, mine: np.ndarray, i: int, step: int) -> Postings:
-    """The postings of ``step`` seeds from the one at ``i`` on."""
-    out = object.__new__(Postings)
-    out.terms, out.live = seeds.terms, seeds.live[i : i + step]
-    out.row, out.term = seeds.row[mine] - i, seeds.term[mine]
-    out.count = np.bincount(out.term, minlength=len(out.terms))
-    out.first = np.cumsum(out.count) - out.count
-    return out
-
-
-def _current(offers: DataFrame, room: np.ndarray, size: np.ndarray) -> DataFrame:
-    """The offers that still hold, with the room and the sizes of now."""
-    state = offers.sparkSession.sparkContext.broadcast((room.copy(), size.copy()))
-
+            for n, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                terms = np.unique(unpack(ids, n)[:-1])
+                if len(terms) and terms[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)])
+                df[terms] += 1
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df[terms])], names=["term", "c"])
+
+    found = tokens.select("n", "ids").mapInArrow(run, "term long, c long").groupBy("term").agg(F.sum("c").alias("c")).toArrow()
+    term, c = (found.column(k).to_numpy() for k in ("term", "c"))
+    df = np.zeros(int(term.max()) + 1 if len(term) else 1, np.int64)
+    df[term] = c
+    return df
+
+
+class Bm25:
+    """BM25 over tokens with the frequencies and the mean length of the whole table."""
+
+    def __init__(self, df: np.ndarray, n_docs: int, mean: float):
+        self.idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+        self.shared, self.mean = df > 1, max(mean, 1.0)
+
+    def weight(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+
+    def topic(self, ids: np.ndarray) -> int:
+        """The token of greatest weight among those that another document has too; 0 without any."""
+        term, tf = np.unique(ids, return_counts=True)
+        own = self.shared[term]
+        term, tf = term[own], tf[own]
+        return int(term[self.weight(term, tf, len(ids)).argmax()]) if len(term) else 0
+
+    def scores(self, docs: list[np.ndarray], seeds: np.ndarray) -> np.ndarray:
+        """The score of each document for all distinct tokens of each seed, by the shard's postings.
+
+        Tokens that many documents of the shard have are summed as products of matrices, the
+        others by posting.
+        """
+        n, k = len(docs), len(seeds)
+        sizes = np.array([len(x) for x in docs])
+        doc = np.repeat(np.arange(n), sizes)
+        code, tf = np.unique(np.concatenate(docs).astype(np.int64) * n + doc, return_counts=True)
+        term, doc = np.divmod(code, n)
+        w = self.weight(term, tf, sizes[doc])
+        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+        many = np.diff(np.append(first, len(term)))
+        seed_of = np.full(n, -1)
+        seed_of[seeds] = np.arange(k)
+        out = np.zeros(k * n, np.float32)
+        at = np.repeat(np.arange(len(first)), many)
+        p = np.flatnonzero((many[at] > 1) & (many[at] <= RARE) & (seed_of[doc] >= 0))
+        reps = many[at[p]]
+        post = np.repeat(first[at[p]], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        out += np.bincount(np.repeat(seed_of[doc[p]], reps) * n + doc[post], w[post], k * n).astype(np.float32)
+        out = out.reshape(k, n)
+        common = np.flatnonzero(many > RARE)
+        for i in range(0, len(common), COLUMNS):
+            col = np.full(len(first), -1)
+            col[common[i : i + COLUMNS]] = np.arange(len(common[i : i + COLUMNS]))
+            p = np.flatnonzero(col[at] >= 0)
+            d = np.zeros((n, min(COLUMNS, len(common) - i)), np.float32)
+            d[doc[p], col[at[p]]] = w[p]
+            out += (d[seeds] > 0).astype(np.float32) @ d.T
+        return out
+
+
+def fill_windows(sizes: np.ndarray, docs: list[np.ndarray], model: Bm25, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """``(document, left, length, sequence)`` of a shard's pieces in the order of their places.
+
+    ``left``: how many of the document's tokens come from the piece's start on.  Whole windows of
+    long documents stand alone.  Of the rests, as many as fill windows, the longest, are seeds;
+    each seed in turn takes the unused neighbours that it scores highest until its window is
+    full, and what the window's end cuts off stays unused.  What remains is shorter than a
+    window and is cut into powers of two.
+    """
+    number = count()
+    for d in np.flatnonzero(sizes >= window).tolist():
+        for k in range(int(sizes[d]) // window):
+            yield d, int(sizes[d]) - k * window, window, next(number)
+    rest = sizes % window
+    order = np.lexsort((np.arange(len(rest)), -rest))
+    seeds = order[: int(rest.sum()) // window]
+    if len(seeds):
+        scores = model.scores(docs, seeds)
+        own, rest[seeds] = rest[seeds], 0
+        for s, near, size in zip(seeds.tolist(), scores, own.tolist()):
+            sequence, room = next(number), window - size
+            yield s, size, size, sequence
+            best = np.argsort(-near, kind="stable")
+            best = best[rest[best] > 0]
+            filled = np.cumsum(rest[best])
+            for d in best[: int(np.searchsorted(filled, room)) + 1].tolist() if room else ():
+                take = min(room, int(rest[d]))
+                yield d, int(rest[d]), take, sequence
+                rest[d] -= take
+                room -= take
+    left = [d for d in order.tolist() if rest[d]]
+    for room in powers(int(rest.sum())):
+        sequence = next(number)
+        while room:
+            d = left[0]
+            take = min(room, int(rest[d]))
+            yield d, int(rest[d]), take, sequence
+            rest[d] -= take
+            room -= take
+            if not rest[d]:
+                left.pop(0)
+
+
+def _units(n: np.ndarray | int, many: np.ndarray | int, shard_tokens: int) -> np.ndarray | float:
+    return n / shard_tokens + many / SHARD_DOCS
+
+
+def shard_plan(topics: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shard of each topic and how many it has; small topics share one with the next."""
+    first, pieces = np.zeros(int(topics.max()) + 1 if len(topics) else 1, np.int64), np.ones(int(topics.max()) + 1 if len(topics) else 1, np.int64)
+    shard, filled = 0, 0.0
+    for t in np.argsort(topics).tolist():
+        u = float(units[t])
+        if u > 1 or filled + u > 1:
+            shard, filled = shard + (filled > 0), 0.0
+        first[topics[t]] = shard
+        if u > 1:
+            pieces[topics[t]] = ceil(u)
+            shard += ceil(u)
+        else:
+            filled += u
+    return first, pieces
+
+
+def _with_topic(tokens: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        room, size = state.value
         for b in batches:
-            own, doc = room[b.column(0).to_numpy()], size[b.column(1).to_numpy()]
-            cols = [*b.columns[:4], pa.array(own.astype(np.int64)), pa.array(doc.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array((own > 0) & (doc > 0)))
-
-    return offers.mapInArrow(run, _OFFER)
-
-
-def _won(offers: DataFrame, window: int) -> DataFrame:
-    """What windows take of the documents whose best offer they are."""
-    won = offers.groupBy("doc").agg(F.max(F.struct("near", "seed", "block", "room", "size")).alias("w")).select("doc", "w.*")
-    order = Window.partitionBy("seed").orderBy(F.desc("near"), "doc")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = won.withColumn("before", before).filter("before < room").withColumn("take", F.least("size", F.col("room") - F.col("before")))
-    return stage_table(won.select("block", "doc", "size", "take", "seed", (F.lit(window) - F.col("room") + F.col("before")).alias("offset")), "pack-won")
-
-
-def _rest(size: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
-    """What no window needs, by document: ``(left, length, sequence, offset)`` in powers of two."""
-    pieces = [(int(d), int(size[d])) for d in np.flatnonzero(size)]
-    out: dict[int, list[tuple[int, int, int, int]]] = {}
-    for sequence, n in enumerate(powers(int(size.sum()))):
-        offset = 0
-        while offset < n:
-            d, have = pieces.pop(0)
-            take = min(n - offset, have)
-            out.setdefault(d, []).append((have, take, (len(size) << 24) + sequence, offset))
-            offset += take
-            if have > take:
-                pieces.insert(0, (d, have - take))
-    return out
+            topics = [model.value.topic(unpack(ids, n)[:-1]) for n, ids in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(topics, pa.int64())], names=["doc_id", "h", "n", "ids", "topic"])
+
+    return tokens.mapInArrow(run, f"{_TOKENS}, topic long")
 
 
 def pack_documents(
@@ -304,90 +224,68 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``window`` tokens.
 
-    Whole windows of long documents stand alone.  Of the rest of each document, as many as fill
-    windows, the longest, are seeds of one window each.  In rounds, each seed asks all shards of
-    the index with all its distinct words; document frequencies and mean length are those of the
-    whole table.  A document goes to the window whose seed scores it highest, and a window takes
-    what it won in the order of the scores until it is full; a document that its end cuts stays
-    unused with what is left.  What remains when all windows are full is cut into sequences
-    whose lengths are powers of two, so no sequence needs padding and each token is used once.
-
-    All pairs of a seed and a document are scored, so time grows with the square of the table.
-    The driver keeps a few numbers per document.
+    Documents are dealt to index shards by content: by the token that BM25 weighs highest among
+    those that other documents have too.  So neighbours meet wherever they stand in the table,
+    and the result doesn't depend on how the table is cut into files.  A topic of more than a
+    shard is dealt to several by a hash of id and text, small topics share a shard; time grows
+    in proportion to the table.  Document frequencies and mean length are those of the whole
+    table.  In its shard each seed document retrieves the unused neighbours by all its distinct
+    tokens and fills its window with them; see :func:`fill_windows`.  No sequence needs padding
+    and each token is used once.
 
     A document's ids are those of its whole text and ``end_id`` after them, so null and empty
-    texts have one.  Repeated rows are packed once each.  Empty tables give no rows.
-    ``tokenizer``: file of a tokenizer whose tokens don't cross ASCII white space, at the same
-    place on all executors.
+    texts have one.  Equal scores go by a hash of the text and the id.  Repeated rows are packed
+    once each; very long texts are cut into windows like others.  Other columns are ignored.
+    Empty tables give no rows.  ``tokenizer``: file of a tokenizer whose tokens don't cross
+    ASCII white space, at the same place on all executors.
     """
     spark = docs.sparkSession
-    shards = stage_table(_shards(docs, tokenizer or default_tokenizer(), window, end_id, id_col, text_col, shard_tokens), "pack-shards")
-    known = sorted(shards.select("block", "n", "n_words", "tails").collect())
-    n = sum(r.n for r in known)
-    base = dict(zip((r.block for r in known), np.cumsum([0, *(r.n for r in known)]).tolist()))
-    tails = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(r.tails, "<i4") for r in known)])
-    mean = max(sum(r.n_words for r in known) / max(n, 1), 1)
-    seeds = np.sort(np.lexsort((np.arange(n), -tails))[: int(tails.sum()) // window])
-    room, size = np.zeros(n, np.int32), tails.copy()
-    room[seeds] = window - size[seeds]
-    size[seeds] = 0
-    taken = spark.createDataFrame([], "block long, doc long, size long, take long, seed long, offset long")
-    if len(seeds):
-        index = stage_table(_index(shards), "pack-index")
-    while room.any():
-        state = spark.sparkContext.broadcast((base, room, size, n, mean))
-        offers = _offers(index, max(ceil(len(known) / TOGETHER), min(len(known), SPREAD)), state)
-        room, size = room.copy(), size.copy()
-        if np.count_nonzero(room) <= FEW:
-            rows = []
-            found = offers.select("near", "seed", "doc", "block").toArrow()
-            near, seed, doc, block = (found[c].to_numpy() for c in ("near", "seed", "doc", "block"))
-            for i in np.lexsort((doc, seed, -near)).tolist():
-                s, d = seed[i], doc[i]
-                take = min(int(room[s]), int(size[d]))
-                if take:
-                    rows.append((int(block[i]), int(d), int(size[d]), take, int(s), window - int(room[s])))
-                    room[s] -= take
-                    size[d] -= take
-            if not rows:
-                raise RuntimeError("no window was offered a document")
-            taken = taken.unionAll(spark.createDataFrame(rows, taken.schema))
-            continue
-        offers, first = stage_table(offers, "pack-offers"), 0
-        while True:
-            won = _won(_current(offers, room, size), window)
-            found = won.select("doc", "take", "seed").toArrow()
-            doc, take, seed = (found[c].to_numpy() for c in ("doc", "take", "seed"))
-            size[doc] -= take.astype(np.int32)
-            np.subtract.at(room, seed, take.astype(np.int32))
-            taken = taken.unionAll(won)
-            first = first or len(doc)
-            if len(doc) <= first // 20 or not room.any():
-                break
-    plan = spark.sparkContext.broadcast((base, seeds, _rest(size)))
+    tokens = stage_table(token_table(docs, tokenizer or default_tokenizer(), end_id, id_col, text_col), "pack-tokens")
+    n_docs, total = tokens.agg(F.count("*"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()
+    model = spark.sparkContext.broadcast(Bm25(document_frequencies(tokens), n_docs, total / max(n_docs, 1)))
+    known = _with_topic(tokens, model)
+    # as many rows as the vocabulary has tokens, at most
+    sums = known.groupBy("topic").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).toArrow()
+    topics, n, many = (sums.column(k).to_numpy() for k in ("topic", "n", "docs"))
+    plan = spark.sparkContext.broadcast(shard_plan(topics, _units(n, many, shard_tokens)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, pieces = plan.value
+        for b in batches:
+            topic, t = b.column(4).to_numpy(), b.column(5).to_numpy().view(np.uint64)
+            shard = first[topic] + (t % pieces[topic].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *b.columns[:4]], names=["shard", "doc_id", "h", "n", "ids"])
+
+    def pack(rows: list[tuple], shard: int, first: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces of the rows ``doc_id, n, ids``; sequences are numbered from ``first`` on."""
+        ids = [unpack(x, n) for _, n, x in rows]
+        sizes = np.array([n for _, n, _ in rows], np.int64)
+        found, sequence, at = [], -1, 0
+        wide, last = b"", -1
+        for d, left, length, s in fill_windows(sizes, [x[:-1] for x in ids], model.value, window):
+            sequence, at = (sequence, at) if s == sequence else (s, 0)
+            if d != last:
+                wide, last = memoryview(ids[d].astype("<u4").tobytes()), d
+            start = int(sizes[d]) - left
+            found.append((d, start, length, crc32(wide[4 * start : 4 * (start + length)]), int(sizes[d]), (shard << 24) + first + s, at))
+            at += length
+        cols = [pa.array(c, pa.int64()) for c in zip(*found)]
+        cols[0] = pa.array([x[0] for x in rows], pa.int64()).take(cols[0])
+        return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in _SCHEMA.split(", ")]), first + sequence + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seeds, rest = plan.value
+        rows, shard, filled, first = [], None, 0.0, 0
         for b in batches:
-            for r in b.to_pylist():
-                first, sizes = base[r["block"]], np.frombuffer(r["sizes"], "<i8")
-                doc_ids, null = np.frombuffer(r["doc_ids"][: 8 * r["n"]], "<i8"), r["doc_ids"][8 * r["n"] :]
-                ids = np.frombuffer(r["ids"], "<u2" if len(r["ids"]) == 2 * sizes.sum() else "<u4")
-                start = np.cumsum(sizes) - sizes
-                pieces = [(p["doc"] - first, p["size"], p["take"], p["seed"] << 24, p["offset"]) for p in r["pieces"] or []]
-                for i, total in enumerate(sizes.tolist()):
-                    key = first + i
-                    pieces += [(i, total - k * window, window, (key << 24) + 1 + k, 0) for k in range(total // window)]
-                    pieces += [(i, *p) for p in rest.get(key, ())]
-                for s in seeds[np.searchsorted(seeds, first) : np.searchsorted(seeds, first + r["n"])].tolist():
-                    tail = int(sizes[s - first]) % window
-                    pieces.append((s - first, tail, tail, s << 24, 0))
-                rows = []
-                for i, left, take, sequence, offset in sorted(pieces):
-                    total = int(sizes[i])
-                    at = int(start[i]) + total - left
-                    rows.append((None if null[i] else int(doc_ids[i]), total - left, take, crc32(ids[at : at + take].astype("<u4").tobytes()), total, sequence, offset))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[f.split()[0] for f in _SCHEMA.split(", ")])
-
-    pieces = taken.groupBy("block").agg(F.collect_list(F.struct("doc", "size", "take", "seed", "offset")).alias("pieces"))
-    return shards.select("block", "n", "doc_ids", "sizes", "ids").join(pieces, "block", "left").mapInArrow(run, _SCHEMA)
+            for s, doc_id, n, ids in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4))):
+                if rows and (s != shard or filled > OVERFULL):
+                    found, first = pack(rows, shard, first)
+                    yield found
+                    rows, filled, first = [], 0.0, first if s == shard else 0
+                shard = s
+                rows.append((doc_id, n, ids))
+                filled += _units(n, 1, shard_tokens)
+        if rows:
+            yield pack(rows, shard, first)[0]
+
+    dealt = known.withColumn("t", F.xxhash64("doc_id", "h")).mapInArrow(deal, "shard long, " + _TOKENS)
+    return dealt.repartition("shard").sortWithinPartitions("shard", "h", "doc_id").mapInArrow(run, _SCHEMA)
