@@ -8,20 +8,24 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stage_table
+from .scratch import BLOCK_BITS, FILTER_BLOCKS, having, key_filter, scratch, small_or_not, stage_table
 from .shingles import mix
 
 #: Length of the strings, and of the byte grams whose least hash stands for a string.
 LENGTH, GRAM = 200, 32
 #: String starts of one text that a segment holds at most.
 RUN = 4096
-#: Bytes from which on a task closes a shard; segments of one fingerprint in a shard at most.
-SHARD_BYTES, SHARD_SEGMENTS = 2_000_000, 8192
-#: Rows of a few numbers each up to which spans are broadcast to the scan of the texts.
-BROADCAST_SPANS = 400_000
+#: Bytes of text in a shard, nearly.
+SHARD_BYTES = 2_000_000
+#: Chains that count common prefixes side by side take so many suffixes each.
+CHAIN = 128
+#: Segments whose bytes a task remembers to have sent; it starts anew beyond that.
+REMEMBERED = 100_000
+#: Strings that a task of the merge holds, nearly.
+MERGED = 1_000_000
 
 _TABLE = np.random.default_rng(19).integers(0, 1 << 63, 256, dtype=np.uint64)
 _STEPS = np.random.default_rng(23).integers(0, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
@@ -51,7 +55,7 @@ def fingerprints(h: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.nd
 
 
 def segments(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts with one fingerprint: fingerprints, first starts, hashes of the bytes,
+    """Runs of string starts with one fingerprint: fingerprints, first starts, ends of the starts,
     and whether the text has the fingerprint's gram twice, as where strings of one run are equal.
 
     A run's bytes reach from its first start to the end of the string at its last one.
@@ -63,10 +67,13 @@ def segments(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     if (ends - new).max() > RUN:  # periodic text: cut long runs
         new = np.concatenate([np.arange(a, b, RUN) for a, b in zip(new, ends)])
         ends = np.append(new[1:], len(fp))
-    view = memoryview(raw)
-    digest = np.array([xxhash.xxh3_64_intdigest(view[a : b + length - 1]) for a, b in zip(new.tolist(), ends.tolist())], np.uint64)
-    known, times = np.unique(h, return_counts=True)
-    return fp[new], new, digest, times[np.searchsorted(known, fp[new])] > 1
+    found = fp[new]
+    # few grams of the text share the low bits of a fingerprint; of those, the ones equal to it count
+    marked = np.zeros(1 << 16, bool)
+    marked[(found & np.uint64(0xFFFF)).astype(np.int64)] = True
+    near = np.sort(h[marked[(h & np.uint64(0xFFFF)).astype(np.int64)]])
+    twice = np.searchsorted(near, found, "right") - np.searchsorted(near, found, "left") > 1
+    return found, new, ends, twice
 
 
 def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -103,25 +110,46 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return order
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH) -> np.ndarray:
-    """Bytes, ``most`` at most, that each of the given sorted suffixes shares with the one before.
+def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH, chain: int = CHAIN) -> np.ndarray:
+    """Bytes, ``most`` at most, that each suffix of a suffix array shares with the one before it.
 
-    Kasai's algorithm carries a suffix's count over to its successor in the text; here all
-    suffixes are counted side by side, eight bytes a round, and leave where they differ.
+    Kasai's algorithm: in the order of the text, a suffix shares with its neighbour at least one
+    byte less than the suffix before it did, so comparing goes on from there.  The text is cut
+    into chains of ``chain`` suffixes that go side by side.  Where a text repeats so far that
+    suffixes are tied beyond the sorted depth, a neighbour's successor may stand behind; then
+    the count starts anew.
     """
-    padded = np.concatenate([data, np.zeros(most + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    out = np.zeros(len(order), np.int64)
-    live = np.arange(1, len(order))
-    a, b = order[1:], order[:-1]
-    for step in range(0, most, 8):
-        same = words[a + step] == words[b + step]
-        run = np.where(same.all(1), 8, same.argmin(1))
-        out[live] += np.minimum(run, most - step)
-        go = run == 8
-        live, a, b = live[go], a[go], b[go]
-        if not len(live):
-            break
+    n = len(data)
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(most + chain + 16, np.uint8)]), 8)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    before = np.empty(n, np.int64)
+    before[order] = np.concatenate([[-1], order[:-1]])
+    out = np.zeros(n, np.int64)
+    starts = np.arange(0, n, chain)
+    h = np.zeros(len(starts), np.int64)
+    old = np.full(len(starts), -1)
+    for step in range(chain):
+        if starts[-1] + step >= n:  # the last chain is shorter
+            starts, h, old = starts[:-1], h[:-1], old[:-1]
+            if not len(starts):
+                break
+        i = starts + step
+        j = before[i]
+        holds = (old >= 0) & (old + 1 < n)
+        holds[holds] = rank[old[holds] + 1] < rank[i[holds]]
+        h = np.where(holds, np.maximum(h - 1, 0), 0)
+        live = np.flatnonzero((j >= 0) & (h < most))
+        while len(live):
+            a, b = i[live] + h[live], j[live] + h[live]
+            same = words[np.minimum(a, n)] == words[np.minimum(b, n)]
+            run = np.where(same.all(1), 8, same.argmin(1))
+            run = np.minimum(run, np.minimum(most - h[live], n - np.maximum(a, b)))
+            h[live] += run
+            live = live[(run == 8) & (h[live] < most)]
+        h = np.where(j >= 0, h, 0)
+        out[rank[i]] = h
+        old = j
     return out
 
 
@@ -129,15 +157,17 @@ def repeats(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.n
     """The starts of all ``length``-byte strings of the pieces in sorted order, which of them has
     its equal among the others, and which is the first of its equals."""
     data = np.frombuffer(b"".join(pieces), np.uint8)
-    sizes = np.array([len(p) for p in pieces])
-    last = np.cumsum(sizes)
+    last = np.cumsum([len(p) for p in pieces])
     owned = np.ones(len(data), bool)
     for k in range(1, length):
         owned[last - k] = False
     order = suffix_array(data, length)
-    order = order[owned[order]]
-    equal = common_prefixes(data, order, length) >= length
-    return order, equal | np.append(equal[1:], False), ~equal
+    shared = common_prefixes(data, order, length)
+    own = np.flatnonzero(owned[order])
+    # with the owned suffix before it, one shares as much as all the suffixes between them do
+    equal = np.minimum.reduceat(shared[: own[-1] + 1], np.concatenate([[0], own[:-1] + 1])) >= length if len(own) else np.zeros(0, bool)
+    equal[:1] = False
+    return order[own], equal | np.append(equal[1:], False), ~equal
 
 
 def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -145,158 +175,277 @@ def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist())
 
 
-_SHARD_OUT = "h1 long, h2 long, a long, b long, d1 long, d2 long, solo boolean"
+class _Shared:
+    """The filter of fingerprints, by two bits each, in numpy."""
+
+    def __init__(self, rows: list):
+        self.bits = np.zeros((FILTER_BLOCKS, BLOCK_BITS // 8), np.uint8)
+        for block, bits in rows:
+            self.bits[block] = np.frombuffer(bits, np.uint8)
+
+    def __call__(self, fp: np.ndarray) -> np.ndarray:
+        hit = np.ones(len(fp), bool)
+        for h in (fp, fp >> 12):
+            bit = (h >> 20) % BLOCK_BITS
+            hit &= (self.bits[h % FILTER_BLOCKS, bit >> 3] >> (bit & 7) & 1).astype(bool)
+        return hit
+
+
+_RUNS = "fp long, seg long, h1 long, h2 long, s0 long, k long, twice boolean, data binary"
+_FOUND = "fp long, seg long, h1 long, h2 long, a long, b long, slice int, strings binary"
+
+
+def shared_fingerprints(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``fp`` of runs of more than one text or place, or that may repeat within themselves.
+
+    A batch's fingerprints are counted before they leave the task, and Spark adds up by task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [segments(x.as_py(), length) for x in b.column(0)]
+            if cut:
+                fp, at, c = np.unique(np.concatenate([x[0] for x in cut]), return_inverse=True, return_counts=True)
+                twin = np.bincount(at, np.concatenate([x[3] for x in cut])) > 0
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(np.where(twin, np.maximum(c, 2), c))], names=["fp", "c"])
+
+    return texts.select("raw").mapInArrow(run, "fp long, c long").groupBy("fp").agg(F.sum("c").alias("c")).filter("c > 1").select("fp")
+
+
+def shared_runs(texts: DataFrame, known, length: int = LENGTH) -> DataFrame:
+    """The runs of the texts whose fingerprints the filter ``known`` holds: fingerprint, digest of the
+    bytes, text, first start, number of starts; the bytes themselves once for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
+        rows, size = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            types = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in _RUNS.split(", ")])
+
+        for b in batches:
+            for h1, h2, raw in zip(*(c.to_pylist() for c in b.columns)):
+                fp, new, ends, twice = segments(raw, length)
+                fp = fp.view(np.int64)
+                own = known.value(fp) | twice
+                view = memoryview(raw)
+                for f, s, e, t in zip(*(x[own].tolist() for x in (fp, new, ends, twice))):
+                    data = view[s : e + length - 1]
+                    seg = xxhash.xxh3_64_intdigest(data) - (1 << 63)
+                    fresh = (f, seg) not in sent
+                    if fresh:
+                        if len(sent) >= REMEMBERED:
+                            sent.clear()
+                        sent.add((f, seg))
+                        size += len(data)
+                    rows.append((f, seg, h1, h2, s, e - s, t, bytes(data) if fresh else None))
+                if size > 4_000_000 or len(rows) > 50_000:
+                    yield flushed()
+                    rows, size = [], 0
+        if rows:
+            yield flushed()
+
+    return texts.select("h1", "h2", "raw").mapInArrow(run, _RUNS)
+
 
+def _shard_rows(rows: list[tuple], length: int, slices: int) -> list[tuple]:
+    """A shard's repeated starts, from rows ``fp, seg, spread, n, h1, h2, s0, data``.
 
-def _shard_rows(rows: list[tuple], length: int) -> list[tuple]:
-    """``rows``: parts, h1, h2, s0, n, data.  Runs of repeated starts; for fingerprints in several
-    shards also a digest for each distinct string, to be met with those of the other shards."""
-    out = []
-    sizes = [len(r[5]) for r in rows]
+    A run that occurs once gives its text's ranges of starts; of one that occurs more often all
+    starts repeat, and it is named.  Runs of a fingerprint that is spread over several shards
+    also give their distinct strings, as sorted digests, to be merged with those of the others.
+    """
+    order, again, lead = repeats([r[7] for r in rows], length)
+    sizes = [len(r[7]) for r in rows]
     first = np.cumsum(sizes) - sizes
-    order, again, lead = repeats([r[5] for r in rows], length)
+    out = [(r[0], r[1], None, None, None, None, None, None) for r in rows if r[3] > 1]
     found = np.sort(order[again])
     of = np.searchsorted(first, found, side="right") - 1
-    for k in np.unique(of).tolist():
-        parts, h1, h2, s0, n, _ = rows[k]
+    edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    for i, j in zip(edge.tolist(), np.append(edge[1:], len(of)).tolist()):
+        _, _, _, n, h1, h2, s0, _ = rows[of[i]]
         if n == 1:
-            out += [(h1, h2, s0 + a, s0 + b, None, None, None) for a, b in _runs(found[of == k] - first[k])]
-    if any(r[0] > 1 for r in rows):
-        for start, dup in zip(order[lead].tolist(), again[lead].tolist()):
-            k = int(np.searchsorted(first, start, side="right")) - 1
-            parts, h1, h2, s0, n, data = rows[k]
-            if parts > 1:
-                s = start - int(first[k])
-                d = xxhash.xxh3_128_intdigest(data[s : s + length])
-                d1, d2 = (int(np.uint64(x).view(np.int64)) for x in (d >> 64, d & 0xFFFFFFFFFFFFFFFF))
-                out.append((h1, h2, s0 + s, s0 + s, d1, d2, not dup and n == 1))
+            out += [(None, None, h1, h2, s0 + a, s0 + b, None, None) for a, b in _runs(found[i:j] - first[of[i]])]
+    spread = np.array([r[2] for r in rows])
+    of = np.searchsorted(first, order, side="right") - 1
+    at = np.flatnonzero(lead & spread[of])
+    if len(at):
+        strings = np.zeros(len(at), _STRING)
+        for x, k, start, dup in zip(strings, of[at].tolist(), order[at].tolist(), again[at].tolist()):
+            _, _, _, n, h1, h2, s0, data = rows[k]
+            s = start - int(first[k])
+            d = xxhash.xxh3_128_intdigest(data[s : s + length])
+            x["d"], x["e"], x["solo"] = d >> 64, d & 0xFFFFFFFFFFFFFFFF, not dup and n == 1
+            x["h1"], x["h2"], x["s"] = h1, h2, s0 + s
+        strings = strings[np.lexsort((strings["e"], strings["d"]))]
+        part = ((strings["d"] >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+        for p in np.unique(part).tolist():
+            out.append((None, None, None, None, None, None, p, strings[part == p].tobytes()))
     return out
 
 
-def _fits(df: DataFrame, rows: str) -> DataFrame:
-    """``df``, staged, with a broadcast hint if the sum of ``rows`` is small."""
-    return F.broadcast(df) if (df.agg(F.sum(F.expr(rows))).first()[0] or 0) <= BROADCAST_SPANS else df
+_STRING = np.dtype([("d", "<u8"), ("e", "<u8"), ("h1", "<i8"), ("h2", "<i8"), ("s", "<i8"), ("solo", "?")])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """``h1, h2, spans``: of distinct texts, the byte ranges [a, b) covered by repeated strings.
+def shard_repeats(runs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, merged: int = MERGED) -> DataFrame:
+    """What the shards' suffix arrays find among ``runs``, staged; see :func:`_shard_rows`.
 
-    ``docs``: ``h1, h2, raw``, each text once.
+    The runs of a fingerprint meet in one shard, or in several if their bytes exceed
+    ``shard_bytes``.  The counts go to the shards with the bytes, in one shuffle.
     """
+    each = stage_table(runs.groupBy("fp", "seg").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("h1", "h2", "s0", "k")).alias("one")), "suffix-each")
+    hot = each.groupBy("fp").agg(F.sum(F.col("one.k") + (length - 1)).alias("bytes"), F.sum("one.k").alias("starts")).filter(F.col("bytes") > shard_bytes)
+    hot = stage_table(hot.select("fp", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("parts"), "starts"), "suffix-hot")
+    slices = max(1, (hot.agg(F.sum("starts")).first()[0] or 0) // merged)
+    counts = each.select("fp", "seg", "n", "twice", "one.h1", "one.h2", "one.s0", F.lit(None).cast("binary").alias("data"))
+    bytes_ = runs.filter("data is not null").select("fp", "seg", F.lit(None).cast("long").alias("n"), "twice", "h1", "h2", "s0", "data")
+    few, _ = small_or_not(hot.select("fp", "parts"))
+    dealt = counts.unionAll(bytes_).join(few, "fp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod("seg", "parts").cast("int")).select("fp", "part", "seg", "parts", "n", "twice", "h1", "h2", "s0", "data")
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []  # of the shard
+        group: list[tuple] = []  # of the fingerprint that is being read
+        total, last, one = 0, None, None
+
+        def close() -> pa.RecordBatch:
+            types = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
+            cols = list(zip(*_shard_rows(rows, length, slices))) or [[]] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[f.split()[0] for f in _FOUND.split(", ")])
+
+        def done() -> list[tuple]:
+            """The group, unless it is one run that can't repeat."""
+            return group if len(group) > 1 or any(n > 1 or twice or spread for _, _, spread, n, *_, twice in group) else []
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [segments(x.as_py(), length) for x in b.column(2)]
-            lists = [pa.array([c[i].view(np.int64) if i != 1 else c[i].astype(np.int32) for c in cols], pa.list_(pa.int32() if i == 1 else pa.int64())) for i in range(3)]
-            lists.append(pa.array([c[3] for c in cols], pa.list_(pa.bool_())))
-            last = pa.array([len(x.as_py()) - length for x in b.column(2)], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists, last], names=["h1", "h2", "fp", "s0", "seg", "twin", "last"])
-
-    long_enough = docs.filter(F.octet_length("raw") >= length)
-    pieces = stage_table(long_enough.mapInArrow(cut, "h1 long, h2 long, fp array<long>, s0 array<int>, seg array<long>, twin array<boolean>, last int"), "suffix-segments")
-    # a segment's last start is the one before the next segment
-    ends = F.concat(F.transform(F.slice("s0", F.lit(2), F.size("s0")), lambda s: s - 1), F.array("last"))
-    each = pieces.select("h1", "h2", F.explode(F.arrays_zip("fp", "seg", "s0", ends.alias("s1"))).alias("p")).select("h1", "h2", "p.fp", "p.seg", "p.s0", "p.s1")
-    counted = pieces.select(F.explode(F.arrays_zip("fp", "seg", "twin")).alias("p")).select("p.*").groupBy("fp")
-    shared = counted.agg(F.count("*").alias("c"), F.min("seg").alias("x"), F.max("seg").alias("y"), F.max("twin").alias("twin"))
-    # a lone run that may repeat within itself goes to a shard as different runs do
-    shared = shared.filter("c > 1 or twin").select("fp", ((F.col("x") != F.col("y")) | (F.col("c") == 1)).alias("mixed"))
-    met = stage_table(each.join(shared, "fp"), "suffix-met")
-    whole = met.filter("not mixed").select("h1", "h2", F.col("s0").alias("a"), F.col("s1").alias("b"))
-
-    # equal segments stand for one another; different ones of a fingerprint meet in a shard
-    mixed = met.filter("mixed").groupBy("fp", "seg").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2", "s0", "s1")).alias("one"))
-    mixed = stage_table(mixed.select("fp", "seg", "n", "one.*"), "suffix-mixed")
-    again = mixed.filter("n > 1").select("fp", "seg")
-    whole = whole.unionAll(met.filter("mixed").join(again, ["fp", "seg"]).select("h1", "h2", F.col("s0").alias("a"), F.col("s1").alias("b")))
-    parts = mixed.groupBy("fp").agg(F.ceil(F.count("*") / F.lit(shard_segments)).cast("int").alias("parts"))
-    asked = mixed.join(parts, "fp").groupBy("h1", "h2").agg(F.collect_list(F.struct("fp", "seg", "n", "s0", "s1", "parts")).alias("ask"))
-    asked = _fits(stage_table(asked, "suffix-asked"), "size(ask)")
-    texts = long_enough.join(asked, ["h1", "h2"]).select("h1", "h2", "raw", F.explode("ask").alias("q")).select(
-        "q.fp", F.pmod("q.seg", "q.parts").cast("int").alias("part"), "q.parts", "h1", "h2", F.col("q.s0").cast("long").alias("s0"), "q.n",
-        F.expr("substring(raw, q.s0 + 1, q.s1 - q.s0 + {})".format(length)).alias("data"),
-    )
+            for fp, part, seg, parts, n, twice, h1, h2, s0, data in zip(*(c.to_pylist() for c in b.columns)):
+                if (fp, part) != last:
+                    rows += [r[:8] for r in done()]
+                    if total >= shard_bytes:
+                        if rows:
+                            yield close()
+                        rows, total = [], 0
+                    last, group, one = (fp, part), [], None
+                if n is not None:  # comes before the bytes
+                    one = (seg, n, h1, h2, s0, twice)
+                elif one and one[0] == seg:
+                    group.append((fp, seg, parts > 1, one[1], *one[2:5], data, one[5]))
+                    total += len(data)
+                    one = None  # bytes that other tasks have sent are the same
+        rows += [r[:8] for r in done()]
+        if rows:
+            yield close()
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        total, last = 0, None
+    order = [F.col("fp"), F.col("part"), F.col("seg"), F.col("n").asc_nulls_last()]
+    return stage_table(dealt.repartition("fp", "part").sortWithinPartitions(*order).mapInArrow(shard, _FOUND), "suffix-found")
+
+
+def merged_strings(found: DataFrame) -> DataFrame:
+    """``h1, h2, a, b``: strings, alone in their shard, that another shard has too.
+
+    Each shard's strings are sorted, and one slice of their order meets in a task.  There the
+    place of each in the merged order is found by binary search; strings with more than one place
+    are in several shards.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
 
         def close() -> pa.RecordBatch:
-            cols = list(zip(*_shard_rows(rows, length))) or [[]] * 7
-            types = [pa.int64()] * 6 + [pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[f.split()[0] for f in _SHARD_OUT.split(", ")])
+            lists = [np.frombuffer(x, _STRING) for x in held]
+            every = np.concatenate(lists)[["d", "e"]]
+            every = every[np.lexsort((every["e"], every["d"]))]
+            code = np.cumsum(np.concatenate([[0], (every["d"][1:] != every["d"][:-1]) | (every["e"][1:] != every["e"][:-1])]))
+            kinds = every[np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))]
+            times, out = np.bincount(code), []
+            for x in lists:
+                at = np.searchsorted(kinds["d"], x["d"], "left")
+                while (off := (kinds["d"][at] == x["d"]) & (kinds["e"][at] < x["e"])).any():
+                    at = at + off
+                out.append(x[x["solo"] & (times[at] > 1)])
+            out = np.concatenate(out)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[k])) for k in ("h1", "h2", "s", "s")], names=["h1", "h2", "a", "b"])
 
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[:2] != last and total >= shard_bytes:
+            for part, strings in zip(*(c.to_pylist() for c in b.columns)):
+                if held and part != last:
                     yield close()
-                    rows, total = [], 0
-                last = r[:2]
-                rows.append(r[2:])
-                total += len(r[-1])
-        if rows:
+                    held = []
+                held.append(strings)
+                last = part
+        if held:
             yield close()
 
-    found = texts.repartition("fp", "part").sortWithinPartitions("fp", "part", "h1", "h2", "s0").mapInArrow(shard, _SHARD_OUT)
-    found = stage_table(found, "suffix-found")
-    runs = found.filter("d1 is null").select("h1", "h2", "a", "b")
-    strings = found.filter("d1 is not null")
-    twice = strings.groupBy("d1", "d2").agg(F.count("*").alias("shards")).filter("shards > 1").select("d1", "d2")
-    across = strings.filter("solo").join(twice, ["d1", "d2"], "left_semi").select("h1", "h2", "a", "b")
+    own = found.filter("slice is not null").select("slice", "strings")
+    return own.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "h1 long, h2 long, a long, b long")
+
 
-    every = whole.select("h1", "h2", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).unionAll(runs).unionAll(across)
-    # neighbours and overlaps are merged within the text, in the order of their starts
-    lists = every.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("a", (F.col("b") + length).alias("b")))).alias("s"))
-    grow = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["a"] <= F.element_at(acc, -1)["b"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    return lists.select("h1", "h2", F.aggregate("s", F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), grow).alias("spans"))
+def repeated_spans(texts: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, merged: int = MERGED) -> DataFrame:
+    """``h1, h2, spans``, staged: by text, the byte ranges [a, b) that repeated strings cover.
+
+    ``texts``: ``h1, h2, raw`` with all copies.
+    """
+    with scratch() as kept:
+        shared = stage_table(shared_fingerprints(texts, length), "suffix-shared")
+        built = key_filter(shared, F.col("fp"), F.shiftright("fp", 12))
+        # the filter's size is fixed, whatever the corpus
+        known = texts.sparkSession.sparkContext.broadcast(_Shared([(r.block, bytes(r.bits)) for r in built.collect()]))
+        runs = stage_table(shared_runs(texts, known, length), "suffix-runs")
+        found = shard_repeats(runs, length, shard_bytes, merged)
+        named, _ = small_or_not(stage_table(found.filter("fp is not null").select("fp", "seg").distinct(), "suffix-named"))
+        # copies of a text have the same ranges, which become one before they are gathered
+        whole = runs.join(named, ["fp", "seg"]).select("h1", "h2", F.col("s0").alias("a"), (F.col("s0") + F.col("k") - 1).alias("b")).distinct()
+        every = whole.unionAll(found.filter("a is not null").select("h1", "h2", "a", "b")).unionAll(merged_strings(found))
+        ends = every.select("h1", "h2", "a", (F.col("b") + length).alias("b"))
+        order = Window.partitionBy("h1", "h2").orderBy("a", "b")
+        reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        island = F.sum(F.when(F.col("a") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        runs_of = ends.withColumn("reach", reach).withColumn("island", island).groupBy("h1", "h2", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        kept.append(stage_table(runs_of.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), "suffix-spans"))
+    return kept[0]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **how) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
-    A byte goes if a ``length``-byte string over it also starts anywhere else in the input.
-    Equal texts are found by hash and all their bytes go; of each, one text stands for the
-    copies in what follows.  A string's fingerprint is the least hash of the 32-byte strings in
-    it, so equal strings meet under one fingerprint, and strings with a fingerprint of their own
-    are done.  Of the rest, equal runs are counted as wholes, and the different runs of a
-    fingerprint are brought into shards, each with a suffix array and common prefixes.
-    A fingerprint with more runs than a shard takes is spread over several; their sorted
-    strings are merged by 128-bit digests in a shuffle, so no group meets in one task.
-
-    Null and empty texts have no bytes; texts below ``length`` bytes keep all.  Repeated rows are
-    documents of their own, so all their bytes repeat.  Other columns are ignored.
+    A byte goes if a ``length``-byte string over it also starts anywhere else in the input.  A
+    string's fingerprint is the least hash of the 32-byte strings in it, so equal strings meet
+    under one fingerprint, and strings with a fingerprint of their own are done.  The runs of
+    the others are brought into shards, each with a suffix array and its common prefixes.
+    A fingerprint with more bytes than a shard takes is spread over several; their sorted
+    strings are merged in slices by binary search, so no group meets in one task.  Neither raw
+    texts nor fingerprints of all texts go through a join.
+
+    Null and empty texts have no bytes; texts below ``length`` bytes keep all.  Repeated rows and
+    rows of equal texts are documents of their own, so all their bytes repeat.  Very long texts
+    are read whole, in runs of at most 4096 starts.  Other columns are ignored; no rows give none.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"))
     base = base.select("doc_id", "raw", F.xxhash64("raw").alias("h1"), F.xxhash64(F.lit(7), "raw").alias("h2"))
-    keys = stage_table(base.select("doc_id", "h1", "h2", F.octet_length("raw").alias("n")).filter(F.col("n") >= length), "suffix-keys")
-    copies = stage_table(keys.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("doc_id").alias("id")).filter("c > 1"), "suffix-copies")
-    copied = _fits(copies.select("h1", "h2", "id"), "1")
-    once = base.join(copied, ["h1", "h2"], "left").filter("id is null or doc_id = id").select("h1", "h2", "raw")
-    spans = repeated_spans(once, length, **how)
-    spans = spans.join(copies.select("h1", "h2"), ["h1", "h2"], "left_anti")
-    spans = _fits(stage_table(spans, "suffix-spans"), "size(spans)")
+    spans = repeated_spans(base.filter(F.octet_length("raw") >= length), length, **how)
 
     def kept(raws: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
         for r, x in zip(raws, lists):
+            if not x.is_valid:
+                out.append(None)
+                continue
             data, digest, at = memoryview(r.as_py()), sha256(), 0
-            for s in x.as_py() or []:
+            for s in x.as_py():
                 digest.update(data[at : s["a"]])
                 at = s["b"]
             digest.update(data[at:])
             out.append(digest.hexdigest())
         return pa.array(out, pa.string())
 
-    n = F.octet_length("raw").cast("long")
-    all_ = base.join(copied.select("h1", "h2", F.lit(True).alias("copy")), ["h1", "h2"], "left").join(spans, ["h1", "h2"], "left")
-    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
-    cut = all_.filter("copy is null and spans is not null")
-    rest = all_.filter("copy is not null or spans is null")
-    copy = F.col("copy").isNotNull()
-    return cut.select("doc_id", n.alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.arrow_udf(kept, "string")("raw", "spans").alias("kept_sha256")).unionAll(
-        rest.select("doc_id", n.alias("n_bytes"), F.when(copy, n).otherwise(0).alias("n_removed"), F.when(copy, 1).otherwise(0).cast("long").alias("n_spans"), F.when(copy, F.lit(sha256().hexdigest())).otherwise(F.sha2("raw", 256)).alias("kept_sha256"))
-    )
+    known = spans.select(F.col("h1").alias("_k"), F.col("h2").alias("_k2"), "spans")
+    known.staged_at = spans.staged_at
+    all_ = having(base, F.col("h1"), known, (F.col("h1") == F.col("_k")) & (F.col("h2") == F.col("_k2")), "left")
+    gone = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"]), F.lit(0))
+    cut = F.arrow_udf(kept, "string")(F.when(F.col("spans").isNotNull(), F.col("raw")), F.col("spans"))
+    return all_.select(
+        "doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), gone.alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce(cut, F.sha2("raw", 256)).alias("kept_sha256"),
+    )
