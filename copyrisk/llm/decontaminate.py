@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_or_not, stage_table
+from .scratch import having, key_filter, may_hold, small_or_not, stage_table
 
 WORDS = 5
 CONTAINMENT = 0.75
+#: Sketched shingles beyond those that a match may lack; so many at least must be met.
+EXTRA = 3
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -30,20 +32,22 @@ def shingle_hashes(text: Column, n: int = WORDS) -> Column:
 
 
 def item_index(items: DataFrame, id_col: str, text_col: str, threshold: float, n: int) -> DataFrame:
-    """Items as ``item_id, shingles, n_item, sketch``.
+    """Items as ``item_id, shingles, n_item, sketch, need``.
 
     Items are partitioned by size into classes whose upper bounds are powers of two.  A class
-    with upper bound ``u`` keeps, of each item, the ``floor((1 - threshold) * u) + 1`` shingles
-    that are least under a random order (a bottom-k MinHash sketch).  An item of which at most
-    ``(1 - threshold) * u`` shingles are missing from a document therefore has a sketched shingle
-    in it: the candidate search loses nothing.
+    with upper bound ``u`` keeps, of each item, the ``floor((1 - threshold) * u) + EXTRA`` shingles
+    that are least under a random order (a bottom-k MinHash sketch), or all if it has fewer.  A
+    document that holds ``threshold`` of an item lacks ``floor((1 - threshold) * n_item)`` of its
+    shingles at most, so all other sketched ones are in it: ``need`` is their number, 1 or more.
+    The candidate search loses nothing.
     """
     sh = F.array_distinct(shingle_hashes(F.col(text_col), n))
     out = items.select(F.col(id_col).cast("long").alias("item_id"), sh.alias("shingles")).withColumn("n_item", F.size("shingles"))
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_item").cast("double"))))
-    keep = (F.floor(F.lit(1 - threshold) * upper + 1e-9) + 1).cast("int")
+    keep = (F.floor(F.lit(1 - threshold) * upper + 1e-9) + EXTRA).cast("int")
     order = F.array_sort(F.transform("shingles", lambda h: F.struct(F.xxhash64(h, F.lit(41)).alias("o"), h.alias("h"))))
-    return out.filter("n_item > 0").withColumn("sketch", F.transform(F.slice(order, F.lit(1), keep), lambda s: s["h"]))
+    out = out.filter("n_item > 0").withColumn("sketch", F.transform(F.slice(order, F.lit(1), keep), lambda s: s["h"]))
+    return out.withColumn("need", (F.size("sketch") - F.floor(F.lit(1 - threshold) * F.col("n_item") + 1e-9)).cast("int"))
 
 
 def contaminated(
@@ -59,8 +63,10 @@ def contaminated(
     """Pairs of a document and a test item of whose distinct shingles it holds at least ``threshold``.
 
     Two passes over the documents.  The first looks every shingle up in the index of sketched
-    shingles and stages the pairs that meet.  The second reads the documents of those pairs alone
-    and counts the shared shingles exactly.  Whole texts take part; there is no cap on pairs.
+    shingles and stages the pairs that meet often enough for the item's class.  The second reads
+    the documents of those pairs alone and counts the shared shingles exactly.  Whole texts take
+    part; there is no cap on pairs.  A large index or many pairs are not broadcast: a filter of
+    fixed size keeps back the rows that meet nothing, and the rest are shuffled.
 
     Null and empty texts, on either side, match nothing.  An item of fewer than ``n`` words
     matches only documents that consist of exactly its words.  Repeated rows of an id count once
@@ -91,17 +97,25 @@ def _met(
 ) -> DataFrame:
     """``doc_id, key, item_id, n_item, n_shared`` of the texts, by :func:`text_key`, that hold an item."""
     index = stage_table(item_index(items, item_col, item_text_col, threshold, n), "bench")
-    sketched, _ = small_or_not(index.select("item_id", F.explode("sketch").alias("h")).distinct())
+    each = stage_table(index.select("item_id", "need", F.explode("sketch").alias("h")).distinct(), "bench-sketches")
+    sketched, fits = small_or_not(each)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    met = d.select("doc_id", "text", F.explode(shingle_hashes(F.col("text"), n)).alias("h")).join(sketched, "h")
-    pairs = stage_table(met.select("doc_id", text_key(F.col("text")).alias("key"), "item_id").distinct(), "bench-pairs")
-    few, _ = small_or_not(pairs)
-    sets, _ = small_or_not(index.select("item_id", "shingles", "n_item"), 20_000)
+    own = d.select("doc_id", "text", F.explode(shingle_hashes(F.col("text"), n)).alias("h"))
+    if not fits:  # shingles that no item has stay where they are, and no text goes along
+        hashed = F.xxhash64("h", F.lit(5))
+        own = may_hold(own, F.col("h"), key_filter(each, hashed), "met").filter("met").drop("met")
+        own = own.select("doc_id", text_key(F.col("text")).alias("key"), "h")
+        met = own.join(sketched, "h")
+    else:
+        met = own.join(sketched, "h").select("doc_id", text_key(F.col("text")).alias("key"), "item_id", "need", "h")
+    hits = met.select("doc_id", "key", "item_id", "need", "h").distinct().groupBy("doc_id", "key", "item_id").agg(F.count("*").alias("hits"), F.max("need").alias("need"))
+    pairs = stage_table(hits.filter("hits >= need").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "item_id"), "bench-pairs")
+    sets, _ = small_or_not(stage_table(index.select("item_id", "shingles", "n_item"), "bench-sets"))
     shared = F.size(F.array_intersect("doc_shingles", "shingles"))
+    mine = text_key(F.col("text"))
     return (
-        d.select(F.col("doc_id").alias("id"), "text", text_key(F.col("text")).alias("own"))
-        .join(few, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("key")))
-        .select("doc_id", "key", "item_id", shingle_hashes(F.col("text"), n).alias("doc_shingles"))
+        having(d, mine, pairs, d["doc_id"].eqNullSafe(F.col("_id")) & (mine == F.col("_k")))
+        .select("doc_id", F.col("_k").alias("key"), "item_id", shingle_hashes(F.col("text"), n).alias("doc_shingles"))
         .join(sets, "item_id")
         .select("doc_id", "key", "item_id", "n_item", shared.alias("n_shared"))
         .filter(F.col("n_shared") >= F.col("n_item") * F.lit(threshold))
@@ -112,10 +126,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents that hold no test item, with all their columns; see :func:`contaminated`.
 
     Rows go by their text, so a clean one stays though its id is another's, and null ids go too.
+    Texts of any length are read whole; repeated rows go or stay together; empty tables give
+    empty results.
     """
-    found = _met(docs, items, **how).select(F.col("key").alias("text_key")).distinct()
-    few, _ = small_or_not(stage_table(found, "bench-docs"))
-    return docs.join(few, text_key(F.col(how.get("text_col", "text"))) == F.col("text_key"), "left_anti")
+    found = _met(docs, items, **how).select(F.col("key").alias("_k")).distinct()
+    own = text_key(F.col(how.get("text_col", "text")))
+    return having(docs, own, stage_table(found, "bench-docs"), own == F.col("_k"), "left_anti")
 
 
 def op1_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -1,12 +1,10 @@
-import math
 import random
 import re
 from hashlib import sha256
 
-import numpy as np
 import pytest
 
-from copyrisk.llm import near_dup, packing
+from copyrisk.llm import near_dup, scratch
 from copyrisk.llm.boosting import classify_quality
 from copyrisk.llm.decontaminate import contaminated, drop_contaminated
 from copyrisk.llm.html_blocks import blocks
@@ -39,12 +37,19 @@ def docs(spark):
     return spark.createDataFrame([(i, t, "x") for i, t in DOCS], "doc_id long, text string, kept string")
 
 
+@pytest.fixture(params=["small", "large"])
+def sizes(request, monkeypatch):
+    """Joins as with small tables, and as with tables too large to broadcast."""
+    if request.param == "large":
+        monkeypatch.setattr(scratch, "BROADCAST_BYTES", -1)
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0d]+", (text or "").lower())
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_repeats_against_brute_force(docs):
+def test_repeats_against_brute_force(docs, sizes):
     raw = {i: (t or "").encode() for i, t in DOCS}
     starts = {}
     for i, b in raw.items():
@@ -55,14 +60,19 @@ def test_repeats_against_brute_force(docs):
         if len(places) > 1:
             for i, a in places:
                 gone[i].update(range(a, a + 200))
-    rows = {r.doc_id: r for r in remove_repeats(docs).collect()}
+    for how in ({}, {"shard_bytes": 300, "merged": 5}):
+        rows = {r.doc_id: r for r in remove_repeats(docs, **how).collect()}
+        compare_repeats(raw, gone, rows)
+
+
+def compare_repeats(raw, gone, rows):
     for i, b in raw.items():
         runs = sum(k - 1 not in gone[i] for k in gone[i])
         kept = sha256(bytes(x for k, x in enumerate(b) if k not in gone[i])).hexdigest()
         assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == (len(b), len(gone[i]), runs, kept), i
 
 
-def test_near_duplicates_against_brute_force(docs):
+def test_near_duplicates_against_brute_force(docs, sizes):
     sets = {i: shingles(t) for i, t in DOCS}
     comp = {i: i for i in sets}
     for _ in sets:
@@ -98,7 +108,7 @@ def test_shared_passages_against_brute_force(spark, monkeypatch, open_pairs):
     assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(comp))
 
 
-def test_containment_against_brute_force(spark, docs):
+def test_containment_against_brute_force(spark, docs, sizes):
     items = [(0, " ".join(WORDS[30:60])), (1, "short text"), (2, ""), (3, None), (4, " ".join(WORDS[310:330]) + " new words that differ from it here and there")]
     want = set()
     for i, t in DOCS:
@@ -143,50 +153,6 @@ def test_empty_tables(spark, docs):
         assert f(none).isEmpty(), f
 
 
-def test_scores_against_brute_force(spark, tmp_path_factory):
-    """Seeds ask all shards with all their words; frequencies and mean length are the table's."""
-    rng = random.Random(7)
-    texts = [" ".join(rng.choices(WORDS, [1 / (k + 1) for k in range(400)], k=rng.randrange(40, 160))) for _ in range(60)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(3, "doc_id")
-    shards = packing._shards(rows, packing.default_tokenizer(), 10**6, 1, "doc_id", "text", 1500).cache()
-    known = sorted(shards.select("block", "n").collect())
-    assert len(known) == 3
-    base, at = {}, 0
-    for b, n in known:
-        base[b], at = at, at + n
-    bags = [t.split() for t in texts]
-    df = {w: sum(w in b for b in bags) for w in WORDS}
-    mean = sum(map(len, bags)) / 60
-    room, size = np.array([1] * 20 + [0] * 40, np.int32), np.array([0] * 20 + [1] * 40, np.int32)
-    state = spark.sparkContext.broadcast((base, room, size, 60, mean))
-    got = {}
-    for r in packing._offers(packing._index(shards), 2, state).collect():
-        got.setdefault(r.seed, {})[r.doc] = -(-r.near // 60) / packing.STEPS
-    assert len(got) == 20
-    for s, found in got.items():
-        want = {}
-        for d in range(20, 60):
-            tf = {w: bags[d].count(w) for w in set(bags[s]) & set(bags[d])}
-            want[d] = sum(math.log1p((60 - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(bags[d]) / mean)) for w, c in tf.items())
-        assert len(found) >= packing.OFFERS and all(abs(want[d] - x) < 0.01 for d, x in found.items())
-        assert all(x <= sorted(want.values())[-packing.OFFERS] + 0.01 for d, x in want.items() if d not in found)
-
-
-def test_neighbours_of_other_shards_share_windows(spark):
-    """Two texts on each topic, far from each other in the table; the longer one is the seed."""
-    rng = random.Random(3)
-    texts = [" ".join(rng.choices([f"t{i % 12}x{k}" for k in range(60)], k=150 if i < 12 else 100)) for i in range(24)]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(4, "doc_id")
-    sizes = {r.doc_id: r.doc_tokens for r in pack_documents(table).collect()}
-    window = sum(sizes.values()) // 12
-    assert window > max(sizes.values()) and min(sizes[d] for d in range(12)) > max(sizes[d] for d in range(12, 24))
-    rows = pack_documents(table, window=window, shard_tokens=600).collect()
-    assert sum(r.length for r in rows) == sum(sizes.values())
-    seeds = {r.sequence_id: r.doc_id for r in rows if r.offset == 0}
-    second = {seeds[r.sequence_id]: r.doc_id for r in rows if r.offset and r.offset == sizes[seeds[r.sequence_id]]}
-    assert {d: second[d] for d in range(12)} == {d: d + 12 for d in range(12)}
-
-
 def test_html_blocks_of_tags_with_long_values_and_open_quotes():
     for value in ("x" * 10_000, "a>b" * 3000):
         for q in "\"'":
@@ -200,7 +166,7 @@ def test_html_blocks_of_tags_with_long_values_and_open_quotes():
     assert [(b.text, b.path[-1][0]) for b in got] == [("one", "p"), ("two", "div"), ("three", "p")] and len(got[2].path) == 2
 
 
-def test_contaminated_rows_with_null_or_shared_ids(spark):
+def test_contaminated_rows_with_null_or_shared_ids(spark, sizes):
     hit, clean = " ".join(WORDS[30:60]), " ".join(WORDS[200:240])
     rows = [(None, hit), (None, clean), (1, hit), (1, clean), (2, None), (None, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
@@ -210,7 +176,7 @@ def test_contaminated_rows_with_null_or_shared_ids(spark):
     assert sorted(got, key=str) == sorted(((i, x) for i, x in rows if x != hit), key=str)
 
 
-def test_near_duplicates_with_null_or_shared_ids_go(spark):
+def test_near_duplicates_with_null_or_shared_ids_go(spark, sizes):
     clean = " ".join(WORDS[200:290])
     rows = [(0, LONG), (None, LONG), (1, LONG), (1, clean), (None, "some other text of its own"), (None, None)]
     got = [(r.doc_id, r.text) for r in near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
