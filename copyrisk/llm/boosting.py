@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .doc_stats import STATS, ratios, text_stats, with_stats
 from .isolation import label_table
-from .scratch import stage_table
+from .scratch import drawn, stage_table
 
 #: Labelled documents that the trees are trained on, at most, chosen by a hash of their id.
 TRAIN_ROWS = 20_000
@@ -93,11 +93,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     The chosen ids, bounded by ``train_rows``, are broadcast to the scan; none of the text moves.
     None without labelled documents.
     """
-    usable = label_table(labels).filter(~held_out())
+    usable = stage_table(label_table(labels).filter(~held_out()), "quality-labels")
     # one draw decides among labels of which some have no document
-    chosen = stage_table(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "quality-train")
+    chosen = stage_table(drawn(usable, ["doc_id"], train_rows), "quality-train")
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    table = with_stats(found, ["doc_id", "y"]).dropDuplicates(["doc_id"]).toArrow().combine_chunks()
+    # of an id with several texts, the one whose statistics come first counts
+    table = with_stats(found, ["doc_id", "y"]).groupBy("doc_id").agg(F.min(F.struct("y", *STATS)).alias("s")).select("doc_id", "s.*").toArrow().combine_chunks()
     if not table.num_rows:
         return None
     table = table.sort_by("doc_id")
@@ -120,8 +121,9 @@ def quality_score(model: BoostedTrees | None, text: Column) -> Column:
 def classify_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    Only statistics of the whole text enter a score.  Null texts count as empty; a null id is
-    never held out and never labelled; repeated rows get a row each; other columns are ignored.
+    Only statistics of the whole text, however long, enter a score, so equal texts have equal
+    scores.  Null texts count as empty; a null id is never held out and never labelled; repeated
+    rows get a row each; other columns are ignored; no rows give none.
     """
     model = train_quality(docs, labels, id_col=id_col, text_col=text_col)
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), quality_score(model, F.col(text_col)).alias("score"))
@@ -129,6 +131,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_co
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the classifier predicts to be of label 1, with all their columns."""
+    """The documents that the classifier predicts to be of label 1, with all their columns, whatever their names.
+
+    Null and empty texts are scored like others, repeated rows go or stay together, texts of any
+    length are read whole, and without labels or documents nothing goes.
+    """
     model = train_quality(docs, labels, id_col=id_col, text_col=text_col)
-    return docs.withColumn("_score", quality_score(model, F.col(text_col))).filter(F.col("_score") >= cut).drop("_score")
+    return docs.filter(quality_score(model, F.col(text_col)) >= cut)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .doc_stats import STATS, stats_matrix, with_stats
-from .scratch import stage_table
+from .scratch import drawn, stage_table
 
 #: Labelled rows that the forest is grown from, at most; thresholds count all labelled rows.
 TRAIN_ROWS = 20_000
@@ -163,12 +163,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     The forest grows from at most ``train_rows`` labelled documents that pass the base rules,
     chosen by a hash of their id; the threshold comes from the scores of all labelled ones.
     Without labels no document is anomalous.  Null texts count as empty and fail the base rules,
-    as does any text below 50 words.  Repeated rows get a row each; other columns are ignored.
+    as does any text below 50 words.  Repeated rows get a row each, texts of equal statistics equal
+    scores, and texts of any length are counted whole.  Other columns are ignored; no rows give none.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stats = stage_table(with_stats(keyed, ["doc_id"]).withColumn("base_failed", base_failed()), "rule-stats")
     labelled = stage_table(stats.filter("not base_failed").join(label_table(labels), "doc_id"), "rule-labelled")
-    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(train_rows).select(*STATS, "y").toArrow()
+    chosen = drawn(labelled, ["doc_id", *STATS], train_rows).select(*STATS, "y").toArrow()
     x = np.stack([chosen.column(k).to_numpy() for k in STATS], 1)
     forest = IsolationForest.grow(rule_features(x), chosen.column("y").to_numpy() == 1) if len(x) > 1 else None
     cut = threshold_from(_scored(labelled, forest)) if forest else 2.0
