@@ -54,7 +54,7 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
-                ids = [x for x, _ in encoder.encode(part.column(2).to_pylist(), end_id)]
+                ids = encoder.encode(part.column(2).to_pylist(), end_id)
                 packed = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
                 cols = [part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "n", "ids"])
@@ -236,8 +236,8 @@ def pack_documents(
     A document's ids are those of its whole text and ``end_id`` after them, so null and empty
     texts have one.  Equal scores go by a hash of the text and the id.  Repeated rows are packed
     once each; very long texts are cut into windows like others.  Other columns are ignored.
-    Empty tables give no rows.  ``tokenizer``: file of a tokenizer whose tokens don't cross
-    ASCII white space, at the same place on all executors.
+    Empty tables give no rows.  ``tokenizer``: file of a tokenizer as
+    :class:`~.tokens.WordTokens` asks for, at the same place on all executors.
     """
     spark = docs.sparkSession
     tokens = stage_table(token_table(docs, tokenizer or default_tokenizer(), end_id, id_col, text_col), "pack-tokens")

@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
-import xxhash
 
 #: Words that a Python worker remembers; the table starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Words encoded at a time.
+LEARNED = 20_000
+
+
+# one sign at the end of an ASCII word is a pre-token of its own, so it may stand apart
+_SIGN = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[\x20\x09-\x0d]|\Z)")
+
+
+def _apart(raw: bytes) -> bytes:
+    """The text in ASCII lower case with a space before signs that end a word, so that fewer words
+    differ; texts with special tokens stay as they are."""
+    return raw if b"<|" in raw else _SIGN.sub(rb" \1", raw.lower())
 
 
 class WordTokens:
-    """Encodes texts word by word, for tokenizers whose pre-tokens never cross ASCII white space."""
+    """Encodes texts word by word, for tokenizers that ignore case, whose pre-tokens never cross
+    ASCII white space nor join a letter or digit with a sign that ends the word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -23,30 +37,31 @@ class WordTokens:
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length, self.hashes = (np.zeros(1 << 16, t) for t in (np.int64, np.int64, np.uint64))
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.start, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, found):
-            i, ids = len(self.index), e.ids
-            if i == len(self.start):
-                self.start, self.length, self.hashes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length, self.hashes))
-            while self.used + len(ids) > len(self.ids):
+        for i in range(0, len(words), LEARNED):
+            part = words[i : i + LEARNED]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            total, first = int(sizes.sum()), len(self.index)
+            while self.used + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.index[w] = i
-            self.start[i], self.length[i], self.hashes[i] = self.used, len(ids), xxhash.xxh3_64_intdigest(w)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+            while first + len(part) > len(self.start):
+                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+            self.start[first : first + len(part)] = self.used + np.cumsum(sizes) - sizes
+            self.length[first : first + len(part)] = sizes
+            self.index.update(zip(part, range(first, first + len(part))))
+            self.used += total
 
-    def encode(self, raws: list[bytes], end: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each text in UTF-8, its ids with ``end`` after them, and the hashes of its words."""
+    def encode(self, raws: list[bytes], end: int) -> list[np.ndarray]:
+        """Of each text in UTF-8, its ids with ``end`` after them."""
         if len(self.index) > REMEMBERED:
             self._clear()
-        split = [raw.split() for raw in raws]
-        new = set().union(*split).difference(self.index)
-        if new:
-            self._learn(sorted(new))
+        split = [_apart(raw).split() for raw in raws]
+        self._learn(list(set().union(*split).difference(self.index)))
         get, out = self.index.__getitem__, []
         for words in split:
             at = np.fromiter(map(get, words), np.int64, len(words))
@@ -56,7 +71,7 @@ class WordTokens:
             before = np.cumsum(sizes) - sizes
             ids[:total] = self.ids[np.repeat(self.start[at] - before, sizes) + np.arange(total)]
             ids[total] = end
-            out.append((ids, self.hashes[at]))
+            out.append(ids)
         return out
 
 
