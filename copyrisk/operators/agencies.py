@@ -10,17 +10,21 @@ import re
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as v
-from ..functions.spans import find_spans
 
-CAPS, WORD = r"\b[A-Z]{2,8}\b", r"\b\w+(?:[.'-]\w+)*\b"
+CAPS, WORD, ARTICLE, ABBREVIATED = (re.compile(v.AGENCY_PATTERNS[k]) for k in ("capitals", "word", "article", "abbreviated"))
 LEAST, MOST, SHORTEST = 2, 8, 8
-_MATCH = "struct<matched:string,canonical:string,status:string,score:double>"
+#: Strings whose answers a task remembers; it starts anew beyond that.
+REMEMBERED = 100_000
+#: Places of the two stages in the order of emission.
+SEQ = (400, 500)
+_FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string())])
 
 
 @dataclass(frozen=True)
@@ -67,75 +71,99 @@ def _sorted_words(s: str) -> str:
     return " ".join(sorted(s.split()))
 
 
-def best_match(index: list[tuple[str, str, str]], least: float, by_words: bool) -> Callable[[pa.Array], pa.Array]:
-    """Of each string, the first entry of the best score from ``least`` on, or null."""
+def best_match(index: Sequence[tuple[str, str, str]], least: float, by_words: bool) -> Callable[[str], tuple | None]:
+    """Finds a string's first entry of the best score from ``least`` on: matched, canonical, status, score."""
     form = _sorted_words if by_words else str
-    keys = [(form(x[0]), Counter(form(x[0]))) for x in index]
-    kind = pa.struct([("matched", pa.string()), ("canonical", pa.string()), ("status", pa.string()), ("score", pa.float64())])
-
-    def one(s: str | None) -> dict | None:
-        if s is None:
+    keys = [(form(x[0]), Counter(form(x[0])), x) for x in index]
+    # of each length, the keys that are near enough in length and the capitals that the nearest of them ask for
+    near: dict[int, list] = {}
+    capitals: dict[int, int] = {}
+    known: dict[str, tuple | None] = {}
+
+    def of_length(n: int) -> list:
+        if n not in near:
+            near[n] = [k for k in keys if 200.0 * min(len(k[0]), n) >= least * (len(k[0]) + n)]
+            lacking = [sum(c for x, c in k[1].items() if x.isupper()) - (len(k[0]) - ceil(least * (len(k[0]) + n) / 200.0 - 1e-9)) for k in near[n]]
+            capitals[n] = min(lacking, default=0)
+        return near[n]
+
+    def one(s: str) -> tuple | None:
+        possible = of_length(len(s))
+        if not possible or capitals[len(s)] > 0 and sum(map(str.isupper, s)) < capitals[len(s)]:
             return None
-        key, found, top = form(s), None, least
-        bag = Counter(key)
-        for (k, letters), entry in zip(keys, index):
-            n = len(k) + len(key)
+        if s in known:
+            return known[s]
+        key = form(s)
+        found, top, bag = None, least, Counter(key)
+        for k, letters, entry in possible if len(key) == len(s) else of_length(len(key)):
             # a bound on the score: the letters that both have
-            if 200.0 * min(len(k), len(key)) < top * n or 200.0 * (bag & letters).total() < top * n - 1e-9:
+            if 200.0 * (bag & letters).total() < top * (len(k) + len(key)) - 1e-9:
                 continue
             score = similarity(key, k)
             if score > top or score >= top and found is None:
                 found, top = entry, score
-        return found and dict(zip(("matched", "canonical", "status", "score"), (*found, top)))
-
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[s] = found and (*found, top)
+        return known[s]
+
+    return one
+
+
+def finder(agencies: Sequence[Agency], tier: int = 1) -> tuple[Callable[[str], list[tuple]], Callable[[str], list[tuple]]]:
+    """Functions that give a text's near abbreviations and near names as ``(start, end, reason)``."""
+    short, full = flattened(agencies, tier)
+    by_letters, by_name = best_match(short, v.ABBREVIATION_SCORE, False), best_match(full, v.NAME_SCORE, True)
+
+    def reason(exact: bool, m: tuple, form: str, what: str) -> str:
+        return v.STATUS_UNCERTAIN.format(m[1], m[2]) if exact and m[2] in v.CHANGED else v.NEAR_MATCH.format(m[1], form.format(m[3]), what)
+
+    def abbreviations(text: str) -> list[tuple]:
+        out = []
+        for t in CAPS.finditer(text) if short else ():
+            m = by_letters(t[0])
+            if m and not (t[0] == m[0] and m[2] == "active"):
+                out.append((t.start(), t.end(), reason(t[0] == m[0], m, "{}", "spelling")))
+        return out
+
+    def names(text: str) -> list[tuple]:
+        """Windows of two to eight words; of overlapping ones the first stays."""
+        words, out, last = [(w.start(), w.end(), w[0]) for w in WORD.finditer(text)] if full else [], [], -1
+        for i, (start, _, _) in enumerate(words):
+            if start < last:
+                continue
+            for k in range(LEAST, min(MOST, len(words) - i) + 1):
+                span = " ".join(w[2] for w in words[i : i + k])
+                span = ABBREVIATED.sub("", ARTICLE.sub("", span)).strip()
+                m = by_name(span) if len(span) >= SHORTEST else None
+                if not m:
+                    continue
+                exact = span.lower() in (m[1].lower(), m[0].lower())
+                if not (exact and m[2] == "active"):
+                    last = words[i + k - 1][1]
+                    out.append((start, last, reason(exact, m, "{:.0f}", "agency name")))
+                    break
+        return out
+
+    return abbreviations, names
+
+
+def _rows(df: DataFrame, which: int, agencies: Sequence[Agency], tier: int, text_col: str, id_col: str) -> DataFrame:
     def run(texts: pa.Array) -> pa.Array:
-        coded = texts.dictionary_encode()
-        answers = pa.array([one(s) for s in coded.dictionary.to_pylist()], kind)
-        return answers.take(coded.indices)
-
-    return run
-
+        find = finder(agencies, tier)[which]
+        return pa.array([[dict(zip(("start", "end", "reason"), x)) for x in find(t or "")] for t in texts.to_pylist()], pa.list_(_FOUND))
 
-def _reason(exact: Column, score: Column, what: str) -> Column:
-    known = F.concat(F.lit("Agency status uncertain — "), F.col("m.canonical"), F.lit(" has been "), F.col("m.status"), F.lit(". Verify before publishing."))
-    near = F.concat(F.lit('Near-match to "'), F.col("m.canonical"), F.lit('" ('), score, F.lit(f"% match) — verify {what}"))
-    return F.when(exact, known).otherwise(near)
+    found = F.explode(F.arrow_udf(run, "array<struct<start:bigint,end:bigint,reason:string>>")(text_col)).alias("f")
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), found)
+    text = F.expr("substring(text, cast(f.start + 1 as int), cast(f.end - f.start as int))")
+    return rows.select("doc_id", "f.start", "f.end", text.alias("text"), F.lit("agency_name").alias("flag_type"), F.lit("High").alias("priority"), "f.reason", F.lit(SEQ[which]).cast("bigint").alias("seq"))
 
 
 def abbreviation_flags(df: DataFrame, agencies: Sequence[Agency], tier: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Capitals of two to eight letters near an abbreviation; exact ones of active agencies pass."""
-    look = F.arrow_udf(best_match(flattened(agencies, tier)[0], v.ABBREVIATION_SCORE, False), _MATCH)
-    tokens = df.select(F.col(id_col).alias("doc_id"), F.explode(find_spans(F.col(text_col), CAPS, "(?U)")).alias("s"))
-    found = tokens.select("doc_id", "s.*").withColumn("m", look("text")).filter("m is not null")
-    exact = F.col("text") == F.col("m.matched")
-    found = found.filter(~(exact & (F.col("m.status") == "active")))
-    return found.select("doc_id", "start", "end", "text", F.lit("agency_name").alias("flag_type"), F.lit("High").alias("priority"), _reason(exact, F.col("m.score").cast("string"), "spelling").alias("reason"), F.lit(400).cast("bigint").alias("seq"))
+    return _rows(df, 0, agencies, tier, text_col, id_col)
 
 
 def name_flags(df: DataFrame, agencies: Sequence[Agency], tier: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Windows of two to eight words near an agency's name; of overlapping ones the first stays.
-
-    Only windows that match are grouped, by document.
-    """
-    look = F.arrow_udf(best_match(flattened(agencies, tier)[1], v.NAME_SCORE, True), _MATCH)
-    words = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("whole"), find_spans(F.col(text_col), WORD).alias("w")).filter(F.size("w") >= LEAST)
-    at = words.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
-    at = at.withColumn("k", F.explode(F.sequence(F.lit(LEAST), F.least(F.lit(MOST), F.size("w") - F.col("i") + 1))))
-    part = F.slice("w", F.col("i"), F.col("k"))
-    windows = at.select("doc_id", "whole", F.element_at(part, 1)["start"].alias("start"), F.element_at(part, -1)["end"].alias("end"), F.array_join(F.transform(part, lambda x: x["text"]), " ").alias("span"))
-    plain = F.trim(F.regexp_replace(F.regexp_replace("span", r"^[Tt]he\s+", ""), r"^U\.S\.\s+", ""))
-    windows = windows.withColumn("span", plain).filter(F.length("span") >= SHORTEST)
-    # the text of a window is cut from the whole before the match, so wide rows don't reach Python
-    windows = windows.withColumn("text", F.expr("substring(whole, cast(start + 1 as int), cast(end - start as int))")).drop("whole")
-    found = windows.withColumn("m", look("span")).filter("m is not null")
-    exact = F.lower("span").isin(F.lower("m.canonical"), F.lower("m.matched"))
-    found = found.filter(~(exact & (F.col("m.status") == "active")))
-    row = F.struct("start", "end", "text", _reason(exact, F.format_string("%.0f", F.round("m.score", 6)), "agency name").alias("reason"))
-    every = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("f"))
-    kind = "array<struct<start:bigint,end:bigint,text:string,reason:string>>"
-
-    def step(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: (k["start"] < x["end"]) & (k["end"] > x["start"])), kept).otherwise(F.concat(kept, F.array(x)))
-
-    kept = every.select("doc_id", F.explode(F.aggregate("f", F.expr(f"cast(array() as {kind})"), step)).alias("k"))
-    return kept.select("doc_id", "k.start", "k.end", "k.text", F.lit("agency_name").alias("flag_type"), F.lit("High").alias("priority"), "k.reason", F.lit(500).cast("bigint").alias("seq"))
+    """Windows of two to eight words near an agency's name; of a row's overlapping ones the first stays."""
+    return _rows(df, 1, agencies, tier, text_col, id_col)

@@ -7,7 +7,7 @@ a stream.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,82 +15,115 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as v
 from ..functions.spans import once
-from ..rules import Rule, core_rules
+from ..rules import Rule, all_rules, core_rules
+from .agencies import SEQ as AGENCY_SEQ
+from .agencies import Agency, finder
 
 FLAG = "struct<start:bigint,rank:int,seq:bigint,end:bigint,text:string,flag_type:string,priority:string,reason:string>"
 FLAGS = f"array<{FLAG}>"
-_ORDER = ["start", "rank", "seq", "end", "text", "flag_type", "priority", "reason"]
 
 
 def _none() -> Column:
     return F.expr(f"cast(array() as {FLAGS})")
 
 
-_ARROW = pa.list_(
-    pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("seq", pa.int64()), ("end", pa.int64()), ("text", pa.string()), ("flag_type", pa.string()), ("priority", pa.string()), ("reason", pa.string())])
-)
+_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seq", pa.int64()), ("reason", pa.string())]))
+_FOUND_SQL = "array<struct<start:bigint,end:bigint,seq:bigint,reason:string>>"
 
 
-def candidates(text: Column, rules: Sequence[Rule]) -> Column:
-    """All matches of all rules, sorted by start, priority and emission order.
+def kept(sorted_flags: Iterable[tuple], types: dict[int, str]) -> list[tuple]:
+    """Greedy: a flag ``(start, rank, seq, end, reason)`` goes if it starts before the end of the last kept one of its type."""
+    ends: dict[str, int] = {}
+    out = []
+    for f in sorted_flags:
+        kind = types[f[2]]
+        if f[0] >= ends.get(kind, 0):
+            ends[kind] = f[3]
+            out.append(f)
+    return out
 
-    One Arrow function runs the rules: as some thirty built-in expressions in one projection they
-    outgrow generated code and took over 100 s for 15,000 short texts.  Offsets are code points.
+
+def candidates(text: Column, rules: Sequence[Rule], agencies: Sequence[Agency] = (), tier: int = 1, dedupe: bool = False) -> Column:
+    """All matches of all rules and agencies, sorted by start, priority and emission order.
+
+    One Arrow function runs the rules, as thirty built-in expressions in one projection outgrow
+    generated code.  It returns offsets in code points and numbers of rules; the rest is looked up
+    and cut from the text beside it.  ``dedupe``: the flags that overlap a kept one of their type go.
     """
-    about = [(v.PRIORITY_RANK[r.priority], r) for r in rules]
+    about = {r.seq: (v.PRIORITY_RANK[r.priority], r.flag_type, r.priority, r.reason) for r in rules}
+    about |= {seq: (v.PRIORITY_RANK["High"], "agency_name", "High", None) for seq in AGENCY_SEQ} if agencies else {}
+    types = {seq: x[1] for seq, x in about.items()}
 
     def run(texts: pa.Array) -> pa.Array:
-        compiled = [(rank, r, re.compile(r.pattern, re.IGNORECASE)) for rank, r in about]
+        compiled = [(about[r.seq][0], r.seq, re.compile(r.pattern, re.IGNORECASE)) for r in rules]
+        stages = list(zip(AGENCY_SEQ, finder(agencies, tier))) if agencies else []
         out = []
         for t in texts.to_pylist():
-            found = [(m.start(), rank, r.seq, m.end(), m.group(), r.flag_type, r.priority, r.reason) for rank, r, p in compiled for m in p.finditer(t or "")]
-            out.append([dict(zip(_ORDER, f)) for f in sorted(found)])
-        return pa.array(out, _ARROW)
-
-    return F.arrow_udf(run, FLAGS)(text)
-
+            t = t or ""
+            found = [(m.start(), rank, seq, m.end(), None) for rank, seq, p in compiled for m in p.finditer(t)]
+            found += [(a, about[seq][0], seq, b, why) for seq, find in stages for a, b, why in find(t)]
+            found.sort(key=lambda f: f[:4])
+            out.append([{"start": a, "end": b, "seq": seq, "reason": why} for a, _, seq, b, why in (kept(found, types) if dedupe else found)])
+        return pa.array(out, _FOUND)
 
-def dedupe(sorted_flags: Column) -> Column:
-    """Greedy fold: a flag goes if it starts before the end of the last one kept of its type."""
+    def looked_up(i: int, seq: Column) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for k, row in about.items() for x in (k, row[i])]), seq.cast("int"))
 
-    def step(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda k: (k["flag_type"] == x["flag_type"]) & (k["end"] > x["start"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
+    def full(x: Column) -> Column:
+        part = F.substring(text, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
+        return F.struct(
+            x["start"].alias("start"), looked_up(0, x["seq"]).alias("rank"), x["seq"].alias("seq"), x["end"].alias("end"), part.alias("text"),
+            looked_up(1, x["seq"]).alias("flag_type"), looked_up(2, x["seq"]).alias("priority"), F.coalesce(x["reason"], looked_up(3, x["seq"])).alias("reason"),
+        )
 
-    return F.aggregate(sorted_flags, _none(), step)
+    if not about:
+        return _none()
+    return F.transform(F.arrow_udf(run, _FOUND_SQL)(text), full)
 
 
-def with_flags(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, name: str = "flags") -> DataFrame:
+def with_flags(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, name: str = "flags", agencies: Sequence[Agency] = (), tier: int = 1) -> DataFrame:
     """``df`` with an array of its deduplicated flags.  Null, empty and blank texts have none.
 
     Other columns stay, repeated rows too.
     """
     text = F.col(text_col)
-    found = dedupe(candidates(text, core_rules() if rules is None else rules))
+    found = candidates(text, core_rules() if rules is None else [r for r in rules if r.enabled], agencies, tier, dedupe=True)
     return df.withColumn(name, once(F.when(F.trim(F.coalesce(text, F.lit(""))) != "", found).otherwise(_none())))
 
 
+def flag_text(df: DataFrame, agencies: Sequence[Agency], registry: Sequence[Rule] | None = None, tier: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per flag of all stages: patterns, the registry's rules, causal phrases, certainty
+    verbs, entities, agency abbreviations and agency names, sorted and deduplicated together."""
+    return explode_flags(with_flags(df, text_col, all_rules(registry), agencies=agencies, tier=tier), id_col)
+
+
 def explode_flags(df: DataFrame, id_col: str = "doc_id", name: str = "flags") -> DataFrame:
     """One row per flag: ``doc_id, start, end, text, flag_type, priority, reason, seq``."""
     f = df.select(F.col(id_col).alias("doc_id"), F.explode(name).alias("f"))
     return f.select("doc_id", *[F.col(f"f.{k}").alias(k) for k in ("start", "end", "text", "flag_type", "priority", "reason", "seq")])
 
 
-def flag(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: Sequence[Rule] | None = None) -> DataFrame:
-    return explode_flags(with_flags(df, text_col, rules), id_col)
+def flag(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: Sequence[Rule] | None = None, agencies: Sequence[Agency] = (), tier: int = 1) -> DataFrame:
+    return explode_flags(with_flags(df, text_col, rules, agencies=agencies, tier=tier), id_col)
 
 
 def overlap_groups(flags: Column) -> Column:
     """Flags of all types grouped: a flag joins the last group while it starts before the end of
-    that group's first flag."""
-    empty = F.expr(f"cast(array() as array<struct<head:{FLAG},members:{FLAGS}>>)")
+    that group's first flag.  The fold keeps places alone; members are slices of ``flags``."""
+    zero = F.struct(F.lit(-1).cast("bigint").alias("end"), F.expr("cast(array() as array<int>)").alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["head"].alias("head"), F.concat(last["members"], F.array(x)).alias("members"))))
-        return F.when((F.size(acc) > 0) & (x["start"] < F.try_element_at(acc, F.lit(-1))["head"]["end"]), joined).otherwise(F.concat(acc, F.array(F.struct(x.alias("head"), F.array(x).alias("members")))))
+        opens = x["f"]["start"] >= acc["end"]
+        return F.struct(F.when(opens, x["f"]["end"]).otherwise(acc["end"]).alias("end"), F.when(opens, F.array_append(acc["at"], x["i"])).otherwise(acc["at"]).alias("at"))
+
+    placed = F.transform(flags, lambda f, i: F.struct(f.alias("f"), i.alias("i")))
+    heads = F.aggregate(placed, zero, step, lambda a: a["at"])
+
+    def group(at: Column, k: Column) -> Column:
+        after = F.coalesce(F.try_element_at(heads, (k + 2).cast("int")), F.size(flags))
+        return F.struct(F.element_at(flags, at + 1).alias("head"), F.slice(flags, at + 1, after - at).alias("members"))
 
-    return F.aggregate(flags, empty, step)
+    return F.transform(heads, group)
 
 
 def _escaped(s: Column) -> Column:
@@ -108,7 +141,7 @@ def highlighted(text: Column, flags: Column) -> Column:
     def step(acc: Column, g: Column) -> Column:
         head, many = g["head"], F.size(g["members"]) > 1
         title = F.array_join(F.transform(g["members"], lambda m: F.concat(m["flag_type"], F.lit(": "), m["reason"])), " | ")
-        title = F.when(many, F.concat(F.lit("MULTIPLE FLAGS — "), title)).otherwise(title)
+        title = F.when(many, F.concat(F.lit(v.SEVERAL), title)).otherwise(title)
         style = F.concat(F.lit("background:"), F.coalesce(F.try_element_at(colours, head["flag_type"]), F.lit("#eeeeee")), F.when(many, ";text-decoration:underline dotted").otherwise(""))
         mark = F.concat(F.lit('<mark style="'), style, F.lit('" title="'), _escaped(title), F.lit('">'), _escaped(head["text"]), F.when(many, "<sup>+</sup>").otherwise(""), F.lit("</mark>"))
         return F.struct(head["end"].alias("at"), F.concat(acc["html"], outside(acc["at"], head["start"] - acc["at"]), mark).alias("html"))

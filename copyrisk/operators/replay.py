@@ -34,7 +34,7 @@ def second_pass(df: DataFrame, raw: str = "raw_response") -> DataFrame:
 def fact_check(df: DataFrame, raw: str = "raw_response") -> DataFrame:
     a = F.from_json(bare_json(F.col(raw)), FACT)
     bad = a["verdict"].isNull() & a["explanation"].isNull() & a["authoritative_value"].isNull() & a["source"].isNull()
-    fallback = F.when(bad, "Could not parse response.").otherwise("")
+    fallback = F.when(bad, v.UNPARSED).otherwise("")
     names = {"explanation": fallback, "authoritative_value": F.lit(""), "source": F.lit("")}
     return df.withColumns({"verdict": F.coalesce(a["verdict"], F.lit("unverifiable"))} | {k: F.coalesce(a[k], d) for k, d in names.items()})
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .. import fixed_values as v
 from ..fixed_values import NOT_CHECKED, PRIORITY_RANK, SOURCE_CATEGORY
+from ..operators.agencies import LEAST, MOST, SHORTEST, flattened
 from ..rules import Rule, core_rules
 from . import copy_text
-from .queries import BADGE_TYPES
+from .queries import AGENCIES, ANSWER, BADGE_TYPES, MENTIONS
 
 
 def _q(s: str) -> str:
@@ -25,13 +27,79 @@ spans AS (SELECT doc_id, CAST(seq AS BIGINT) AS seq, rank, flag_type, priority,
   CAST(list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS BIGINT) AS a FROM each),
 cands AS (SELECT *, a + length(text) AS b FROM spans)"""
 
-_FLAGS = f"""WITH RECURSIVE {_SPANS},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, flag_type ORDER BY a, rank, seq) AS rn FROM cands),
+_KEPT = """ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, flag_type ORDER BY a, rank, seq) AS rn FROM cands),
 fold AS (SELECT doc_id, flag_type, rn, b AS last_b, true AS kept FROM ranked WHERE rn = 1
   UNION ALL SELECT r.doc_id, r.flag_type, r.rn, CASE WHEN r.a >= f.last_b THEN r.b ELSE f.last_b END, r.a >= f.last_b
   FROM fold f JOIN ranked r ON r.doc_id = f.doc_id AND r.flag_type = f.flag_type AND r.rn = f.rn + 1),
 flags AS (SELECT r.* FROM ranked r JOIN fold f USING (doc_id, flag_type, rn) WHERE f.kept)"""
 
+_FLAGS = f"WITH RECURSIVE {_SPANS},\n{_KEPT}"
+
+
+def _index(which: int) -> str:
+    rows = flattened(AGENCIES)[which]
+    return ", ".join(f"({i}, {_q(a)}, {_q(b)}, {_q(c)})" for i, (a, b, c) in enumerate(rows))
+
+
+def _words(s: str) -> str:
+    return f"array_to_string(list_sort(string_split({s}, ' ')), ' ')"
+
+
+def _spans_of(pattern: str) -> str:
+    p = _q(pattern)
+    return f"""SELECT text, i, m[i + 1] AS t, CAST(list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS BIGINT) AS a
+      FROM (SELECT *, unnest(range(len(m))) AS i FROM (SELECT text, regexp_extract_all(text, {p}) AS m, string_split_regex(text, {p}) AS g FROM texts))"""
+
+
+def _near(name: str, index: int, spans: str, form: str, least: float) -> str:
+    """The best entry for each distinct string ``s`` of ``spans``, by longest common subsequences."""
+    return f"""{name}_index(idx, matched, canonical, status) AS (VALUES {_index(index)}),
+{name}_pairs AS (SELECT DISTINCT {form.format("s")} AS x, {form.format("matched")} AS y FROM (SELECT DISTINCT s FROM {spans}), {name}_index
+  WHERE 200.0 * least(length(s), length(matched)) >= {least} * (length(s) + length(matched)) AND length(regexp_replace(s, '[^A-Z]', '', 'g')) >= 2),
+{name}_lcs AS (SELECT x, y, 0 AS i, list_transform(range(length(y) + 1), lambda j: 0) AS r FROM {name}_pairs
+  UNION ALL SELECT x, y, i + 1, list_concat([0], list_transform(range(1, length(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN x[i + 1] = y[k] THEN r[k] + 1 ELSE r[k + 1] END)))) FROM {name}_lcs WHERE i < length(x)),
+{name}_score AS (SELECT x, y, 100.0::DOUBLE * (1 - (length(x) + length(y) - 2 * list_max(r))::DOUBLE / (length(x) + length(y))) AS score FROM {name}_lcs WHERE i = length(x)),
+{name}_best AS (SELECT s, matched, canonical, status, score FROM (SELECT s, i.*, c.score, row_number() OVER (PARTITION BY s ORDER BY c.score DESC, idx) AS n
+  FROM (SELECT DISTINCT s FROM {spans}) JOIN {name}_score c ON c.x = {form.format("s")} JOIN {name}_index i ON {form.format("i.matched")} = c.y WHERE c.score >= {least}) WHERE n = 1)"""
+
+
+def _why(exact: str, score: str, what: str) -> str:
+    known = v.STATUS_UNCERTAIN.replace("{}", "{0}")
+    a, b, c = known.split("{0}")
+    d, e, f = v.NEAR_MATCH.format("\0", "\0", what).split("\0")
+    return f"CASE WHEN {exact} AND status IN ({', '.join(map(_q, v.CHANGED))}) THEN {_q(a)} || canonical || {_q(b)} || status || {_q(c)} ELSE {_q(d)} || canonical || {_q(e)} || {score} || {_q(f)} END"
+
+
+_AGENCIES = f"""said AS (SELECT o_orderkey AS doc_id, {MENTIONS} AS text FROM orders),
+texts AS (SELECT DISTINCT text FROM {{texts}}),
+caps AS (SELECT text, t AS s, a, a + length(t) AS b FROM ({_spans_of(v.AGENCY_PATTERNS["capitals"])})),
+{_near("short", 0, "caps", "{}", v.ABBREVIATION_SCORE)},
+abbreviations AS (SELECT text, a, b, s AS t, {_why("s = matched", "CAST(score AS VARCHAR)", "spelling")} AS reason FROM caps JOIN short_best USING (s) WHERE NOT (s = matched AND status = 'active')),
+tokens AS ({_spans_of(v.AGENCY_PATTERNS["word"])}),
+plain AS (SELECT x.text, x.a, y.a + length(y.t) AS b, trim(regexp_replace(regexp_replace(string_agg(z.t, ' ' ORDER BY z.i), {_q(v.AGENCY_PATTERNS["article"])}, ''), {_q(v.AGENCY_PATTERNS["abbreviated"])}, '')) AS s
+  FROM tokens x JOIN tokens y ON y.text = x.text AND y.i BETWEEN x.i + {LEAST - 1} AND x.i + {MOST - 1} JOIN tokens z ON z.text = x.text AND z.i BETWEEN x.i AND y.i GROUP BY x.text, x.a, y.a, y.t),
+wide AS (SELECT * FROM plain WHERE length(s) >= {SHORTEST}),
+{_near("long", 1, "wide", _words("{}"), v.NAME_SCORE)},
+found AS (SELECT text, a, b, lower(s) IN (lower(canonical), lower(matched)) AS exact, canonical, status, score FROM wide JOIN long_best USING (s)),
+open AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY a, b) AS n FROM found WHERE NOT (exact AND status = 'active')),
+first AS (SELECT *, b AS reach, true AS kept FROM open WHERE n = 1
+  UNION ALL SELECT o.*, CASE WHEN o.a >= f.reach THEN o.b ELSE f.reach END, o.a >= f.reach FROM first f JOIN open o ON o.text = f.text AND o.n = f.n + 1),
+names AS (SELECT text, a, b, text[a + 1:b] AS t, {_why("exact", "format('{:.0f}', score)", "agency name")} AS reason FROM first WHERE kept)"""
+_SAID = "WITH RECURSIVE " + _AGENCIES.replace("{texts}", "said")
+_COPY = f"docs_said AS ({copy_text.SQL.replace(copy_text.TEXT, copy_text.TEXT + " || ' ' || " + MENTIONS, 1)})"
+_UNITED = f"""WITH RECURSIVE {_SPANS.replace(f"docs AS ({copy_text.SQL})", _COPY + ", docs AS (SELECT * FROM docs_said)").replace("cands AS (", "matches AS (")},
+{_AGENCIES.replace("{texts}", "docs")},
+cands AS (SELECT doc_id, seq, rank, flag_type, priority, reason, text, a, b FROM matches
+  UNION ALL SELECT doc_id, 400, 0, 'agency_name', 'High', reason, t, a, b FROM docs JOIN abbreviations USING (text)
+  UNION ALL SELECT doc_id, 500, 0, 'agency_name', 'High', reason, t, a, b FROM docs JOIN names USING (text)),
+{_KEPT}"""
+
+
+def _html(s: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        s = f"replace({s}, {_q(a)}, {_q(b)})"
+    return s
+
 _RANKS = """ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, rank, seq) AS k FROM flags)"""
 
 _ROLL = f"""{_FLAGS},
@@ -125,6 +193,17 @@ def oracle_sql() -> dict[str, str]:
             shares AS (SELECT *, (n - tool - llm + 2 * "both") / n AS po, (tool * llm + (n - tool) * (n - llm)) / (n * n) AS pe FROM sums)
             SELECT flag_type, "both", tool, llm, n, round(CASE WHEN 1 - pe > 0 THEN (po - pe) / (1 - pe) ELSE 0.0 END, 6) AS kappa FROM shares""",
         "type_comparison": f"{_SCORED} SELECT doc_id, {_joined(_minus('l', 't'))} AS llm_only, {_joined(_minus('t', 'l'))} AS tool_only, len({_minus('l', 't')}) = 0 AND len({_minus('t', 'l')}) = 0 AS agreed FROM lists",
+        "flag_text": f'{_UNITED} SELECT doc_id, a AS start, b AS "end", text, flag_type, priority, reason, seq FROM flags',
+        "agency_abbreviations": f"""{_SAID} SELECT doc_id, a AS start, b AS "end", t AS text, 'agency_name' AS flag_type, 'High' AS priority, reason, CAST(400 AS BIGINT) AS seq FROM said JOIN abbreviations USING (text)""",
+        "agency_names": f"""{_SAID} SELECT doc_id, a AS start, b AS "end", t AS text, 'agency_name' AS flag_type, 'High' AS priority, reason, CAST(500 AS BIGINT) AS seq FROM said JOIN names USING (text)""",
+        "highlighted": f"""{_FLAGS}, {_RANKS},
+            chain AS (SELECT doc_id, k, k AS head, b AS head_b FROM ordered WHERE k = 1
+              UNION ALL SELECT o.doc_id, o.k, CASE WHEN o.a < c.head_b THEN c.head ELSE o.k END, CASE WHEN o.a < c.head_b THEN c.head_b ELSE o.b END FROM chain c JOIN ordered o ON o.doc_id = c.doc_id AND o.k = c.k + 1),
+            groups AS (SELECT c.doc_id, c.head, count(*) AS n, string_agg(o.flag_type || ': ' || o.reason, ' | ' ORDER BY o.k) AS title FROM chain c JOIN ordered o USING (doc_id, k) GROUP BY ALL),
+            heads AS (SELECT g.*, o.a, o.b, o.text AS t, CASE o.flag_type {_named(v.COLOURS)} ELSE '#eeeeee' END AS colour, coalesce(lag(o.b) OVER (PARTITION BY g.doc_id ORDER BY o.a), 0) AS at FROM groups g JOIN ordered o ON o.doc_id = g.doc_id AND o.k = g.head),
+            marks AS (SELECT h.doc_id, max(h.b) AS at, string_agg(replace({_html("d.text[h.at + 1:h.a]")}, chr(10), '<br>') || '<mark style="background:' || colour || CASE WHEN n > 1 THEN ';text-decoration:underline dotted' ELSE '' END || '" title="'
+              || {_html(f"CASE WHEN n > 1 THEN {_q(v.SEVERAL)} || title ELSE title END")} || '">' || {_html("t")} || CASE WHEN n > 1 THEN '<sup>+</sup>' ELSE '' END || '</mark>', '' ORDER BY h.a) AS html FROM heads h JOIN docs d USING (doc_id) GROUP BY h.doc_id)
+            SELECT d.doc_id, CASE WHEN m.doc_id IS NULL THEN '<p>' || {_html("d.text")} || '</p>' ELSE '<div>' || m.html || replace({_html("d.text[m.at + 1:]")}, chr(10), '<br>') || '</div>' END AS html FROM docs d LEFT JOIN marks m USING (doc_id)""",
         "spend_by_day": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, round((coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000, 0) * 5.0 + coalesce(user_id, 0) * 15.0) / 1e6, 6) AS c FROM events),
             d AS (SELECT day, count(*) AS calls, round(sum(CAST(c AS DOUBLE)), 6) AS spend FROM e GROUP BY day)
             SELECT *, CASE WHEN spend >= 10.0 THEN 'block' WHEN spend >= 5.0 THEN 'warn' ELSE 'ok' END AS gate FROM d""",

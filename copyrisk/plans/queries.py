@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import once
 from ..operators import agencies, evaluation, flags, replay
-from ..rules import all_rules, core_rules
+from ..rules import core_rules
 from . import copy_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,10 +35,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def copy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The copy, dealt over all cores: a split of the narrow orders makes many texts to match."""
+    """The copy, dealt anew by the order: a split of the narrow orders makes many texts to match, and
+    adaptive execution sizes the partitions."""
     o, c, n = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
-    j = j.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    j = j.repartition("o_orderkey")
     return j.select(*[F.expr(x).alias(k) for k, x in copy_text.COLUMNS.items()])
 
 
@@ -81,8 +82,8 @@ def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules, those for certainty and entities too, on the raw documents."""
-    f = flags.flag(_table(spark, sf_dir, "documents"), rules=all_rules())
+    """All stages, certainty, entities and agencies too, on the raw documents."""
+    f = flags.flag_text(_table(spark, sf_dir, "documents"), AGENCIES)
     return f.groupBy("flag_type", "seq").agg(F.count("*").alias("n"))
 
 
@@ -121,6 +122,14 @@ def llm_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "llm_flagged", F.size("llm_spans").cast("bigint").alias("n_spans"), "llm_issue_types", "llm_explanation")
 
 
+def flag_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages that look at no neighbouring words, united, on copy with agency mentions."""
+    o, c, n = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).repartition("o_orderkey")
+    d = j.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.expr(copy_text.TEXT), F.lit(" "), F.expr(MENTIONS)).alias("text"))
+    return flags.flag(d, rules=core_rules(), agencies=AGENCIES)
+
+
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(MENTIONS).alias("text"))
 
@@ -149,6 +158,7 @@ def queries() -> dict[str, Query]:
         "type_comparison": lambda s, d: evaluation.compare_types(_scored(s, d), "tool_issue_types", "llm_issue_types").select("doc_id", "llm_only", "tool_only", "agreed"),
         "spend_by_day": spend_by_day,
         "llm_answers": llm_answers,
+        "flag_text": flag_text,
         "agency_abbreviations": lambda s, d: agencies.abbreviation_flags(_mentions(s, d), AGENCIES),
         "agency_names": lambda s, d: agencies.name_flags(_mentions(s, d), AGENCIES),
     }

@@ -19,6 +19,7 @@ class Rule:
     priority: str
     reason: str
     pattern: str
+    enabled: bool = True
 
 
 def _any(words: Iterable[str]) -> str:
@@ -31,15 +32,14 @@ _LARGE = rf"\d+(?:\.\d+)?\s*{_any(v.MAGNITUDES)}"
 
 
 def _quantities() -> tuple[str, str]:
-    amount = [_PERCENT, _DOLLARS, r"\d+(?:,\d{3})+", _LARGE, r"\d+(?:\.\d+)?\s+cents?", rf"\d+\s+{_any(v.COUNTED)}", "half", r"a\s+(?:third|quarter|fifth)"]
+    amount = [_PERCENT, _DOLLARS, r"\d+(?:,\d{3})+", _LARGE, r"\d+(?:\.\d+)?\s+cents?", rf"\d+\s+{_any(v.COUNTED)}", *v.VULGAR_PARTS]
     hedged = rf"\b{_any(v.HEDGES)}\s+(?:{'|'.join(amount)})"
     bare = [
         rf"\b{_PERCENT}",
         _DOLLARS,
-        r"\b\d+(?:,\d{3})+\b",
+        v.BARE_FIGURES[0],
         rf"\b{_LARGE}\b",
-        r"\b\d+(?:\.\d+)?\s+cents?\b",
-        r"\branked?\s+\d+(?:st|nd|rd|th)?\b",
+        *v.BARE_FIGURES[1:],
         rf"\b\d+\s+(?:newly\s+)?{_any(v.ACCOUNTS)}\b",
         rf"\b{_any(v.SMALL_NUMBERS)}\s+(?:million|billion|thousand)\b",
     ]
@@ -56,36 +56,13 @@ def _attributions() -> tuple[str, str]:
         rf"\b{_any(v.PROFESSIONS)}\s+{_any(v.PROFESSION_VERBS)}\b",
     ]
     be = _any(["has been", "have been", "was", "were", "is", "are"])
-    passive = [
-        rf"\bit\s+{be}\s+{_any(v.PASSIVE)}(?:\s+that)?",
-        r"\bit\s+(?:appears?|seems?|looks?)\s+(?:that\s+)?(?:the\s+)?(?:data\s+)?(?:suggests?|shows?|indicates?)",
-        r"\b(?:is|are|was|were)\s+(?:widely\s+)?(?:believed|reported|understood|considered|known)\s+to\b",
-        r"\bhas\s+been\s+(?:widely\s+)?(?:reported|noted|documented|established|confirmed)\b",
-        r"\b(?:was|were|has\s+been)\s+found\s+to\b",
-        r"\b(?:is|was|were)\s+(?:widely\s+)?considered\s+(?:too|very|quite|an?\s+\w+|the\s+\w+)",
-    ]
+    passive = [rf"\bit\s+{be}\s+{_any(v.PASSIVE)}(?:\s+that)?", *v.PASSIVE_PHRASES]
     return "|".join(vague), "|".join(passive)
 
 
 def _comparisons() -> tuple[str, str]:
-    comparative = [
-        rf"\b{_any(v.SUPERLATIVES)}\b",
-        r"\bmore\s+than\b",
-        r"\bless\s+than\b",
-        r"\bfewer\s+than\b",
-        r"\bat\s+(?:an?\s+)?all[-\s]time\b",
-        r"\b(?:higher|lower|greater|smaller)\s+than\b",
-        r"\bhighly\s+(?:unlikely|likely|specific|improbable)\b",
-    ]
-    temporal = [
-        rf"\b(?:last|this|next)\s+{_any(v.PERIODS)}\b",
-        r"\bsince\s+(?:19|20)\d{2}\b",
-        r"\bin\s+(?:19|20)\d{2}\b",
-        r"\bin\s+recent\s+(?:years?|months?|weeks?|decades?)\b",
-        r"\bover\s+the\s+(?:past|last)\s+\d+\s+(?:years?|months?|decades?)\b",
-        r"\bhistorically\b",
-        r"\bfor\s+(?:decades?|years?|generations?)\b",
-    ]
+    comparative = [rf"\b{_any(v.SUPERLATIVES)}\b", *v.COMPARISONS]
+    temporal = [rf"\b(?:last|this|next)\s+{_any(v.PERIODS)}\b", *v.TIMES]
     return "|".join(comparative), "|".join(temporal)
 
 
@@ -141,9 +118,11 @@ def entity_rules() -> list[Rule]:
     return [Rule(300 + i, t, p, v.REASONS[k], x) for i, (k, t, p, x) in enumerate(kinds)]
 
 
-def core_rules() -> list[Rule]:
-    return [*pattern_rules(), *registry_rules(), *causal_rules()]
+def core_rules(registry: Iterable[Rule] | None = None) -> list[Rule]:
+    """The rules that don't look around; ``registry``: rules of a registry file in place of the built-in ones."""
+    more = registry_rules() if registry is None else registry
+    return [*pattern_rules(), *(r for r in more if r.enabled), *causal_rules()]
 
 
-def all_rules() -> list[Rule]:
-    return [*core_rules(), *certainty_rules(), *entity_rules()]
+def all_rules(registry: Iterable[Rule] | None = None) -> list[Rule]:
+    return [*core_rules(registry), *certainty_rules(), *entity_rules()]

@@ -6,6 +6,7 @@ import re
 import warnings
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.agencies import Agency
@@ -15,11 +16,17 @@ GOLD_SCHEMA = "id string, source string, text string, notes string, flags array<
 
 
 def _yaml(spark: SparkSession, path: str) -> dict:
-    """A small configuration file, read by Spark so that any store will do."""
+    """A small configuration file, read by Spark so that any store will do; a missing or broken one
+    warns and counts as empty."""
     import yaml
 
-    rows = spark.read.text(path, wholetext=True).collect()
-    return yaml.safe_load(rows[0][0]) or {} if rows else {}
+    try:
+        rows = spark.read.text(path, wholetext=True).collect()
+        found = yaml.safe_load(rows[0][0]) if rows else None
+    except (AnalysisException, yaml.YAMLError) as e:
+        warnings.warn(f"{path}: {e}", stacklevel=3)
+        return {}
+    return found if isinstance(found, dict) else {}
 
 
 def read_rules(spark: SparkSession, path: str, first: int = 7) -> list[Rule]:
@@ -34,7 +41,7 @@ def read_rules(spark: SparkSession, path: str, first: int = 7) -> list[Rule]:
         except re.error as e:
             warnings.warn(f"invalid pattern {row['pattern']!r}: {e}", stacklevel=2)
             continue
-        out.append(Rule(first + len(out), row["flag_type"], row["priority"], row["reason"], row["pattern"]))
+        out.append(Rule(first + len(out), row["flag_type"], row["priority"], row["reason"], row["pattern"], bool(row.get("enabled", True))))
     return out
 
 
