@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: Bytes of content up to which a side of a join is broadcast.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 16_000_000
 #: Blocks of a filter of keys, of 4096 bytes (32,768 bits) each: 16 MB, whatever it is built from.
 FILTER_BLOCKS, BLOCK_BITS = 4096, 32_768
 

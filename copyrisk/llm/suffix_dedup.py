@@ -19,7 +19,7 @@ LENGTH, GRAM = 200, 32
 #: String starts of one text that a segment holds at most.
 RUN = 4096
 #: Bytes of text in a shard, nearly.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 #: Chains that count common prefixes side by side take so many suffixes each.
 CHAIN = 128
 #: Segments whose bytes a task remembers to have sent; it starts anew beyond that.
