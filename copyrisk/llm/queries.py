@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import boosting, decontaminate, html_text, isolation, near_dup, packing, pii, sharding, suffix_dedup, url_filter
+from .oracle import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +69,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": _op9,
         "op10_personal_data": _op10,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -58,6 +58,7 @@ def shard_by_size(
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("k"),
             F.xxhash64(F.col(id_col), F.lit(7)).alias("t"),
+            F.monotonically_increasing_id().alias("n"),
         ),
         "shard-base",
     )
@@ -78,16 +79,22 @@ def shard_by_size(
     cut = F.broadcast(counted.select("r", pieces.alias("pieces")))  # at most `ranges` rows
     part = F.floor(F.pmod("t", F.lit(1 << 31)) * F.col("pieces") / F.lit(1 << 31)).cast("int")
     base = base.join(cut, "r").withColumn("sub", part).drop("pieces")
-
-    cells = base.groupBy("r", "sub").agg(F.sum("size").alias("b"), F.count("*").alias("c"))
-    before = Window.orderBy("r", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    # ranges + pieces <= 2 * ranges cells, whatever the input: one small task, and safe to broadcast
-    cells = cells.select("r", "sub", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}0") for x in "bc"])
-
-    inside = Window.partitionBy("r", "sub").orderBy("k", "t", "doc_id")
+    # rows that repeat with id and text stay together so far; their number in the table divides them
+    counted = base.groupBy("r", "sub").agg(F.sum("size").alias("bytes"))
+    cut = F.broadcast(counted.select("r", "sub", pieces.alias("pieces")))
+    again = F.floor(F.pmod(F.xxhash64("n"), F.lit(1 << 31)) * F.col("pieces") / F.lit(1 << 31)).cast("int")
+    base = base.join(cut, ["r", "sub"]).withColumn("copy", again).drop("pieces")
+
+    cell = ["r", "sub", "copy"]
+    cells = base.groupBy(*cell).agg(F.sum("size").alias("b"), F.count("*").alias("c"))
+    before = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    # 3 * ranges cells at most, whatever the input: one small task, and safe to broadcast
+    cells = cells.select(*cell, *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}0") for x in "bc"])
+
+    inside = Window.partitionBy(*cell).orderBy("k", "t", "doc_id", "n")
     running = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = stage_table(
-        base.join(F.broadcast(cells), ["r", "sub"]).select(
+        base.join(F.broadcast(cells), cell).select(
             "doc_id",
             "size",
             "text_crc32",
