@@ -109,13 +109,13 @@ def _met(
     else:
         met = own.join(sketched, "h").select("doc_id", text_key(F.col("text")).alias("key"), "item_id", "need", "h")
     hits = met.select("doc_id", "key", "item_id", "need", "h").distinct().groupBy("doc_id", "key", "item_id").agg(F.count("*").alias("hits"), F.max("need").alias("need"))
-    pairs = stage_table(hits.filter("hits >= need").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "item_id"), "bench-pairs")
+    pairs = stage_table(hits.filter("hits >= need").select(F.col("doc_id").alias("_cr_id"), F.col("key").alias("_cr_k"), "item_id"), "bench-pairs")
     sets, _ = small_or_not(stage_table(index.select("item_id", "shingles", "n_item"), "bench-sets"))
     shared = F.size(F.array_intersect("doc_shingles", "shingles"))
     mine = text_key(F.col("text"))
     return (
-        having(d, mine, pairs, d["doc_id"].eqNullSafe(F.col("_id")) & (mine == F.col("_k")))
-        .select("doc_id", F.col("_k").alias("key"), "item_id", shingle_hashes(F.col("text"), n).alias("doc_shingles"))
+        having(d, mine, pairs, d["doc_id"].eqNullSafe(F.col("_cr_id")) & (mine == F.col("_cr_k")))
+        .select("doc_id", F.col("_cr_k").alias("key"), "item_id", shingle_hashes(F.col("text"), n).alias("doc_shingles"))
         .join(sets, "item_id")
         .select("doc_id", "key", "item_id", "n_item", shared.alias("n_shared"))
         .filter(F.col("n_shared") >= F.col("n_item") * F.lit(threshold))
@@ -129,9 +129,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     Texts of any length are read whole; repeated rows go or stay together; empty tables give
     empty results.
     """
-    found = _met(docs, items, **how).select(F.col("key").alias("_k")).distinct()
+    found = _met(docs, items, **how).select(F.col("key").alias("_cr_k")).distinct()
     own = text_key(F.col(how.get("text_col", "text")))
-    return having(docs, own, stage_table(found, "bench-docs"), own == F.col("_k"), "left_anti")
+    return having(docs, own, stage_table(found, "bench-docs"), own == F.col("_cr_k"), "left_anti")
 
 
 def op1_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -91,8 +91,8 @@ def _sets(docs: DataFrame, fine: int = 0) -> DataFrame:
 
 
 def _full_sets(ids: DataFrame, texts: DataFrame, name: str, fine: int = 0) -> DataFrame:
-    asked = stage_table(ids.select(F.col("id").alias("_k")).distinct(), f"near-{name}-ids")
-    own = having(texts, F.col("id"), asked, F.col("id") == F.col("_k"))
+    asked = stage_table(ids.select(F.col("id").alias("_cr_k")).distinct(), f"near-{name}-ids")
+    own = having(texts, F.col("id"), asked, F.col("id") == F.col("_cr_k"))
     return stage_table(_sets(own.select("id", "raw"), fine).dropDuplicates(["id"]), f"near-{name}-sets")
 
 
@@ -275,6 +275,6 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str =
     Rows go by their id and text, so those of a null id go too, and a row stays though another
     text of its id goes.
     """
-    dropped = _grouped(docs, threshold, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_k")).distinct()
+    dropped = _grouped(docs, threshold, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_cr_id"), F.col("digest").alias("_cr_k")).distinct()
     own = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    return having(docs, own, stage_table(dropped, "near-dropped"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_k")), "left_anti")
+    return having(docs, own, stage_table(dropped, "near-dropped"), F.col(id_col).cast("long").eqNullSafe(F.col("_cr_id")) & (own == F.col("_cr_k")), "left_anti")

@@ -122,15 +122,15 @@ def may_hold(df: DataFrame, key: Column, built: DataFrame, flag: str) -> DataFra
 def having(df: DataFrame, key: Column, keys: DataFrame, on: Column, how: str = "inner") -> DataFrame:
     """``df`` joined with the staged ``keys`` on ``on``, without moving rows that find no partner.
 
-    ``key`` and the column ``_k`` of ``keys`` are equal where ``on`` holds, and ``on`` must compare
-    ``_k`` with ``key``.  Keys of few bytes are broadcast.  Beyond that a filter of fixed size
+    ``key`` and the column ``_cr_k`` of ``keys`` are equal where ``on`` holds, and ``on`` must compare
+    ``_cr_k`` with ``key``.  Keys of few bytes are broadcast.  Beyond that a filter of fixed size
     says which rows may have a partner, and those alone are shuffled.  ``how``: ``inner``,
     ``left_anti`` or ``left``.
     """
     few, fits = small_or_not(keys)
     if fits:
         return df.join(few, on, how)
-    flagged = may_hold(df, key, key_filter(keys, F.xxhash64("_k", F.lit(5))), "_cr_may")
+    flagged = may_hold(df, key, key_filter(keys, F.xxhash64("_cr_k", F.lit(5))), "_cr_may")
     met = flagged.filter("_cr_may").drop("_cr_may").join(keys, on, how)
     if how == "inner":
         return met

@@ -440,9 +440,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append(digest.hexdigest())
         return pa.array(out, pa.string())
 
-    known = spans.select(F.col("h1").alias("_k"), F.col("h2").alias("_k2"), "spans")
+    known = spans.select(F.col("h1").alias("_cr_k"), F.col("h2").alias("_cr_k2"), "spans")
     known.staged_at = spans.staged_at
-    all_ = having(base, F.col("h1"), known, (F.col("h1") == F.col("_k")) & (F.col("h2") == F.col("_k2")), "left")
+    all_ = having(base, F.col("h1"), known, (F.col("h1") == F.col("_cr_k")) & (F.col("h2") == F.col("_cr_k2")), "left")
     gone = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"]), F.lit(0))
     cut = F.arrow_udf(kept, "string")(F.when(F.col("spans").isNotNull(), F.col("raw")), F.col("spans"))
     return all_.select(

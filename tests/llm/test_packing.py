@@ -125,3 +125,15 @@ def test_large_topics_are_divided_and_small_ones_meet():
     first, pieces = shard_plan(np.array([5, 2, 9, 4]), np.array([3.2, 0.4, 0.5, 0.3]))
     assert pieces[[2, 4, 5, 9]].tolist() == [1, 1, 4, 1] and first[2] == first[4] == 0
     assert first[5] == 1 and first[9] == 5
+
+
+def test_words_are_encoded_as_by_the_library(encode):
+    from copyrisk.llm.tokens import WordTokens
+
+    rng = random.Random(12)
+    parts = "a e the ing ção über ß ñ 's 't ' . , ; ... !? 12 3.4 - — A B É ﬁ Ⅷ İ ǅ ɐ Å ̊ 東 😀 \x85 \xa0 <|endoftext|> <|EndOfText|>".split(" ")
+    texts = ["".join(rng.choices([*parts, " ", " ", "\n", "\t"], k=rng.randrange(0, 60))) for _ in range(1500)] + ["a" * 500 + " " + "é," * 90, "x" * 63 + " " + "x" * 64 + " " + "x" * 65]
+    own = WordTokens(default_tokenizer())
+    for k in range(0, len(texts), 200):
+        for t, ids in zip(texts[k:], own.encode([t.encode() for t in texts[k : k + 200]], 1)):
+            assert ids.tolist() == encode(t), t
