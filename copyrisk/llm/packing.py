@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from .tokens import word_tokens
 WINDOW = 2048
 #: Tokens and documents that fill an index shard; a shard holds about as many of either at most.
 SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4096
-#: Texts encoded at a time.
-SLICE = 100
+#: Texts encoded at a time, and bytes of them from which on a text stands alone.
+SLICE, SLICE_BYTES = 100, 2_000_000
 #: BM25's two constants.
 K1, B = 1.2, 0.75
 #: Terms of more documents of a shard are scored by products of matrices of so many terms at a time.
@@ -46,14 +47,24 @@ def unpack(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of ``doc_id, h, raw`` in parts of bounded size."""
+    sizes, first, held = pc.binary_length(b.column(2)).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and (i - first >= SLICE or held + n > SLICE_BYTES):
+            yield b.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    yield b.slice(first)
+
+
 def token_table(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, h, n, ids``: a hash of each row's text, and its ids with ``end_id`` after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens(path)
         for b in batches:
-            for i in range(0, b.num_rows, SLICE):
-                part = b.slice(i, SLICE)
+            for part in slices(b):
                 ids = encoder.encode(part.column(2).to_pylist(), end_id)
                 packed = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
                 cols = [part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())]

@@ -13,9 +13,9 @@ import xxhash
 from .shingles import mix
 
 #: Words that a Python worker remembers; the table starts anew beyond that.
-REMEMBERED = 1_000_000
-#: Words encoded at a time, and bytes of a word that is looked up by its hash.
-LEARNED, LONGEST = 20_000, 64
+REMEMBERED = 500_000
+#: Words encoded at a time, bytes hashed at a time, and bytes of a word that has a polynomial for a hash.
+LEARNED, BLOCK, LONGEST = 20_000, 1 << 18, 64
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BYTE = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -51,7 +51,7 @@ class Table:
         if 2 * (self.used + len(keys)) > len(self.keys):
             old = self.keys != 0
             held = self.keys[old], self.values[old]
-            self.__init__(max(len(self.keys), 2 * (self.used + len(keys))).bit_length() + 1)
+            self.__init__((2 * (self.used + len(keys))).bit_length())
             self.put(*held)
         self.used += len(keys)
         while len(keys):
@@ -138,7 +138,7 @@ class WordTokens:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.merges = LetterMerges(model) if model.get("end_of_word_suffix") and not model.get("dropout") and not model.get("ignore_merges") else None
-        self.powers = self.inverse = np.ones(1, np.uint64)
+        self.powers, self.inverse = (np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(BLOCK, x, np.uint64))]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
         self._clear()
 
     def _clear(self) -> None:
@@ -190,12 +190,16 @@ class WordTokens:
 
     def _hashes(self, data: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of each word, whatever its place: a polynomial of its bytes, or for long words the digest of them."""
-        if len(self.powers) <= len(data):
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, base in (("powers", _BASE), ("inverse", inverse)):
-                setattr(self, name, np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(2 * len(data), base, np.uint64))]))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * self.powers[: len(data)], dtype=np.uint64)])
-        h = mix((sums[ends] - sums[first]) * self.inverse[first] + (ends - first).astype(np.uint64))
+        h = np.empty(len(first), np.uint64)
+        i = 0
+        while i < len(first):
+            j = max(i + 1, int(np.searchsorted(ends, first[i] + BLOCK, "right")))
+            start, n = first[i], int(min(ends[j - 1] - first[i], BLOCK))  # a longer word has its digest
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[data[start : start + n]] * self.powers[:n], out=sums[1:])
+            at, to = first[i:j] - start, np.minimum(ends[i:j] - start, n)
+            h[i:j] = mix((sums[to] - sums[at]) * self.inverse[at] + (to - at).astype(np.uint64))
+            i = j
         for k in np.flatnonzero(ends - first > LONGEST).tolist():
             h[k] = xxhash.xxh3_64_intdigest(data[first[k] : ends[k]].tobytes())
         return np.maximum(h, np.uint64(1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as v
@@ -151,7 +151,47 @@ def kappa(scored: DataFrame) -> DataFrame:
     return one.select("flag_type", "both", "tool", "llm", "n", F.round(ratio(seen - chance, 1 - chance), 6).alias("kappa"))
 
 
-def run_delta(before: DataFrame, after: DataFrame, limit: float = 0.05) -> DataFrame:
+def error_examples(scored: DataFrame, order: str = "doc_id", text: str = "text", n: int = 10) -> DataFrame:
+    """The first ``n`` rows, by ``order``, of each system's false positives and false negatives.
+
+    ``system, kind, place, doc_id, excerpt, types``: the types that the system named, or gold ones
+    for false negatives.  Each task keeps back all but its own first ``n`` before rows move.
+    """
+    cut = F.when(F.length(text) > 90, F.concat(F.substring(text, 1, 90), F.lit("…"))).otherwise(F.col(text))
+    kinds = [(s, k, F.col(f"{s}_issue_types" if k == "fp" else "issue_type_gold")) for s in ("tool", "llm") for k in ("fp", "fn")]
+    each = F.filter(F.array(*[F.when(F.col(f"{s}_{k}") == 1, F.struct(F.lit(s).alias("system"), F.lit(k).alias("kind"), types.alias("types"))) for s, k, types in kinds]), lambda x: x.isNotNull())
+    rows = scored.select(F.col(order).alias("at"), "doc_id", cut.alias("excerpt"), F.explode(each).alias("x")).select("at", "doc_id", "excerpt", "x.*")
+    place = F.row_number().over(Window.partitionBy("system", "kind").orderBy("at", "doc_id"))
+    return rows.withColumn("place", place).filter(F.col("place") <= n).select("system", "kind", "place", "doc_id", "excerpt", "types")
+
+
+def disagreements(scored: DataFrame) -> DataFrame:
+    """Rows on which the systems differ: ``doc_id, direction`` (who flagged), ``right`` (who was right)."""
+    differ = scored.filter("tool_llm_agree = 0")
+    by = F.when(F.lower(F.trim("tool_flag")) == "flag", "tool_only").otherwise("llm_only")
+    right = F.when(F.col("tool_correct") == 1, "tool").when(F.col("llm_correct") == 1, "llm").otherwise("neither")
+    return differ.select("doc_id", by.alias("direction"), right.alias("right"))
+
+
+def error_rates(counts: DataFrame) -> DataFrame:
+    """``false_positive_rate`` and ``miss_rate`` added to ``tp, fp, fn, tn``; 0 where a denominator is 0."""
+    tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
+    return counts.withColumns({"false_positive_rate": F.round(ratio(fp, fp + tn), 6), "miss_rate": F.round(ratio(fn, fn + tp), 6)})
+
+
+def target_check(metrics: DataFrame, precision: float = v.LEAST_PRECISION, recall: float = v.LEAST_RECALL) -> DataFrame:
+    """``precise, recalled, meets`` for rows with ``flag_type, precision, recall``; recall counts for types of high priority alone."""
+    precise = F.col("precision") > precision
+    recalled = ~F.col("flag_type").isin(*v.HIGH_TYPES) | (F.col("recall") > recall)
+    return metrics.withColumns({"precise": precise, "recalled": recalled, "meets": precise & recalled})
+
+
+def suppressed_by_source(flags: DataFrame, sourced: DataFrame, types: list[str]) -> DataFrame:
+    """Flags without those of ``types`` whose documents name a source (``doc_id`` of ``sourced``); an option, off by default."""
+    return flags.join(sourced.select("doc_id").distinct().withColumn("_named", F.lit(True)), "doc_id", "left").filter(F.col("_named").isNull() | ~F.col("flag_type").isin(*types)).drop("_named")
+
+
+def run_delta(before: DataFrame, after: DataFrame, limit: float = v.MOST_LOSS) -> DataFrame:
     """Change of F1 per type between two runs, and whether it fell by more than ``limit``."""
     x, y = (d.select("flag_type", F.col("f1").alias(k)) for d, k in ((before, "f1_before"), (after, "f1_after")))
     both = x.join(y, "flag_type", "full_outer").fillna(0.0)

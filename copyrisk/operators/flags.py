@@ -177,3 +177,13 @@ def badge_counts(flags: DataFrame, types: Sequence[str]) -> DataFrame:
 
 def fact_check_candidates(flags: DataFrame) -> DataFrame:
     return flags.filter((F.col("flag_type") == "quantitative_claim") & ~F.lower(F.trim("text")).isin(*v.NOT_CHECKED))
+
+
+def flagged_count(rolled: DataFrame) -> DataFrame:
+    """``flagged, total`` of rolled-up rows."""
+    return rolled.agg(F.count_if(F.col("tool_flag") == "flag").alias("flagged"), F.count("*").alias("total"))
+
+
+def types_by_priority() -> tuple[list[str], list[str]]:
+    """The flag types of high priority and the others, each sorted by name."""
+    return sorted(t for t in v.COLOURS if t in v.HIGH_TYPES), sorted(t for t in v.COLOURS if t not in v.HIGH_TYPES)

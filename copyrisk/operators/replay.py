@@ -57,3 +57,81 @@ def spend_by_day(usage: DataFrame, at: str = "created_at", cost: str = "cost_usd
     spend = F.round(F.sum(F.coalesce(F.col(cost), F.lit(0.0))), 6)
     out = usage.groupBy(F.to_date(at).alias("day")).agg(F.count("*").alias("calls"), spend.alias("spend"))
     return out.withColumn("gate", F.when(F.col("spend") >= v.BLOCK_AT, "block").when(F.col("spend") >= v.WARN_AT, "warn").otherwise("ok"))
+
+
+NORMAL = "flag string, issue_types string, explanation string"
+
+
+def normalised(df: DataFrame, raw: str = "raw_response", error: str | None = None) -> DataFrame:
+    """``llm_flag, llm_issue_types, llm_explanation`` of answers with a list or a comma-joined string of types.
+
+    Whatever counts as true makes a flag; unknown types are left out and repeated ones stay.  A
+    missing or broken answer, and one with a text in the column ``error``, is a clean row.
+    """
+    text = F.trim(F.coalesce(F.col(raw), F.lit("")))
+    a = F.from_json(text, NORMAL)
+    failed = F.col(error) if error else F.lit(None).cast("string")
+    types = F.coalesce(a["issue_types"], F.lit(""))
+    listed = F.when(types.startswith("["), F.from_json(types, "array<string>")).otherwise(F.transform(F.split(types, ","), lambda t: F.trim(t)))
+    known = F.filter(F.coalesce(listed, F.expr("cast(array() as array<string>)")), lambda t: t.isin(*v.COLOURS))
+    true = F.col("a.flag").isNotNull() & ~F.lower("a.flag").isin("false", "0", "0.0", "", "[]", "{}", "null")
+    out = df.withColumn("a", a).withColumns({"_flag": true, "_types": F.array_join(known, ","), "_said": F.trim(F.coalesce("a.explanation", F.lit("")))})
+    out = out.withColumn("_failed", F.coalesce(failed, F.when(F.col("a").isNull() | (text == ""), F.lit("no answer"))))
+    fine = F.col("_failed").isNull()
+    return out.withColumns(
+        {
+            "llm_flag": F.when(fine & F.col("_flag"), "flag").otherwise("clean"),
+            "llm_issue_types": F.when(fine, F.col("_types")).otherwise(""),
+            "llm_explanation": F.when(fine, F.col("_said")).otherwise(F.concat(F.lit("ERROR: "), F.col("_failed"))),
+        }
+    ).drop("a", "_flag", "_types", "_said", "_failed")
+
+
+def text_key(text: Column) -> Column:
+    """What results are kept by: a text that changes has another key, so stale results find no row."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def answered(df: DataFrame, answers: DataFrame, text_col: str = "text", key: str = "text_key") -> DataFrame:
+    """``df`` with the stored answers of its texts by :func:`text_key`; texts without one keep nulls.
+
+    Of several answers for a text one stays.  Answers are keyed by hash, so no text moves to them.
+    """
+    one = answers.dropDuplicates([key])
+    return df.withColumn(key, text_key(F.col(text_col))).join(one, key, "left")
+
+
+def llm_only_spans(df: DataFrame, spans: str = "llm_spans", only: str = "llm_only") -> Column:
+    """The model's spans whose types the tool doesn't have; ``only``: comma-joined types."""
+    return F.filter(F.col(spans), lambda s: F.array_contains(F.split(F.col(only), ","), s["flag_type"]))
+
+
+def usage_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows for the usage ledger: ``call_type, text_snippet, prompt_tokens, completion_tokens, cost_usd``;
+    calls without usage give none."""
+    zero = F.lit(0)
+    used = df.filter("prompt_tokens is not null or completion_tokens is not null")
+    tokens = {k: F.coalesce(k, zero) for k in ("prompt_tokens", "completion_tokens")}
+    return used.select("call_type", F.substring(text_col, 1, 200).alias("text_snippet"), *[c.alias(k) for k, c in tokens.items()], usage_cost(*tokens.values()).alias("cost_usd"))
+
+
+def session_totals(usage: DataFrame, session: str = "session") -> DataFrame:
+    """``calls, prompt_tokens, completion_tokens, cost_usd`` by session."""
+    sums = [F.sum(F.coalesce(k, F.lit(0))).alias(k) for k in ("prompt_tokens", "completion_tokens")]
+    return usage.groupBy(session).agg(F.count("*").alias("calls"), *sums, F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 6).alias("cost_usd"))
+
+
+def spend_since(usage: DataFrame, day: Column | None = None, at: str = "created_at", cost: str = "cost_usd") -> DataFrame:
+    """One row ``spend, gate`` of the calls from ``day`` on, today by default; the predicate reaches the scan.
+
+    A null cost counts as 0; without a call the spend is 0.  Whoever has no ledger passes a frame
+    without rows and reads the spend as unknown.
+    """
+    since = usage.filter(F.col(at) >= (F.current_date() if day is None else day))
+    out = since.agg(F.round(F.coalesce(F.sum(F.coalesce(F.col(cost), F.lit(0.0))), F.lit(0.0)), 6).alias("spend"))
+    return out.withColumn("gate", F.when(F.col("spend") >= v.BLOCK_AT, "block").when(F.col("spend") >= v.WARN_AT, "warn").otherwise("ok"))
+
+
+def markdown_safe(text: Column) -> Column:
+    """The text with a backslash before signs that Markdown renders."""
+    return F.replace(F.replace(text, F.lit("$"), F.lit("\\$")), F.lit("%"), F.lit("\\%"))

@@ -30,6 +30,10 @@ BADGE_TYPES = ["quantitative_claim", "causal_claim", "trend_language", "temporal
 ANSWER = """CASE o_orderkey % 4 WHEN 0 THEN '```json {"flag": true, "spans": [{"flag_type": "causal_claim", "text": "led to", "reason": "why"}, {"flag_type": "other", "text": "x"}, {"flag_type": "causal_claim"}, {"flag_type": "vague_attribution"}], "explanation": "ok"} ```' WHEN 1 THEN '{"flag": false, "spans": []}' WHEN 2 THEN 'not json' ELSE '{"flag": true}' END"""
 
 
+NORMAL_ANSWER = """CASE o_orderkey % 6 WHEN 0 THEN '{"flag": true, "issue_types": ["causal_claim", "other", "causal_claim", "trend_language"], "explanation": " why "}' WHEN 1 THEN '{"flag": "yes", "issue_types": "causal_claim, agency_name ,x"}' WHEN 2 THEN '{"flag": false, "issue_types": []}' WHEN 3 THEN '{"flag": 1}' WHEN 4 THEN 'no json' ELSE NULL END"""
+SINCE = "2024-01-15"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -130,6 +134,32 @@ def flag_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.flag(d, rules=core_rules(), agencies=AGENCIES)
 
 
+def normalised_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(NORMAL_ANSWER).alias("raw_response"))
+    return replay.normalised(d).drop("raw_response")
+
+
+def session_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), (F.get_json_object("props", "$.k").cast("bigint") * 10).alias("prompt_tokens"), (F.col("event_id") % 7).alias("completion_tokens"))
+    return replay.session_totals(e.withColumn("cost_usd", replay.usage_cost(F.col("prompt_tokens"), F.col("completion_tokens"))))
+
+
+def spend_of_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spend since a day of the events, as of today in use."""
+    e = _table(spark, sf_dir, "events").select(F.col("ts").alias("created_at"), replay.usage_cost(F.get_json_object("props", "$.k").cast("bigint") * 1000, F.col("user_id")).alias("cost_usd"))
+    return replay.spend_since(e, F.lit(SINCE).cast("date"))
+
+
+def _per_type(scored: DataFrame, system: str) -> DataFrame:
+    return evaluation.per_issue_type(scored).filter(F.col("system") == system)
+
+
+def run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tool's F1 by type as the run before, the model's as the run after."""
+    scored = _scored(spark, sf_dir)
+    return evaluation.run_delta(_per_type(scored, "tool"), _per_type(scored, "llm"))
+
+
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(MENTIONS).alias("text"))
 
@@ -156,7 +186,16 @@ def queries() -> dict[str, Query]:
         "leaderboard": scored(evaluation.leaderboard),
         "kappa": scored(evaluation.kappa),
         "type_comparison": lambda s, d: evaluation.compare_types(_scored(s, d), "tool_issue_types", "llm_issue_types").select("doc_id", "llm_only", "tool_only", "agreed"),
+        "error_examples": scored(evaluation.error_examples),
+        "disagreements": scored(evaluation.disagreements),
+        "error_rates": scored(lambda d: evaluation.error_rates(evaluation.binary_metrics(d)).select("system", "false_positive_rate", "miss_rate")),
+        "target_check": scored(lambda d: evaluation.target_check(evaluation.per_issue_type(d)).select("system", "flag_type", "precise", "recalled", "meets")),
+        "run_delta": run_delta,
+        "flagged_count": scored(flags.flagged_count),
         "spend_by_day": spend_by_day,
+        "spend_since": spend_of_last_day,
+        "session_totals": session_usage,
+        "normalised_answers": normalised_answers,
         "llm_answers": llm_answers,
         "flag_text": flag_text,
         "agency_abbreviations": lambda s, d: agencies.abbreviation_flags(_mentions(s, d), AGENCIES),

@@ -84,8 +84,9 @@ def pattern_rules() -> list[Rule]:
 
 
 def registry_rules() -> list[Rule]:
-    """Rules from 7 on, as a registry file adds them; the built-in registry has one."""
-    return [Rule(7, "agency_name", "High", v.REASONS["border_patrol"], r"\bCustoms and Border Patrol\b")]
+    """Rules from 7 on, as a registry file adds them; of the built-in registry's seven, one is enabled."""
+    rows = [("agency_name", "High", v.REASONS["border_patrol"], v.BORDER_PATROL), *v.INACTIVE_RULES]
+    return [Rule(7 + i, *row, enabled=i == 0) for i, row in enumerate(rows)]
 
 
 def causal_rules() -> list[Rule]:
