@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage_table
+from .scratch import discard, stage_table
 from .tokens import word_tokens
 
 WINDOW = 2048
@@ -254,7 +254,8 @@ def pack_documents(
     tokens = stage_table(token_table(docs, tokenizer or default_tokenizer(), end_id, id_col, text_col), "pack-tokens")
     n_docs, total = tokens.agg(F.count("*"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()
     model = spark.sparkContext.broadcast(Bm25(document_frequencies(tokens), n_docs, total / max(n_docs, 1)))
-    known = _with_topic(tokens, model)
+    known = stage_table(_with_topic(tokens, model), "pack-topics")
+    discard(tokens)
     # as many rows as the vocabulary has tokens, at most
     sums = known.groupBy("topic").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).toArrow()
     topics, n, many = (sums.column(k).to_numpy() for k in ("topic", "n", "docs"))
