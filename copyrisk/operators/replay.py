@@ -76,7 +76,7 @@ def normalised(df: DataFrame, raw: str = "raw_response", error: str | None = Non
     known = F.filter(F.coalesce(listed, F.expr("cast(array() as array<string>)")), lambda t: t.isin(*v.COLOURS))
     true = F.col("a.flag").isNotNull() & ~F.lower("a.flag").isin("false", "0", "0.0", "", "[]", "{}", "null")
     out = df.withColumn("a", a).withColumns({"_flag": true, "_types": F.array_join(known, ","), "_said": F.trim(F.coalesce("a.explanation", F.lit("")))})
-    out = out.withColumn("_failed", F.coalesce(failed, F.when(F.col("a").isNull() | (text == ""), F.lit("no answer"))))
+    out = out.withColumn("_failed", F.coalesce(failed, F.when(F.try_parse_json(text).isNull(), F.lit("no answer"))))
     fine = F.col("_failed").isNull()
     return out.withColumns(
         {

@@ -7,7 +7,7 @@ from ..fixed_values import NOT_CHECKED, PRIORITY_RANK, SOURCE_CATEGORY
 from ..operators.agencies import LEAST, MOST, SHORTEST, flattened
 from ..rules import Rule, core_rules
 from . import copy_text
-from .queries import AGENCIES, ANSWER, BADGE_TYPES, MENTIONS
+from .queries import AGENCIES, ANSWER, BADGE_TYPES, MENTIONS, NORMAL_ANSWER, SINCE
 
 
 def _q(s: str) -> str:
@@ -166,6 +166,8 @@ def oracle_sql() -> dict[str, str]:
     systems = " UNION ALL ".join(f"SELECT '{s}' AS system, " + ", ".join(f"CAST(sum({s}_{k}) AS BIGINT) AS {k}" for k in ("tp", "fp", "fn", "tn")) + " FROM scored" for s, _ in both)
     score_cols = [f"{s}_{k}" for s, _ in both for k in ("correct", "tp", "fp", "fn", "tn")] + ["tool_llm_agree", "issue_type_overlap", *[f"issue_type_{s}_{k}" for s, _ in both for k in ("extra", "missed")]]
     types = ", ".join(map(_q, BADGE_TYPES))
+    wrong = " UNION ALL ".join(f"SELECT '{s}' AS system, '{k}' AS kind, doc_id, text, {x} AS types FROM scored WHERE {s}_{k} = 1" for s, _ in both for k, x in (("fp", f"{s}_issue_types"), ("fn", "issue_type_gold")))
+    per_type = f"{_SCORED}, cells AS ({cells}), sums AS (SELECT system, flag_type, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'fp') AS fp, count(*) FILTER (k = 'fn') AS fn FROM cells GROUP BY ALL), per_type AS (SELECT system, flag_type, tp, fp, fn, {_PRF} FROM sums WHERE flag_type IN (SELECT unnest(g) FROM lists))"
     return {
         "flags_by_type": f"{_FLAGS} SELECT flag_type, priority, count(*) AS n_flags, count(DISTINCT doc_id) AS n_docs FROM flags GROUP BY ALL",
         "flag_rows": f'{_FLAGS} SELECT doc_id, a AS start, b AS "end", text, flag_type, priority, reason, seq FROM flags',
@@ -182,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
         "unmatched_spans": f'{_FLAGS}, {_GOLD} SELECT doc_id, flag_type, a AS start, b AS "end" FROM flags f WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = f.doc_id AND g.flag_type = f.flag_type AND f.a < g.b AND g.a < f.b)',
         "scored_rows": f"{_SCORED} SELECT doc_id, human_label, issue_type_gold, llm_issue_types, llm_flag, source, tool_flag, tool_issue_types, {', '.join(score_cols)} FROM scored",
         "binary_metrics": f"{_SCORED}, systems AS ({systems}) SELECT *, round(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) ELSE 0.0 END, 6) AS accuracy, {_PRF} FROM systems",
-        "per_issue_type": f"{_SCORED}, cells AS ({cells}), sums AS (SELECT system, flag_type, count(*) FILTER (k = 'tp') AS tp, count(*) FILTER (k = 'fp') AS fp, count(*) FILTER (k = 'fn') AS fn FROM cells GROUP BY ALL) SELECT system, flag_type, tp, fp, fn, {_PRF} FROM sums WHERE flag_type IN (SELECT unnest(g) FROM lists)",
+        "per_issue_type": f"{per_type} SELECT * FROM per_type",
         "by_source": f"{_SCORED} SELECT CASE lower(trim(source)) {_named(SOURCE_CATEGORY)} ELSE 'other' END AS category, count(*) AS n, round(avg(tool_correct), 6) AS tool_accuracy, round(avg(llm_correct), 6) AS llm_accuracy, "
         + ", ".join(f"CAST(sum({s}_{k}) AS BIGINT) AS {s}_{k}" for s, _ in both for k in ("fp", "fn"))
         + " FROM scored GROUP BY 1",
@@ -204,6 +206,27 @@ def oracle_sql() -> dict[str, str]:
             marks AS (SELECT h.doc_id, max(h.b) AS at, string_agg(replace({_html("d.text[h.at + 1:h.a]")}, chr(10), '<br>') || '<mark style="background:' || colour || CASE WHEN n > 1 THEN ';text-decoration:underline dotted' ELSE '' END || '" title="'
               || {_html(f"CASE WHEN n > 1 THEN {_q(v.SEVERAL)} || title ELSE title END")} || '">' || {_html("t")} || CASE WHEN n > 1 THEN '<sup>+</sup>' ELSE '' END || '</mark>', '' ORDER BY h.a) AS html FROM heads h JOIN docs d USING (doc_id) GROUP BY h.doc_id)
             SELECT d.doc_id, CASE WHEN m.doc_id IS NULL THEN '<p>' || {_html("d.text")} || '</p>' ELSE '<div>' || m.html || replace({_html("d.text[m.at + 1:]")}, chr(10), '<br>') || '</div>' END AS html FROM docs d LEFT JOIN marks m USING (doc_id)""",
+        "flagged_count": f"{_ROLL} SELECT count(*) FILTER (tool_flag = 'flag') AS flagged, count(*) AS total FROM roll",
+        "disagreements": f"""{_SCORED} SELECT doc_id, CASE WHEN tool_flag = 'flag' THEN 'tool_only' ELSE 'llm_only' END AS direction,
+            CASE WHEN tool_correct = 1 THEN 'tool' WHEN llm_correct = 1 THEN 'llm' ELSE 'neither' END AS "right" FROM scored WHERE tool_llm_agree = 0""",
+        "error_examples": f"""{_SCORED}, wrong AS ({wrong}), placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY system, kind ORDER BY doc_id) AS INTEGER) AS place FROM wrong)
+            SELECT system, kind, place, doc_id, CASE WHEN length(text) > 90 THEN substring(text, 1, 90) || '…' ELSE text END AS excerpt, types FROM placed WHERE place <= 10""",
+        "error_rates": f"""{_SCORED}, systems AS ({systems}) SELECT system, round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 6) AS false_positive_rate,
+            round(CASE WHEN fn + tp > 0 THEN fn / (fn + tp) ELSE 0.0 END, 6) AS miss_rate FROM systems""",
+        "target_check": f"""{per_type}, checked AS (SELECT system, flag_type, precision > {v.LEAST_PRECISION} AS precise, flag_type NOT IN ({", ".join(map(_q, v.HIGH_TYPES))}) OR recall > {v.LEAST_RECALL} AS recalled FROM per_type)
+            SELECT *, precise AND recalled AS meets FROM checked""",
+        "run_delta": f"""{per_type}, paired AS (SELECT flag_type, coalesce(max(f1) FILTER (system = 'tool'), 0.0) AS f1_before, coalesce(max(f1) FILTER (system = 'llm'), 0.0) AS f1_after FROM per_type GROUP BY flag_type)
+            SELECT *, round(f1_after - f1_before, 6) AS change, round(f1_after - f1_before, 6) < -{v.MOST_LOSS} AS regressed FROM paired""",
+        "session_totals": """WITH e AS (SELECT user_id AS session, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) * 10, 0) AS p, event_id % 7 AS c FROM events)
+            SELECT session, count(*) AS calls, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens, round(sum(CAST(round((p * 5.0 + c * 15.0) / 1e6, 6) AS DOUBLE)), 6) AS cost_usd FROM e GROUP BY session""",
+        "spend_since": f"""WITH e AS (SELECT round((coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000, 0) * 5.0 + coalesce(user_id, 0) * 15.0) / 1e6, 6) AS c FROM events WHERE ts >= DATE '{SINCE}'),
+            d AS (SELECT round(coalesce(sum(CAST(c AS DOUBLE)), 0.0), 6) AS spend FROM e)
+            SELECT *, CASE WHEN spend >= 10.0 THEN 'block' WHEN spend >= 5.0 THEN 'warn' ELSE 'ok' END AS gate FROM d""",
+        "normalised_answers": f"""WITH said AS (SELECT o_orderkey AS doc_id, {NORMAL_ANSWER} AS raw FROM orders),
+            parsed AS (SELECT doc_id, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM said),
+            listed AS (SELECT *, CASE WHEN json_type(j -> 'issue_types') = 'ARRAY' THEN CAST(j -> 'issue_types' AS VARCHAR[]) ELSE list_transform(string_split(coalesce(j ->> 'issue_types', ''), ','), lambda x: trim(x)) END AS named FROM parsed)
+            SELECT doc_id, CASE WHEN coalesce(lower(j ->> 'flag') NOT IN ('false', '0', '0.0', '', '[]', '{{}}', 'null'), false) THEN 'flag' ELSE 'clean' END AS llm_flag,
+            {_joined(f"list_filter(named, lambda x: x IN ({', '.join(map(_q, v.COLOURS))}))")} AS llm_issue_types, CASE WHEN j IS NULL THEN 'ERROR: no answer' ELSE trim(coalesce(j ->> 'explanation', '')) END AS llm_explanation FROM listed""",
         "spend_by_day": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, round((coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000, 0) * 5.0 + coalesce(user_id, 0) * 15.0) / 1e6, 6) AS c FROM events),
             d AS (SELECT day, count(*) AS calls, round(sum(CAST(c AS DOUBLE)), 6) AS spend FROM e GROUP BY day)
             SELECT *, CASE WHEN spend >= 10.0 THEN 'block' WHEN spend >= 5.0 THEN 'warn' ELSE 'ok' END AS gate FROM d""",
