@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosting, decontaminate, html_text, isolation, near_dup, packing, pii, sharding, suffix_dedup, url_filter
+from . import boosting, chat_format, decontaminate, filter_audit, html_text, isolation, near_dup, packing, pii, sharding, spelling, suffix_dedup, url_filter
 from .oracle import oracle_sql
 
 __all__ = ["oracle_sql", "queries"]
@@ -56,6 +56,18 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.op11_chat_format(_table(spark, sf_dir, "conversations"))
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.op13_filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": _op1,
@@ -68,4 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": _op8,
         "op9_url_filter": _op9,
         "op10_personal_data": _op10,
+        "op11_chat_format": _op11,
+        "op12_spelling_variants": _op12,
+        "op13_filter_audit": _op13,
     }
