@@ -31,8 +31,3 @@ def find_spans(text: Column, pattern: str, flags: str = "(?iU)") -> Column:
     folded = F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("m")), start, step, lambda acc: acc["out"])
     return F.when(text.rlike(flags + pattern), folded).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
-
-def once(c: Column) -> Column:
-    """``c`` unchanged, but marked as not deterministic, so that the optimizer evaluates it in one
-    projection and doesn't copy it into each of the expressions that use it."""
-    return F.when(F.rand(0) >= 0, c)

@@ -42,7 +42,7 @@ def flattened(agencies: Sequence[Agency], tier: int = 1) -> tuple[list[tuple[str
     for a in agencies:
         if a.tier <= tier and a.canonical.strip():
             full.append((a.canonical, a.canonical, a.status))
-            for x in a.abbreviations:
+            for x in filter(None, a.abbreviations):
                 short.append((x, a.canonical, a.status))
                 if len(x) >= 6 and not re.fullmatch("[A-Z]{2,8}", x):
                     full.append((x, a.canonical, a.status))
@@ -67,13 +67,13 @@ def similarity(a: str, b: str) -> float:
     return 100.0 * (1 - (n - 2 * common_subsequence(a, b)) / n) if n else 100.0
 
 
-def _sorted_words(s: str) -> str:
+def sorted_words(s: str) -> str:
     return " ".join(sorted(s.split()))
 
 
 def best_match(index: Sequence[tuple[str, str, str]], least: float, by_words: bool) -> Callable[[str], tuple | None]:
     """Finds a string's first entry of the best score from ``least`` on: matched, canonical, status, score."""
-    form = _sorted_words if by_words else str
+    form = sorted_words if by_words else str
     keys = [(form(x[0]), Counter(form(x[0])), x) for x in index]
     # of each length, the keys that are near enough in length and the capitals that the nearest of them ask for
     near: dict[int, list] = {}

@@ -2,12 +2,68 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as v
 
-_GOLD = "array<struct<start:bigint,end:bigint>>"
+_COUNTS = pa.struct([("tp", pa.int64()), ("fp", pa.int64()), ("fn", pa.int64())])
+
+
+def greedy_matches(predicted: Sequence[tuple[int, int]], gold: Sequence[tuple[int, int]]) -> int:
+    """How many predictions, in their order, which is by start, take a gold span: the first free one in
+    the list's order that shares a character with it.
+
+    A sweep.  Gold spans that end before a prediction starts are dropped for good, as no later one
+    meets them.  Of the others, those that start before its end are a prefix of the spans by start;
+    a tree over that order keeps the least place in the list of each range.
+    """
+    order = sorted(range(len(gold)), key=lambda j: gold[j][0])
+    starts = [gold[j][0] for j in order]
+    size = 1 << max(0, len(order) - 1).bit_length()
+    none = len(gold)
+    tree = [none] * size + order + [none] * (size - len(order))
+    for k in range(size - 1, 0, -1):
+        tree[k] = min(tree[2 * k], tree[2 * k + 1])
+    at = {j: size + k for k, j in enumerate(order)}
+    ending = sorted(range(len(gold)), key=lambda j: gold[j][1])
+    dropped = hits = 0
+
+    def drop(j: int) -> None:
+        k = at[j]
+        tree[k] = none
+        while k := k >> 1:
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+
+    for start, end in predicted:
+        while dropped < len(ending) and gold[ending[dropped]][1] <= start:
+            drop(ending[dropped])
+            dropped += 1
+        best, low, high = none, size, size + bisect_left(starts, end)
+        while low < high:
+            if low & 1:
+                best, low = min(best, tree[low]), low + 1
+            if high & 1:
+                high -= 1
+                best = min(best, tree[high])
+            low, high = low >> 1, high >> 1
+        if best < none:
+            hits += 1
+            drop(best)
+    return hits
+
+
+def _counts(predicted: pa.Array, gold: pa.Array) -> pa.Array:
+    out = []
+    for p, g in zip(predicted.to_pylist(), gold.to_pylist()):
+        p, g = ([(x["start"], x["end"]) for x in spans or ()] for spans in (p, g))
+        tp = greedy_matches(p, g)
+        out.append({"tp": tp, "fp": len(p) - tp, "fn": len(g) - tp})
+    return pa.array(out, _COUNTS)
 
 
 def match_spans(predicted: DataFrame, gold: DataFrame) -> DataFrame:
@@ -15,31 +71,40 @@ def match_spans(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     gold span of its type, in the gold list's order (``pos``), that shares a character with it.
 
     ``predicted``: ``doc_id, flag_type, start, end, seq``; ``gold``: ``doc_id, flag_type, start, end,
-    pos``.  A group is a document's spans of one type.
+    pos``.  A group is a document's spans of one type; :func:`greedy_matches` sweeps it.
     """
     key = ["doc_id", "flag_type"]
     p = predicted.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "seq", "end"))).alias("p"))
     g = gold.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end"))).alias("g"))
-    free = F.coalesce(F.transform("g", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.expr(f"cast(array() as {_GOLD})"))
-    zero = F.struct(free.alias("free"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
+    counts = F.arrow_udf(_counts, "tp long, fp long, fn long").asNondeterministic()("p", "g")
+    return p.join(g, key, "full_outer").select(*key, counts.alias("r")).select(*key, "r.tp", "r.fp", "r.fn")
 
-    def step(acc: Column, x: Column) -> Column:
-        hits = F.transform(acc["free"], lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-        at = F.array_position(hits, F.lit(True)).cast("int")  # 1-based, 0: none
-        rest = F.filter(acc["free"], lambda _, i: i != at - 1)
-        one = (at > 0).cast("bigint")
-        return F.struct(rest.alias("free"), (acc["tp"] + one).alias("tp"), (acc["fp"] + 1 - one).alias("fp"))
 
-    every = F.coalesce("p", F.expr("cast(array() as array<struct<start:bigint,seq:bigint,end:bigint>>)"))
-    done = p.join(g, key, "full_outer").select(*key, F.aggregate(every, zero, step).alias("r"))
-    return done.select(*key, F.col("r.tp").alias("tp"), F.col("r.fp").alias("fp"), F.size("r.free").cast("bigint").alias("fn"))
+def unmatched(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a`` that share no character with a span of ``b`` of their document and type.
 
+    A sweep over both: of the spans of ``b`` that start before a row's end the last to end decides.
+    Null documents and types meet nothing."""
+    key = ["doc_id", "flag_type"]
+    rows = a.select(*key, F.col("end").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_end"), F.struct(*a.columns).alias("_row"))
+    other = b.select(*key, F.col("start").alias("_at"), F.lit(1).alias("_side"), F.col("end").cast("long").alias("_end"))
+    so_far = Window.partitionBy(*key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.unionByName(other, allowMissingColumns=True).withColumn("_last", F.max("_end").over(so_far))
+    alone = F.col("_last").isNull() | (F.col("_last") <= F.col("_row.start")) | F.col("doc_id").isNull() | F.col("flag_type").isNull()
+    return swept.filter((F.col("_side") == 0) & alone).select("_row.*")
 
-def unmatched(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of ``a`` that share no character with a span of ``b`` of their document and type."""
-    x, y = a.alias("x"), b.alias("y")
-    same = F.expr("x.doc_id = y.doc_id and x.flag_type = y.flag_type and x.start < y.end and y.start < x.end")
-    return x.join(y, same, "left_anti")
+
+def span_examples(predicted: DataFrame, gold: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` predictions without any gold span in reach and the first ``n`` gold spans without a prediction.
+
+    ``kind`` (``fp`` or ``fn``)``, place, doc_id, flag_type, start, end``, by document and start.  A
+    shared character suffices here, so these can be fewer than the counts of :func:`match_spans`.
+    """
+    cols = ["doc_id", "flag_type", "start", "end"]
+    kinds = [unmatched(a.select(*cols), b).select(F.lit(k).alias("kind"), *cols) for k, a, b in (("fp", predicted, gold), ("fn", gold, predicted))]
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("doc_id", "start", "end", "flag_type"))
+    rows = kinds[0].unionByName(kinds[1]).withColumn("place", place).filter(F.col("place") <= n)  # each task keeps its first n before any move
+    return rows.select("kind", "place", *cols)
 
 
 def ratio(a: Column, b: Column) -> Column:

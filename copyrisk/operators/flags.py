@@ -7,17 +7,18 @@ a stream.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as v
-from ..functions.spans import once
 from ..rules import Rule, all_rules, core_rules
 from .agencies import SEQ as AGENCY_SEQ
 from .agencies import Agency, finder
+from .literals import prefilter
 
 FLAG = "struct<start:bigint,rank:int,seq:bigint,end:bigint,text:string,flag_type:string,priority:string,reason:string>"
 FLAGS = f"array<{FLAG}>"
@@ -43,27 +44,41 @@ def kept(sorted_flags: Iterable[tuple], types: dict[int, str]) -> list[tuple]:
     return out
 
 
+@lru_cache(maxsize=16)
+def _matcher(found: tuple[str, ...]) -> tuple[list[re.Pattern], Callable[[str], list[int]]]:
+    return [re.compile(p, re.IGNORECASE) for p in found], prefilter(found)
+
+
+@lru_cache(maxsize=4)
+def _stages(agencies: tuple[Agency, ...], tier: int) -> list[tuple[int, Callable[[str], list[tuple]]]]:
+    return list(zip(AGENCY_SEQ, finder(agencies, tier))) if agencies else []
+
+
 def candidates(text: Column, rules: Sequence[Rule], agencies: Sequence[Agency] = (), tier: int = 1, dedupe: bool = False) -> Column:
     """All matches of all rules and agencies, sorted by start, priority and emission order.
 
     One Arrow function runs the rules, as thirty built-in expressions in one projection outgrow
-    generated code.  It returns offsets in code points and numbers of rules; the rest is looked up
-    and cut from the text beside it.  ``dedupe``: the flags that overlap a kept one of their type go.
+    generated code; a rule runs on the texts alone that hold one of its literals.  It returns
+    offsets in code points and numbers of rules; the rest is looked up and cut from the text beside
+    it.  It is marked as not deterministic, so that the optimizer neither copies it into the
+    expressions that use it nor pushes filters of its result below it.  ``dedupe``: the flags that
+    overlap a kept one of their type go.
     """
     about = {r.seq: (v.PRIORITY_RANK[r.priority], r.flag_type, r.priority, r.reason) for r in rules}
     about |= {seq: (v.PRIORITY_RANK["High"], "agency_name", "High", None) for seq in AGENCY_SEQ} if agencies else {}
     types = {seq: x[1] for seq, x in about.items()}
+    numbered, dimension = [(about[r.seq][0], r.seq) for r in rules], tuple(agencies)
+    found = tuple(r.pattern for r in rules)
 
     def run(texts: pa.Array) -> pa.Array:
-        compiled = [(about[r.seq][0], r.seq, re.compile(r.pattern, re.IGNORECASE)) for r in rules]
-        stages = list(zip(AGENCY_SEQ, finder(agencies, tier))) if agencies else []
+        compiled, possible = _matcher(found)
         out = []
         for t in texts.to_pylist():
             t = t or ""
-            found = [(m.start(), rank, seq, m.end(), None) for rank, seq, p in compiled for m in p.finditer(t)]
-            found += [(a, about[seq][0], seq, b, why) for seq, find in stages for a, b, why in find(t)]
-            found.sort(key=lambda f: f[:4])
-            out.append([{"start": a, "end": b, "seq": seq, "reason": why} for a, _, seq, b, why in (kept(found, types) if dedupe else found)])
+            hits = [(m.start(), *numbered[i], m.end(), None) for i in possible(t) for m in compiled[i].finditer(t)]
+            hits += [(a, about[seq][0], seq, b, why) for seq, find in _stages(dimension, tier) for a, b, why in find(t)]
+            hits.sort(key=lambda f: f[:4])
+            out.append([{"start": a, "end": b, "seq": seq, "reason": why} for a, _, seq, b, why in (kept(hits, types) if dedupe else hits)])
         return pa.array(out, _FOUND)
 
     def looked_up(i: int, seq: Column) -> Column:
@@ -78,17 +93,18 @@ def candidates(text: Column, rules: Sequence[Rule], agencies: Sequence[Agency] =
 
     if not about:
         return _none()
-    return F.transform(F.arrow_udf(run, _FOUND_SQL)(text), full)
+    return F.transform(F.arrow_udf(run, _FOUND_SQL).asNondeterministic()(text), full)
 
 
 def with_flags(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, name: str = "flags", agencies: Sequence[Agency] = (), tier: int = 1) -> DataFrame:
     """``df`` with an array of its deduplicated flags.  Null, empty and blank texts have none.
 
-    Other columns stay, repeated rows too.
+    Other columns stay, repeated rows too.  Nothing moves; where texts repeat a lot,
+    :func:`.flag_store.with_flags_once` looks at each of them once.
     """
     text = F.col(text_col)
     found = candidates(text, core_rules() if rules is None else [r for r in rules if r.enabled], agencies, tier, dedupe=True)
-    return df.withColumn(name, once(F.when(F.trim(F.coalesce(text, F.lit(""))) != "", found).otherwise(_none())))
+    return df.withColumn(name, F.when(F.trim(F.coalesce(text, F.lit(""))) != "", found).otherwise(_none()))
 
 
 def flag_text(df: DataFrame, agencies: Sequence[Agency], registry: Sequence[Rule] | None = None, tier: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -6,45 +6,86 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as v
+from .flag_store import text_key
 
-ANSWER = "flag boolean, spans array<struct<flag_type:string,text:string,reason:string>>, explanation string"
-FACT = "verdict string, explanation string, authoritative_value string, source string"
-REVIEW = "findings array<struct<text:string,concern:string,verdict:string,explanation:string,authoritative_value:string,source:string>>, summary string"
+_SPACE = " \t\n\r\x0b\f"
+_SPANS = "array<struct<flag_type:string,text:string,reason:string>>"
+#: JSON of values that count as false.
+_FALSE = r'^(false|null|""|\[\]|\{\}|-?0(\.0*)?([eE][+-]?[0-9]+)?)$'
 
 
 def bare_json(raw: Column) -> Column:
-    """The text between the first code fences, or the whole text, trimmed, without a leading ``json``."""
-    t = F.trim(F.coalesce(raw, F.lit("")))
-    inner = F.when(t.startswith("```"), F.get(F.split(t, "```"), F.lit(1))).otherwise(t)
-    return F.trim(F.regexp_replace(inner, "^\\s*json", ""))
+    """The text between the first code fences without a leading ``json``, or the whole text; trimmed."""
+    t = F.btrim(F.coalesce(raw, F.lit("")), F.lit(_SPACE))
+    inner = F.get(F.split(t, "```"), F.lit(1))
+    fenced = F.when(inner.startswith("json"), F.substring(inner, F.lit(5), F.length(inner))).otherwise(inner)
+    return F.btrim(F.when(t.startswith("```"), fenced).otherwise(t), F.lit(_SPACE))
+
+
+def answer_of(raw: Column) -> Column:
+    """The answer as a VARIANT; null for broken JSON, for repeated keys and for whatever is no object."""
+    v_ = F.try_parse_json(raw)
+    return F.when(F.schema_of_variant(v_).startswith("OBJECT"), v_)
+
+
+def true_value(value: Column) -> Column:
+    """Whether a VARIANT counts as true: by its JSON type all but false, null, 0, and empty texts, lists and objects.
+
+    The text ``"false"`` does; a missing value doesn't."""
+    return F.coalesce(~F.to_json(value).rlike(_FALSE), F.lit(False))
+
+
+def said(value: Column, path: str) -> Column:
+    """A field as text: texts as they are, null and missing ones empty, others as JSON."""
+    return F.coalesce(F.try_variant_get(value, path, "string"), F.nullif(F.to_json(F.try_variant_get(value, path, "variant")), F.lit("null")), F.lit(""))
+
+
+def _listed(value: Column, path: str) -> Column:
+    """The elements of a list one by one, each a VARIANT; none if the field is no list."""
+    return F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.expr("cast(array() as array<variant>)"))
 
 
 def second_pass(df: DataFrame, raw: str = "raw_response") -> DataFrame:
     """``llm_flagged, llm_spans, llm_issue_types, llm_explanation``; bad JSON counts as an empty answer.
 
-    Spans of unknown types are left out; missing texts and reasons are empty.
+    Spans of unknown types, and whatever else stands among the spans, are left out one by one;
+    missing texts and reasons are empty.
     """
-    a = F.from_json(bare_json(F.col(raw)), ANSWER)
-    spans = F.filter(F.coalesce(a["spans"], F.expr("array()")), lambda s: s["flag_type"].isin(*v.COLOURS))
-    spans = F.transform(spans, lambda s: F.struct(s["flag_type"].alias("flag_type"), F.coalesce(s["text"], F.lit("")).alias("text"), F.coalesce(s["reason"], F.lit("")).alias("reason")))
-    types = F.array_join(F.array_distinct(F.transform(spans, lambda s: s["flag_type"])), ",")
-    return df.withColumns({"llm_flagged": F.coalesce(a["flag"], F.lit(False)), "llm_spans": spans, "llm_issue_types": types, "llm_explanation": F.coalesce(a["explanation"], F.lit(""))})
+    parsed = df.withColumn("_answer", answer_of(bare_json(F.col(raw))))
+    a = F.col("_answer")
+    whole = F.transform(_listed(a, "$.spans"), lambda s: F.struct(F.try_variant_get(s, "$.flag_type", "string").alias("flag_type"), said(s, "$.text").alias("text"), said(s, "$.reason").alias("reason")))
+    parsed = parsed.withColumn("llm_spans", F.filter(whole, lambda s: s["flag_type"].isin(*v.COLOURS)).cast(_SPANS))
+    types = F.array_join(F.array_distinct(F.transform("llm_spans", lambda s: s["flag_type"])), ",")
+    flagged = true_value(F.try_variant_get(a, "$.flag", "variant"))
+    out = parsed.withColumns({"llm_flagged": flagged, "llm_issue_types": types, "llm_explanation": F.btrim(said(a, "$.explanation"), F.lit(_SPACE))})
+    return out.select(*df.columns, "llm_flagged", "llm_spans", "llm_issue_types", "llm_explanation")
 
 
 def fact_check(df: DataFrame, raw: str = "raw_response") -> DataFrame:
-    a = F.from_json(bare_json(F.col(raw)), FACT)
-    bad = a["verdict"].isNull() & a["explanation"].isNull() & a["authoritative_value"].isNull() & a["source"].isNull()
-    fallback = F.when(bad, v.UNPARSED).otherwise("")
-    names = {"explanation": fallback, "authoritative_value": F.lit(""), "source": F.lit("")}
-    return df.withColumns({"verdict": F.coalesce(a["verdict"], F.lit("unverifiable"))} | {k: F.coalesce(a[k], d) for k, d in names.items()})
+    """``verdict, explanation, authoritative_value, source``; an empty or broken answer says that it couldn't be parsed."""
+    parsed = df.withColumn("_answer", answer_of(bare_json(F.col(raw))))
+    a = F.col("_answer")
+    bad = a.isNull() | (F.to_json(a) == "{}")
+    field = {"verdict": F.coalesce(F.try_variant_get(a, "$.verdict", "string"), F.lit("unverifiable")), "explanation": F.when(bad, v.UNPARSED).otherwise(said(a, "$.explanation"))}
+    return parsed.withColumns(field | {k: said(a, f"$.{k}") for k in ("authoritative_value", "source")}).drop("_answer")
+
+
+def verdict_style(verdict: Column) -> dict[str, Column]:
+    """``label, background, border`` of a verdict; of an unknown one the default colours."""
+    look = {k: F.create_map(*[F.lit(x) for name, pair in v.VERDICT_COLOURS.items() for x in (name, pair[i])]) for i, k in enumerate(("background", "border"))}
+    return {"label": F.initcap(F.replace(verdict, F.lit("_"), F.lit(" ")))} | {k: F.coalesce(F.try_element_at(m, verdict), F.lit(v.VERDICT_COLOURS["unverifiable"][i])) for i, (k, m) in enumerate(look.items())}
 
 
 def full_review(df: DataFrame, raw: str = "raw_response", id_col: str = "doc_id") -> DataFrame:
-    """One row per finding, with the review's summary."""
-    a = F.from_json(bare_json(F.col(raw)), REVIEW)
-    f = df.select(F.col(id_col).alias("doc_id"), F.coalesce(a["summary"], F.lit("")).alias("summary"), F.explode(a["findings"]).alias("f"))
-    label = F.initcap(F.replace(F.coalesce("f.verdict", F.lit("unverifiable")), F.lit("_"), F.lit(" ")))
-    return f.select("doc_id", "summary", *[F.coalesce(f"f.{k}", F.lit("")).alias(k) for k in ("text", "concern", "explanation", "authoritative_value", "source")], label.alias("verdict"))
+    """One row per finding, by ``place`` from 0, with the review's summary and the verdict's style.
+
+    Whatever is no object among the findings is left out."""
+    parsed = df.select(F.col(id_col).alias("doc_id"), answer_of(bare_json(F.col(raw))).alias("a"))
+    f = parsed.select("doc_id", said(F.col("a"), "$.summary").alias("summary"), F.posexplode(_listed(F.col("a"), "$.findings")).alias("place", "f"))
+    f = f.filter(F.schema_of_variant("f").startswith("OBJECT"))
+    fields = [said(F.col("f"), f"$.{k}").alias(k) for k in ("text", "concern", "explanation", "authoritative_value", "source")]
+    out = f.select("doc_id", "place", "summary", *fields, F.coalesce(F.try_variant_get("f", "$.verdict", "string"), F.lit("unverifiable")).alias("verdict"))
+    return out.withColumns(verdict_style(F.col("verdict")))
 
 
 def usage_cost(tokens_in: Column, tokens_out: Column) -> Column:
@@ -59,37 +100,26 @@ def spend_by_day(usage: DataFrame, at: str = "created_at", cost: str = "cost_usd
     return out.withColumn("gate", F.when(F.col("spend") >= v.BLOCK_AT, "block").when(F.col("spend") >= v.WARN_AT, "warn").otherwise("ok"))
 
 
-NORMAL = "flag string, issue_types string, explanation string"
-
-
 def normalised(df: DataFrame, raw: str = "raw_response", error: str | None = None) -> DataFrame:
     """``llm_flag, llm_issue_types, llm_explanation`` of answers with a list or a comma-joined string of types.
 
     Whatever counts as true makes a flag; unknown types are left out and repeated ones stay.  A
     missing or broken answer, and one with a text in the column ``error``, is a clean row.
     """
-    text = F.trim(F.coalesce(F.col(raw), F.lit("")))
-    a = F.from_json(text, NORMAL)
-    failed = F.col(error) if error else F.lit(None).cast("string")
-    types = F.coalesce(a["issue_types"], F.lit(""))
-    listed = F.when(types.startswith("["), F.from_json(types, "array<string>")).otherwise(F.transform(F.split(types, ","), lambda t: F.trim(t)))
-    known = F.filter(F.coalesce(listed, F.expr("cast(array() as array<string>)")), lambda t: t.isin(*v.COLOURS))
-    true = F.col("a.flag").isNotNull() & ~F.lower("a.flag").isin("false", "0", "0.0", "", "[]", "{}", "null")
-    out = df.withColumn("a", a).withColumns({"_flag": true, "_types": F.array_join(known, ","), "_said": F.trim(F.coalesce("a.explanation", F.lit("")))})
-    out = out.withColumn("_failed", F.coalesce(failed, F.when(F.try_parse_json(text).isNull(), F.lit("no answer"))))
-    fine = F.col("_failed").isNull()
-    return out.withColumns(
-        {
-            "llm_flag": F.when(fine & F.col("_flag"), "flag").otherwise("clean"),
-            "llm_issue_types": F.when(fine, F.col("_types")).otherwise(""),
-            "llm_explanation": F.when(fine, F.col("_said")).otherwise(F.concat(F.lit("ERROR: "), F.col("_failed"))),
-        }
-    ).drop("a", "_flag", "_types", "_said", "_failed")
-
-
-def text_key(text: Column) -> Column:
-    """What results are kept by: a text that changes has another key, so stale results find no row."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    parsed = df.withColumn("_answer", answer_of(F.col(raw)))
+    a = F.col("_answer")
+    joined = F.try_variant_get(a, "$.issue_types", "variant")
+    is_text = F.coalesce(F.schema_of_variant(joined) == "STRING", F.lit(False))
+    names = F.when(is_text, F.transform(F.split(F.try_variant_get(a, "$.issue_types", "string"), ","), lambda t: F.btrim(t, F.lit(_SPACE))))
+    names = names.otherwise(F.transform(_listed(a, "$.issue_types"), lambda t: F.try_variant_get(t, "$", "string")))
+    failed = F.coalesce(F.col(error) if error else F.lit(None).cast("string"), F.when(a.isNull(), F.lit("no answer")))
+    fine = failed.isNull()
+    fields = {
+        "llm_flag": F.when(fine & true_value(F.try_variant_get(a, "$.flag", "variant")), "flag").otherwise("clean"),
+        "llm_issue_types": F.when(fine, F.array_join(F.filter(names, lambda t: t.isin(*v.COLOURS)), ",")).otherwise(""),
+        "llm_explanation": F.when(fine, F.btrim(said(a, "$.explanation"), F.lit(_SPACE))).otherwise(F.concat(F.lit("ERROR: "), failed)),
+    }
+    return parsed.withColumns(fields).drop("_answer")
 
 
 def answered(df: DataFrame, answers: DataFrame, text_col: str = "text", key: str = "text_key") -> DataFrame:

@@ -7,7 +7,7 @@ from ..fixed_values import NOT_CHECKED, PRIORITY_RANK, SOURCE_CATEGORY
 from ..operators.agencies import LEAST, MOST, SHORTEST, flattened
 from ..rules import Rule, core_rules
 from . import copy_text
-from .queries import AGENCIES, ANSWER, BADGE_TYPES, MENTIONS, NORMAL_ANSWER, SINCE
+from .queries import AGENCIES, ANSWER, BADGE_TYPES, MENTIONS, MISSPELLED, NORMAL_ANSWER, OFFICE, REVIEW, SINCE, STORED, STORED_FOR
 
 
 def _q(s: str) -> str:
@@ -153,6 +153,53 @@ hit AS (SELECT doc_id, flag_type, max(len(used)) AS tp, max(pn) AS n FROM walk G
 counts AS (SELECT flag_type, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n - tp) AS BIGINT) AS fp, CAST(sum(coalesce(len(gs), 0) - tp) AS BIGINT) AS fn FROM hit LEFT JOIN golds USING (doc_id, flag_type) GROUP BY flag_type)"""
 
 
+def _object(raw: str) -> str:
+    """The answer as a JSON object, or null; fences are taken off first."""
+    t = f"trim({raw}, ' ' || chr(9) || chr(10) || chr(13))"
+    inner = f"string_split({t}, '```')[2]"
+    bare = f"trim(CASE WHEN starts_with({t}, '```') THEN CASE WHEN starts_with({inner}, 'json') THEN substring({inner}, 5) ELSE {inner} END ELSE {t} END)"
+    return f"CASE WHEN json_valid({bare}) AND json_type(CASE WHEN json_valid({bare}) THEN {bare} END) = 'OBJECT' THEN CAST({bare} AS JSON) END"
+
+
+def _true(x: str) -> str:
+    return f"""coalesce(CASE json_type({x}) WHEN 'BOOLEAN' THEN CAST({x} AS VARCHAR) = 'true' WHEN 'NULL' THEN false WHEN 'VARCHAR' THEN ({x} ->> '$') <> '' WHEN 'ARRAY' THEN json_array_length({x}) > 0
+      WHEN 'OBJECT' THEN len(json_keys({x})) > 0 ELSE CAST({x} AS DOUBLE) <> 0 END, false)"""
+
+
+def _said(x: str) -> str:
+    return f"coalesce(CASE json_type({x}) WHEN 'VARCHAR' THEN {x} ->> '$' WHEN 'NULL' THEN '' ELSE CAST({x} AS VARCHAR) END, '')"
+
+
+_KNOWN = ", ".join(map(_q, v.COLOURS))
+_SECOND = f"""CASE WHEN json_type(j -> 'spans') = 'ARRAY' THEN list_filter(CAST(j -> 'spans' AS JSON[]), lambda x: json_type(x) = 'OBJECT' AND (x ->> 'flag_type') IN ({_KNOWN})) ELSE CAST([] AS JSON[]) END"""
+
+
+def _firsts(col: str) -> str:
+    """Distinct values of a list in the order of their first places."""
+    return f"list_filter({col}, lambda x, i: list_position({col}, x) = i)"
+
+
+_OFFICES = f"""part_office AS (SELECT p_partkey, {OFFICE} AS office FROM part),
+offices AS (SELECT office, k, CASE k % 5 WHEN 0 THEN 'restructured' WHEN 1 THEN 'eliminated' ELSE 'active' END AS status, {_words("office")} AS name, row_number() OVER (ORDER BY k) AS idx FROM (SELECT office, min(p_partkey) AS k FROM part_office GROUP BY office)),
+said AS (SELECT o_orderkey AS doc_id, 'Staff of the ' || {MISSPELLED} || ' met.' AS text FROM orders JOIN part_office ON o_custkey = p_partkey),
+texts AS (SELECT DISTINCT text FROM said),
+tokens AS ({_spans_of(v.AGENCY_PATTERNS["word"])}),
+lists AS (SELECT text, list(t ORDER BY i) AS ts, list(a ORDER BY i) AS starts FROM tokens GROUP BY text),
+wide AS (SELECT text, pos, width, ts, starts, trim(regexp_replace(regexp_replace(array_to_string(ts[pos:pos + width - 1], ' '), {_q(v.AGENCY_PATTERNS["article"])}, ''), {_q(v.AGENCY_PATTERNS["abbreviated"])}, '')) AS s
+  FROM (SELECT *, unnest(range({LEAST}, least({MOST}, len(ts) - pos + 1) + 1)) AS width FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS pos FROM lists))),
+keyed AS (SELECT *, {_words("s")} AS key FROM wide WHERE length(s) >= {SHORTEST}),
+pairs AS (SELECT DISTINCT key AS x, name AS y FROM (SELECT DISTINCT key FROM keyed) JOIN offices ON 200.0 * least(length(key), length(name)) >= {v.NAME_SCORE} * (length(key) + length(name))
+  WHERE levenshtein(key, name) <= (100 - {v.NAME_SCORE}) / 100 * (length(key) + length(name)) + 0.000001),
+lcs AS (SELECT x, y, 0 AS i, list_transform(range(length(y) + 1), lambda j: 0) AS r FROM pairs
+  UNION ALL SELECT x, y, i + 1, list_concat([0], list_transform(range(1, length(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN x[i + 1] = y[k] THEN r[k] + 1 ELSE r[k + 1] END)))) FROM lcs WHERE i < length(x)),
+scored_names AS (SELECT x, y, 100.0::DOUBLE * (1 - (length(x) + length(y) - 2 * list_max(r))::DOUBLE / (length(x) + length(y))) AS score FROM lcs WHERE i = length(x)),
+best_names AS (SELECT x AS key, office AS canonical, status, score FROM (SELECT x, office, status, score, row_number() OVER (PARTITION BY x ORDER BY score DESC, idx) AS n FROM scored_names JOIN offices ON name = y WHERE score >= {v.NAME_SCORE}) WHERE n = 1),
+found AS (SELECT text, pos, width, starts[pos] AS a, starts[pos + width - 1] + length(ts[pos + width - 1]) AS b, lower(s) = lower(canonical) AS exact, canonical, status, score FROM keyed JOIN best_names USING (key)),
+open AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY pos, width) AS n FROM found WHERE NOT (exact AND status = 'active')),
+walked AS (SELECT *, b AS reach, true AS kept FROM open WHERE n = 1
+  UNION ALL SELECT o.*, CASE WHEN o.a >= f.reach THEN o.b ELSE f.reach END, o.a >= f.reach FROM walked f JOIN open o ON o.text = f.text AND o.n = f.n + 1)"""
+
+
 def _named(names: dict[str, str]) -> str:
     return " ".join(f"WHEN {_q(k)} THEN {_q(x)}" for k, x in names.items())
 
@@ -225,11 +272,33 @@ def oracle_sql() -> dict[str, str]:
         "normalised_answers": f"""WITH said AS (SELECT o_orderkey AS doc_id, {NORMAL_ANSWER} AS raw FROM orders),
             parsed AS (SELECT doc_id, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM said),
             listed AS (SELECT *, CASE WHEN json_type(j -> 'issue_types') = 'ARRAY' THEN CAST(j -> 'issue_types' AS VARCHAR[]) ELSE list_transform(string_split(coalesce(j ->> 'issue_types', ''), ','), lambda x: trim(x)) END AS named FROM parsed)
-            SELECT doc_id, CASE WHEN coalesce(lower(j ->> 'flag') NOT IN ('false', '0', '0.0', '', '[]', '{{}}', 'null'), false) THEN 'flag' ELSE 'clean' END AS llm_flag,
+            SELECT doc_id, CASE WHEN {_true("(j -> 'flag')")} THEN 'flag' ELSE 'clean' END AS llm_flag,
             {_joined(f"list_filter(named, lambda x: x IN ({', '.join(map(_q, v.COLOURS))}))")} AS llm_issue_types, CASE WHEN j IS NULL THEN 'ERROR: no answer' ELSE trim(coalesce(j ->> 'explanation', '')) END AS llm_explanation FROM listed""",
         "spend_by_day": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, round((coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000, 0) * 5.0 + coalesce(user_id, 0) * 15.0) / 1e6, 6) AS c FROM events),
             d AS (SELECT day, count(*) AS calls, round(sum(CAST(c AS DOUBLE)), 6) AS spend FROM e GROUP BY day)
             SELECT *, CASE WHEN spend >= 10.0 THEN 'block' WHEN spend >= 5.0 THEN 'warn' ELSE 'ok' END AS gate FROM d""",
-        "llm_answers": """SELECT o_orderkey AS doc_id, o_orderkey % 4 IN (0, 3) AS llm_flagged, CAST(CASE o_orderkey % 4 WHEN 0 THEN 3 ELSE 0 END AS BIGINT) AS n_spans,
-            CASE o_orderkey % 4 WHEN 0 THEN 'causal_claim,vague_attribution' ELSE '' END AS llm_issue_types, CASE o_orderkey % 4 WHEN 0 THEN 'ok' ELSE '' END AS llm_explanation FROM orders""",
+        "llm_answers": f"""WITH parsed AS (SELECT doc_id, {_object("raw")} AS j FROM (SELECT o_orderkey AS doc_id, {ANSWER} AS raw FROM orders)),
+            spans AS (SELECT *, {_SECOND} AS ss FROM parsed)
+            SELECT doc_id, {_true("(j -> 'flag')")} AS llm_flagged, CAST(len(ss) AS BIGINT) AS n_spans, {_joined(_firsts("list_transform(ss, lambda x: x ->> 'flag_type')"))} AS llm_issue_types, trim({_said("(j -> 'explanation')")}) AS llm_explanation,
+              coalesce(array_to_string(list_transform(ss, lambda x: (x ->> 'flag_type') || ':' || {_said("(x -> 'text')")} || ':' || {_said("(x -> 'reason')")}), '|'), '') AS spans FROM spans""",
+        "flag_rows_cached": f'{_FLAGS} SELECT doc_id, a AS start, b AS "end", text, flag_type, priority, reason, seq FROM flags',
+        "span_examples": f"""{_FLAGS}, {_GOLD}, wrong AS (
+            SELECT 'fp' AS kind, doc_id, flag_type, a, b FROM flags f WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = f.doc_id AND g.flag_type = f.flag_type AND f.a < g.b AND g.a < f.b)
+            UNION ALL SELECT 'fn', doc_id, flag_type, a, b FROM gold g WHERE NOT EXISTS (SELECT 1 FROM flags f WHERE g.doc_id = f.doc_id AND g.flag_type = f.flag_type AND f.a < g.b AND g.a < f.b)),
+            placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY doc_id, a, b, flag_type) AS INTEGER) AS place FROM wrong)
+            SELECT kind, place, doc_id, flag_type, a AS start, b AS "end" FROM placed WHERE place <= 10""",
+        "answered_texts": f"""{_ROLL}, stored AS (SELECT doc_id, tool_issue_types, CASE WHEN {STORED_FOR} THEN {STORED} END AS raw FROM roll), parsed AS (SELECT *, {_object("raw")} AS j FROM stored),
+            listed AS (SELECT *, {_SECOND} AS ss, {_list("tool_issue_types")} AS t FROM parsed), named AS (SELECT *, list_distinct(list_transform(ss, lambda x: x ->> 'flag_type')) AS l FROM listed)
+            SELECT doc_id, raw IS NOT NULL AS answered, {_true("(j -> 'flag')")} AS llm_flagged, {_joined(_minus("l", "t"))} AS llm_only, {_joined(_minus("t", "l"))} AS tool_only,
+              coalesce(array_to_string(list_transform(list_filter(ss, lambda x: NOT list_contains(t, x ->> 'flag_type')), lambda x: {_said("(x -> 'text')")}), '|'), '') AS llm_only_texts FROM named""",
+        "review_findings": f"""WITH parsed AS (SELECT doc_id, {_object("raw")} AS j FROM (SELECT o_orderkey AS doc_id, {REVIEW} AS raw FROM orders)),
+            lists AS (SELECT doc_id, {_said("(j -> 'summary')")} AS summary, CAST(j -> 'findings' AS JSON[]) AS fs FROM parsed WHERE json_type(j -> 'findings') = 'ARRAY'),
+            each AS (SELECT doc_id, summary, CAST(p - 1 AS INTEGER) AS place, fs[p] AS f FROM (SELECT *, unnest(range(1, len(fs) + 1)) AS p FROM lists)),
+            named AS (SELECT doc_id, place, summary, {", ".join(f"{_said(f'(f -> {_q(k)})')} AS {k}" for k in ("text", "concern", "explanation", "authoritative_value", "source"))}, coalesce(f ->> 'verdict', 'unverifiable') AS verdict FROM each WHERE json_type(f) = 'OBJECT')
+            SELECT *, array_to_string(list_transform(string_split(verdict, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label,
+              CASE verdict {_named({k: x[0] for k, x in v.VERDICT_COLOURS.items()})} ELSE {_q(v.VERDICT_COLOURS["unverifiable"][0])} END AS background, CASE verdict {_named({k: x[1] for k, x in v.VERDICT_COLOURS.items()})} ELSE {_q(v.VERDICT_COLOURS["unverifiable"][1])} END AS border FROM named""",
+        "usage_rows": """WITH d AS (SELECT lang AS call_type, text, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars END AS p, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 100 END AS c FROM documents)
+            SELECT call_type, substring(text, 1, 200) AS text_snippet, coalesce(p, 0) AS prompt_tokens, coalesce(c, 0) AS completion_tokens, CAST(round((coalesce(p, 0) * 5.0 + coalesce(c, 0) * 15.0) / 1e6, 6) AS DOUBLE) AS cost_usd FROM d WHERE p IS NOT NULL OR c IS NOT NULL""",
+        "agency_names_joined": f"""WITH RECURSIVE {_OFFICES} SELECT doc_id, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end", text[a + 1:b] AS text, 'agency_name' AS flag_type, 'High' AS priority,
+            {_why("exact", "format('{:.0f}', score)", "agency name")} AS reason, CAST(500 AS BIGINT) AS seq FROM walked JOIN said USING (text) WHERE kept""",
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import warnings
 from collections.abc import Sequence
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.agencies import Agency
 from ..rules import Rule
+from .commits import append_once, appended, current, replace
 
 GOLD_SCHEMA = "id string, source string, text string, notes string, flags array<struct<start:int,end:int,matched_text:string,flag_type:string,priority:string>>"
 
@@ -54,25 +56,32 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLD_SCHEMA).json(path)
 
 
+def _versions(path: str) -> str:
+    return f"{path.rstrip('/')}.versions"
+
+
 def read_snippets(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
-    """A CSV file with a header; empty cells are empty strings.  Raises if a required column is missing."""
-    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).fillna("")
+    """A CSV file with a header, or what :func:`replace_csv` last put in its place; empty cells are empty strings.
+
+    Raises if the file or a required column is missing."""
+    where = current(spark, _versions(path)) or path
+    df = spark.read.csv(where, header=True, quote='"', escape='"', multiLine=True).fillna("")
     if missing := [c for c in required if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
 
 
 def replace_csv(df: DataFrame, path: str) -> None:
-    """Writes beside ``path`` and then swaps, as a path that is being read can't be overwritten."""
-    spark = df.sparkSession
-    new = f"{path.rstrip('/')}.new"
-    df.write.mode("overwrite").csv(new, header=True, escape='"')
-    jvm = spark._jvm
-    target, source = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(source, target)
-
-
-def append_ledger(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    """Puts ``df``, which may be derived from it, in the place of the CSV file ``path`` for :func:`read_snippets`.
+
+    The file stays as it is; versions stand beside it, and one that wasn't written whole is never read."""
+    replace(df, _versions(path), "csv", header="true", quote='"', escape='"')
+
+
+def append_ledger(df: DataFrame, path: str, batch: str | int | None = None) -> bool:
+    """Appends rows once for each id of a batch; false if that batch is there already."""
+    return append_once(df, path, uuid.uuid4().hex if batch is None else batch)
+
+
+def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return appended(spark, path, schema)
