@@ -7,11 +7,13 @@ closure, so no pair of token and agency is ever a row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from math import ceil
+from math import ceil, floor
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,10 +112,56 @@ def best_match(index: Sequence[tuple[str, str, str]], least: float, by_words: bo
     return one
 
 
+def pieces(name: str, changes: int, common: Counter | None = None) -> list[str]:
+    """``changes + 1`` disjoint pieces of a name's words, as long as they can be, rare ones first."""
+    words = name.split()
+    for size in range(max(map(len, words), default=1), 0, -1):
+        cut = [w[i : i + size] for w in words for i in range(0, len(w) - size + 1, size)]
+        if len(cut) > changes:
+            return sorted(cut, key=lambda x: (common[x] if common else 0, x))[: changes + 1]
+    return []
+
+
+def name_index(agencies: Sequence[Agency], tier: int = 1, least: float = v.NAME_SCORE) -> list[tuple]:
+    """Names in order, with the lengths of strings that may match and the pieces of which these hold one.
+
+    Two strings with a score of ``least`` differ by few insertions and deletions, and each of them
+    spoils at most one of several disjoint pieces of a name.  So of one piece more than there may be
+    changes one at least is left, within a word.
+    """
+    rows, share = [], least / 100
+    entries = [(*x, sorted_words(x[0])) for x in flattened(agencies, tier)[1]]
+    common = Counter(part for _, _, _, name in entries for w in name.split() for part in {w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1)})
+    for idx, (matched, canonical, status, name) in enumerate(entries):
+        m = len(name)
+        low, high = ceil(m * share / (2 - share) - 1e-9), floor(m * (2 - share) / share + 1e-9)
+        rows.append((idx, matched, canonical, status, name, low, high, pieces(name, floor((1 - share) * (m + high) + 1e-9), common)))
+    return rows
+
+
+def _near_pieces(rows: Sequence[tuple]) -> Callable[[str, list[tuple]], list[int]]:
+    """A function that gives the places of a text's words (``start, end, word``) that hold a piece of a name."""
+    automaton = ahocorasick.Automaton()
+    for x in {x for r in rows for x in r[-1]}:
+        automaton.add_word(x, len(x))
+    automaton.make_automaton()
+
+    def near(text: str, words: list[tuple]) -> list[int]:
+        starts, out = [w[0] for w in words], set()
+        for last, size in automaton.iter(text):
+            i = bisect_right(starts, last - size + 1) - 1
+            if i >= 0 and last < words[i][1]:
+                out.add(i)
+        return sorted(out)
+
+    return near
+
+
 def finder(agencies: Sequence[Agency], tier: int = 1) -> tuple[Callable[[str], list[tuple]], Callable[[str], list[tuple]]]:
     """Functions that give a text's near abbreviations and near names as ``(start, end, reason)``."""
     short, full = flattened(agencies, tier)
     by_letters, by_name = best_match(short, v.ABBREVIATION_SCORE, False), best_match(full, v.NAME_SCORE, True)
+    near = _near_pieces(name_index(agencies, tier)) if full else None
 
     def reason(exact: bool, m: tuple, form: str, what: str) -> str:
         return v.STATUS_UNCERTAIN.format(m[1], m[2]) if exact and m[2] in v.CHANGED else v.NEAR_MATCH.format(m[1], form.format(m[3]), what)
@@ -127,12 +175,14 @@ def finder(agencies: Sequence[Agency], tier: int = 1) -> tuple[Callable[[str], l
         return out
 
     def names(text: str) -> list[tuple]:
-        """Windows of two to eight words; of overlapping ones the first stays."""
+        """Windows of two to eight words around one that holds a piece; of overlapping ones the first stays."""
         words, out, last = [(w.start(), w.end(), w[0]) for w in WORD.finditer(text)] if full else [], [], -1
-        for i, (start, _, _) in enumerate(words):
+        held = near(text, words) if words else []
+        for i in sorted({i for j in held for i in range(max(0, j - MOST + 1), j + 1)}):
+            start, nearest = words[i][0], held[bisect_left(held, i)]
             if start < last:
                 continue
-            for k in range(LEAST, min(MOST, len(words) - i) + 1):
+            for k in range(max(LEAST, nearest - i + 1), min(MOST, len(words) - i) + 1):
                 span = " ".join(w[2] for w in words[i : i + k])
                 span = ABBREVIATED.sub("", ARTICLE.sub("", span)).strip()
                 m = by_name(span) if len(span) >= SHORTEST else None

@@ -1,51 +1,27 @@
 """Near matches of agency names against a dimension of any tier, as a join.
 
-Two strings with a score of 93 differ by few insertions and deletions, and each of these spoils at
-most one of several disjoint pieces of a name.  So of one piece more than there may be changes, one
-at least is left, within a word.  The pieces of all names are an inverted index; the distinct words
-of the corpus meet it by equality, and only windows around a word that was met are looked at.  The
-exact score comes last, on distinct pairs of window and name.  No match is lost.
+Whatever matches a name holds one of its pieces (see :func:`.agencies.name_index`) within a word.
+The pieces of all names are an inverted index; the distinct words of the corpus meet it by equality,
+and only windows around a word that was met are looked at.  The exact score comes last, on distinct
+pairs of window and name.  No match is lost.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
-from math import ceil, floor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as v
-from .agencies import ABBREVIATED, ARTICLE, LEAST, MOST, SEQ, SHORTEST, WORD, Agency, flattened, similarity, sorted_words
+from .agencies import ABBREVIATED, ARTICLE, LEAST, MOST, SEQ, SHORTEST, WORD, Agency, flattened, name_index, similarity
 from .flag_store import text_key
 
 _INDEX = "idx int, matched string, canonical string, status string, name string, least int, most int, pieces array<string>"
 
 
-def pieces(name: str, changes: int, common: Counter | None = None) -> list[str]:
-    """``changes + 1`` disjoint pieces of a name's words, as long as they can be, rare ones first."""
-    words = name.split()
-    for size in range(max(map(len, words), default=1), 0, -1):
-        cut = [w[i : i + size] for w in words for i in range(0, len(w) - size + 1, size)]
-        if len(cut) > changes:
-            return sorted(cut, key=lambda x: (common[x] if common else 0, x))[: changes + 1]
-    return []
-
-
-def name_index(agencies: Sequence[Agency], tier: int = 1, least: float = v.NAME_SCORE) -> list[tuple]:
-    """Rows of the dimension: names in order, with the lengths and the pieces of strings that may match."""
-    rows, share = [], least / 100
-    entries = [(*x, sorted_words(x[0])) for x in flattened(agencies, tier)[1]]
-    common = Counter(part for _, _, _, name in entries for w in name.split() for part in {w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1)})
-    for idx, (matched, canonical, status, name) in enumerate(entries):
-        m = len(name)
-        low, high = ceil(m * share / (2 - share) - 1e-9), floor(m * (2 - share) / share + 1e-9)
-        rows.append((idx, matched, canonical, status, name, low, high, pieces(name, floor((1 - share) * (m + high) + 1e-9), common)))
-    return rows
-
-
 def _score(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
     for x, y in zip(a.to_pylist(), b.to_pylist()):

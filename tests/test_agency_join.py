@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from copyrisk.operators.agencies import Agency, name_flags
+from copyrisk import fixed_values as v
+from copyrisk.operators.agencies import ABBREVIATED, ARTICLE, WORD, Agency, best_match, finder, flattened, name_flags
 from copyrisk.operators.agency_join import candidate_counts, name_flags_joined, name_index
 
 FIRST = ["Office", "Bureau", "Department", "U.S. Agency", "Board", "Commission on", "Center"]
@@ -29,6 +30,33 @@ def misspelled(rng, name):
     return " ".join(words)
 
 
+def every_window(text, agencies, tier):
+    """The same search with nothing left out beforehand."""
+    full = flattened(agencies, tier)[1]
+    best, words, out, last = best_match(full, v.NAME_SCORE, True), [*WORD.finditer(text)], [], -1
+    for i, w in enumerate(words):
+        for k in range(2, min(8, len(words) - i) + 1):
+            span = ABBREVIATED.sub("", ARTICLE.sub("", " ".join(x[0] for x in words[i : i + k]))).strip()
+            m = best(span) if len(span) >= 8 and w.start() >= last else None
+            if m and not (span.lower() in (m[0].lower(), m[1].lower()) and m[2] == "active"):
+                last = words[i + k - 1].end()
+                out.append((w.start(), last))
+                break
+    return out
+
+
+def test_pieces_lose_no_window():
+    rng, agencies = random.Random(4), dimension(120)
+    names = finder(agencies, 2)[1]
+    found = 0
+    for _ in range(150):
+        text = " and ".join(misspelled(rng, rng.choice(agencies).canonical) for _ in range(3))
+        want = every_window(text, agencies, 2)
+        assert [x[:2] for x in names(text)] == want
+        found += len(want)
+    assert found > 100
+
+
 def rows(df):
     return sorted((r.doc_id, r.start, r.end, r.text, r.reason, r.seq, r.flag_type, r.priority) for r in df.collect())
 
