@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Node, blocks
 from .labelled_pages import MARK, labelled_pages
 
 #: Invented labelled pages to train on, steps and rate of the training, weight of its ridge term.
@@ -20,18 +20,27 @@ TRAIN_PAGES, STEPS, RATE, RIDGE = 900, 160, 0.08, 1e-3
 REMEMBERED = 20_000
 
 
-def _path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
-    own = path[-1][0] if path else "-"
-    out = {f"own {own}", f"depth {min(len(path), 8)}"}
-    for tag, names in path:
-        out.add(f"in {tag}")
-        out.update(f"name {w}" for w in names.split())
-    tags = {t for t, _ in path}
-    for outer in ("article", "main"):
-        if outer in tags:
-            inside = [t for t, _ in path[[t for t, _ in path].index(outer) + 1 :]]
-            out.update(f"{outer} > {t}" for t in inside)
-    return sorted(out)
+def _around(node: Node, index: dict[str, int] | None = None) -> frozenset[str]:
+    """Features of the elements from the root to ``node``; those in ``index`` alone, if it is given.
+
+    An element adds to its parent's, so a page takes time in proportion to its elements however deep they are.
+    """
+    todo = []
+    while node.depth and node.known is None:
+        todo.append(node)
+        node = node.parent
+    found = node.known or frozenset()
+    for n in reversed(todo):
+        own = {f"in {n.tag}", *(f"name {w}" for w in n.names.split()), *(f"{outer} > {n.tag}" for outer in ("article", "main") if f"{outer} ?" in found)}
+        own = {f for f in own if index is None or f in index} | ({f"{n.tag} ?"} if n.tag in ("article", "main") else set())
+        found = n.known = found if own <= found else found | own
+    return found
+
+
+def _path_features(node: Node, common: list[str], index: dict[str, int] | None = None) -> list[str]:
+    around = _around(node, index)
+    sides = [f"{c} {'in' if f'{c.split()[-1]} ?' in around else 'out'}" for c in common]
+    return sorted({*(f for f in around if not f.endswith("?")), f"own {node.tag or '-'}", f"depth {min(node.depth, 8)}"}) + sides
 
 
 def _text_features(b: Block) -> list[str]:
@@ -46,7 +55,14 @@ def _text_features(b: Block) -> list[str]:
 
 
 def _page_features(page: list[Block]) -> list[str]:
-    tags = {t for b in page for t, _ in b.path}
+    """From the elements that hold blocks, each looked at once."""
+    tags, seen = set(), set()
+    for b in page:
+        node = b.node
+        while node.depth and node not in seen:
+            seen.add(node)
+            tags.add(node.tag)
+            node = node.parent
     return [f"page has {t}" for t in ("article", "main") if t in tags]
 
 
@@ -67,12 +83,9 @@ class BlockField:
             ways.clear()
         out = []
         for b in page:
-            key = (b.path, *common)
+            key = (_around(b.node, self.index), b.node.tag, min(b.node.depth, 8), *common)
             if key not in ways:
-                names = _path_features(b.path)
-                within = {t for t, _ in b.path}
-                names += [f"{c} {'in' if c.split()[-1] in within else 'out'}" for c in common]
-                ways[key] = sum(w[self.index[f]] for f in names if f in self.index)
+                ways[key] = sum(w[self.index[f]] for f in _path_features(b.node, common, self.index) if f in self.index)
             out.append(ways[key] + sum(w[self.index[f]] for f in _text_features(b) if f in self.index))
         return out
 
@@ -83,7 +96,7 @@ class BlockField:
         e, s = self.emissions(page, ways), self.steps.tolist()
         zero, one, back = 0.0, e[0], []
         for i in range(1, len(page)):
-            w = s[page[i].path[:-1] == page[i - 1].path[:-1]]
+            w = s[page[i].node.parent is page[i - 1].node.parent]
             a, b = (zero + w[0][0], one + w[1][0]), (zero + w[0][1], one + w[1][1])
             back.append((a[1] > a[0], b[1] > b[0]))
             zero, one = max(a), max(b) + e[i]
@@ -107,12 +120,10 @@ def train_field(pages: list[str], steps: int = STEPS, rate: float = RATE, ridge:
         for i, b in enumerate(page):
             label.append(b.text.startswith(MARK))
             b.text = b.text.lstrip(MARK) or "-"
-            within = {t for t, _ in b.path}
-            names = _path_features(b.path) + [f"{c} {'in' if c.split()[-1] in within else 'out'}" for c in common] + _text_features(b)
-            for f in names:
+            for f in _path_features(b.node, common) + _text_features(b):
                 of_block.append(len(label) - 1)
                 of_feature.append(index.setdefault(f, len(index)))
-            same.append(int(i > 0 and b.path[:-1] == page[i - 1].path[:-1]))
+            same.append(int(i > 0 and b.node.parent is page[i - 1].node.parent))
         sizes.append(len(page))
     of_block, of_feature, same = (np.array(x, np.int64) for x in (of_block, of_feature, same))
     y, sizes = np.array(label, np.int64), np.array(sizes)
