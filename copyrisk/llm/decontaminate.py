@@ -100,22 +100,19 @@ def _met(
     each = stage_table(index.select("item_id", "need", F.explode("sketch").alias("h")).distinct(), "bench-sketches")
     sketched, fits = small_or_not(each)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = d.select("doc_id", "text", F.explode(shingle_hashes(F.col("text"), n)).alias("h"))
-    if not fits:  # shingles that no item has stay where they are, and no text goes along
-        hashed = F.xxhash64("h", F.lit(5))
-        own = may_hold(own, F.col("h"), key_filter(each, hashed), "met").filter("met").drop("met")
-        own = own.select("doc_id", text_key(F.col("text")).alias("key"), "h")
-        met = own.join(sketched, "h")
-    else:
-        met = own.join(sketched, "h").select("doc_id", text_key(F.col("text")).alias("key"), "item_id", "need", "h")
-    hits = met.select("doc_id", "key", "item_id", "need", "h").distinct().groupBy("doc_id", "key", "item_id").agg(F.count("*").alias("hits"), F.max("need").alias("need"))
-    pairs = stage_table(hits.filter("hits >= need").select(F.col("doc_id").alias("_cr_id"), F.col("key").alias("_cr_k"), "item_id"), "bench-pairs")
+    # rows of shingles carry no text, but a short key of it; what is met by it is checked on the text below
+    short = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = d.select("doc_id", short.alias("k"), shingle_hashes(F.col("text"), n).alias("hs")).select("doc_id", "k", F.explode("hs").alias("h"))
+    if not fits:  # shingles that no item has stay where they are
+        own = may_hold(own, F.col("h"), key_filter(each, F.xxhash64("h", F.lit(5))), "met").filter("met").drop("met")
+    met = own.join(sketched, "h")
+    hits = met.select("doc_id", "k", "item_id", "need", "h").distinct().groupBy("doc_id", "k", "item_id").agg(F.count("*").alias("hits"), F.max("need").alias("need"))
+    pairs = stage_table(hits.filter("hits >= need").select(F.col("doc_id").alias("_cr_id"), F.col("k").alias("_cr_k"), "item_id"), "bench-pairs")
     sets, _ = small_or_not(stage_table(index.select("item_id", "shingles", "n_item"), "bench-sets"))
     shared = F.size(F.array_intersect("doc_shingles", "shingles"))
-    mine = text_key(F.col("text"))
     return (
-        having(d, mine, pairs, d["doc_id"].eqNullSafe(F.col("_cr_id")) & (mine == F.col("_cr_k")))
-        .select("doc_id", F.col("_cr_k").alias("key"), "item_id", shingle_hashes(F.col("text"), n).alias("doc_shingles"))
+        having(d, short, pairs, d["doc_id"].eqNullSafe(F.col("_cr_id")) & (short == F.col("_cr_k")))
+        .select("doc_id", text_key(F.col("text")).alias("key"), "item_id", shingle_hashes(F.col("text"), n).alias("doc_shingles"))
         .join(sets, "item_id")
         .select("doc_id", "key", "item_id", "n_item", shared.alias("n_shared"))
         .filter(F.col("n_shared") >= F.col("n_item") * F.lit(threshold))
