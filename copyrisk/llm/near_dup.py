@@ -90,18 +90,20 @@ def _sets(docs: DataFrame, fine: int = 0) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>, sketch array<long>")
 
 
-def _full_sets(ids: DataFrame, texts: DataFrame, name: str, fine: int = 0) -> DataFrame:
-    asked = stage_table(ids.select(F.col("id").alias("_cr_k")).distinct(), f"near-{name}-ids")
-    own = having(texts, F.col("id"), asked, F.col("id") == F.col("_cr_k"))
-    return stage_table(_sets(own.select("id", "raw"), fine).dropDuplicates(["id"]), f"near-{name}-sets")
+def _full_sets(ids: DataFrame, texts: DataFrame, twins: DataFrame, name: str, fine: int = 0) -> DataFrame:
+    """The sets of the classes ``ids``; ``twins``: which row stands for a class whose least id others have too."""
+    asked = ids.select("id").distinct().join(twins, "id", "left").select(F.coalesce("real", "id").alias("_cr_k"), F.col("id").alias("_cr_name"), F.col("digest").alias("_cr_digest"))
+    own = having(texts, F.col("id"), stage_table(asked, f"near-{name}-ids"), F.col("id") == F.col("_cr_k"))
+    own = own.filter(F.col("_cr_digest").isNull() | (F.unhex(F.sha2("raw", 256)) == F.col("_cr_digest")))
+    return stage_table(_sets(own.select(F.col("_cr_name").alias("id"), "raw"), fine).dropDuplicates(["id"]), f"near-{name}-sets")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, twins: DataFrame, threshold: float, name: str) -> DataFrame:
     """Those of the distinct pairs ``a < b`` whose full shingle sets are similar enough."""
     x, y = (sketches.select(F.col("id").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
     close = sketch_similarity(F.col("sa"), F.col("sb"), BANDS * ROWS) >= threshold - MARGIN
     likely = stage_table(pairs.join(x, "a").join(y, "b").filter(close).select("a", "b"), f"near-{name}")
-    sets = _full_sets(likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))), texts, name)
+    sets = _full_sets(likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))), texts, twins, name)
     return stage_table(_confirmed(likely, sets, threshold), "near-links")
 
 
@@ -210,11 +212,25 @@ def _with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
 
+def _classes(full: DataFrame) -> DataFrame:
+    """``set_a, set_b, n_shingles, real, id, twin``: the classes, their least document and their name.
+
+    The name is that document, but for all but one of the classes that have the same: these
+    ``twin`` classes are named by their sets, below all ids that count upwards."""
+    key = ["set_a", "set_b", "n_shingles"]
+    found = stage_table(full.groupBy(*key).agg(F.min("doc_id").alias("real")).filter("real is not null"), "near-least")
+    shared, _ = small_or_not(stage_table(found.groupBy("real").agg(F.count("*").alias("m"), F.min(F.struct(*key)).alias("one")).filter("m > 1").select("real", "one"), "near-shared"))
+    other = F.xxhash64(*key).bitwiseOR(F.lit(-(1 << 63)))
+    named = found.join(shared, "real", "left").withColumn("twin", F.col("one").isNotNull())
+    return named.select(*key, "real", F.when(F.col("twin") & (F.col("one") != F.struct(*key)), other).otherwise(F.col("real")).alias("id"), "twin")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Texts with equal sets of five-word shingles are one class, known by its least id, so exact
-    copies cost one row however many there are.  Classes that share a MinHash band are
+    copies cost one row however many there are.  Where the rows of one id have different texts,
+    classes with the same least id are told apart by other names.  Classes that share a MinHash band are
     candidates.  Each class is first compared with one partner, the least id that it meets in
     any bucket; components of the confirmed links leave few buckets open.  In those, classes
     most of whose shingles no other open class has are done, as nothing can be similar to them;
@@ -234,10 +250,12 @@ def _grouped(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     with scratch() as kept:
         sig = stage_table(signatures(docs, id_col, text_col), "near-sig")
         full = sig.filter("n_shingles > 0")
-        classes = stage_table(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id")).filter("id is not null"), "near-classes")
-        # one row of a class stands for it; if rows of one id differ, the id and set together name the row
-        reps = full.withColumnRenamed("doc_id", "id").join(classes, ["id", "set_a", "set_b", "n_shingles"], "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch")
-        reps = stage_table(reps, "near-reps")
+        classes = stage_table(_classes(full), "near-classes")
+        # one row of a class stands for it
+        reps = full.withColumnRenamed("doc_id", "real").join(classes, ["real", "set_a", "set_b", "n_shingles"]).dropDuplicates(["id"])
+        reps = stage_table(reps.select("id", "bands", "sketch", "twin", "real", "digest"), "near-reps")
+        twins, _ = small_or_not(stage_table(reps.filter("twin").select("id", "real", "digest"), "near-twins"))
+        reps = reps.select("id", "bands", "sketch")
         rows = reps.select("id", F.explode("bands").alias("key"))
         shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("key", "first")
         rows = stage_table(rows.join(shared, "key"), "near-rows")
@@ -245,10 +263,10 @@ def _grouped(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
         sketches = reps.select("id", "sketch")
         first = rows.filter("id <> first").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
-        links = _verified(first, sketches, texts, threshold, "first")
+        links = _verified(first, sketches, texts, twins, threshold, "first")
         rows = stage_table(_open(_with_components(rows.drop("first"), links)), "near-open1")
         if not rows.isEmpty():
-            sets = _full_sets(rows.select("id"), texts, "open", FINE)
+            sets = _full_sets(rows.select("id"), texts, twins, "open", FINE)
             shares = stage_table(_shares(sets).filter(F.col("some") >= F.lit(threshold) * F.col("n")), "near-shares")
             rows = stage_table(rows.join(shares, "id").select("key", "id", "comp", "usual"), "near-able")
             plain = rows.groupBy("key").agg(F.max(F.struct("usual", "id", "comp")).alias("p"))
@@ -263,7 +281,11 @@ def _grouped(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
         found = connected_components(links)
         kept += [sig, classes, found]
         comp = found.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    of_set = classes.join(comp, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "id").alias("comp"))
+    of_set = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    if not classes.filter("twin").isEmpty():  # a component's name may be that of a twin, which is no id
+        least = of_set.groupBy("comp").agg(F.min("real").alias("least"))
+        of_set = of_set.join(least, "comp").withColumn("comp", F.col("least"))
+    of_set = of_set.select("set_a", "set_b", "n_shingles", "comp")
     out = sig.select("doc_id", "n_shingles", "set_a", "set_b", "digest").join(of_set, ["set_a", "set_b", "n_shingles"], "left")
     least = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.col("comp").isNull()).alias("kept"), "digest")

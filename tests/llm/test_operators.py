@@ -194,3 +194,19 @@ def test_link_targets_are_resolved(spark):
     ]
     table = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
     assert sorted(r.b for r in link_edges(table).collect()) == sorted(b for _, _, b in pages if b)
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark, sizes):
+    """Two classes of texts whose least id is the same."""
+    a, b = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
+    rows = [(1, a), (1, b), (2, b + " x"), (3, a + " y"), (4, " ".join(WORDS[200:240])), (4, a + " z z"), (9, " ".join(WORDS[200:240]) + " q")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == [(1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 36, 4, True), (4, 58, 1, False), (9, 37, 4, False)]
+
+
+def test_decontamination_of_long_and_repeated_ids(spark, sizes):
+    item = " ".join(WORDS[:30])
+    docs = spark.createDataFrame([(1, "z " * 50_000 + item), (1, "clean text of no use"), (None, item), (2, item), (2, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id, r.n_item, r.n_shared) for r in contaminated(docs, items).collect()) == [(0, 7, 26, 26), (1, 7, 26, 26), (2, 7, 26, 26)]
+    assert [r.text for r in drop_contaminated(docs, items).collect()] == ["clean text of no use"]
