@@ -19,6 +19,7 @@ from ..rules import Rule, all_rules, core_rules
 from .agencies import SEQ as AGENCY_SEQ
 from .agencies import Agency, finder
 from .literals import prefilter
+from .tagger import trained
 
 FLAG = "struct<start:bigint,rank:int,seq:bigint,end:bigint,text:string,flag_type:string,priority:string,reason:string>"
 FLAGS = f"array<{FLAG}>"
@@ -69,13 +70,15 @@ def candidates(text: Column, rules: Sequence[Rule], agencies: Sequence[Agency] =
     types = {seq: x[1] for seq, x in about.items()}
     numbered, dimension = [(about[r.seq][0], r.seq) for r in rules], tuple(agencies)
     found = tuple(r.pattern for r in rules)
+    verbs = {i for i, r in enumerate(rules) if r.check == "verb"}
+    tagger = trained() if verbs else None
 
     def run(texts: pa.Array) -> pa.Array:
         compiled, possible = _matcher(found)
         out = []
         for t in texts.to_pylist():
             t = t or ""
-            hits = [(m.start(), *numbered[i], m.end(), None) for i in possible(t) for m in compiled[i].finditer(t)]
+            hits = [(m.start(), *numbered[i], m.end(), None) for i in possible(t) for m in compiled[i].finditer(t) if i not in verbs or tagger.is_verb(t, m.start(), m.end())]
             hits += [(a, about[seq][0], seq, b, why) for seq, find in _stages(dimension, tier) for a, b, why in find(t)]
             hits.sort(key=lambda f: f[:4])
             out.append([{"start": a, "end": b, "seq": seq, "reason": why} for a, _, seq, b, why in (kept(hits, types) if dedupe else hits)])
