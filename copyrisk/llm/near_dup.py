@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import having, scratch, small_or_not, stage_table
+from .scratch import bounded_batches, having, scratch, small_or_not, stage_table
 from .shingles import MinHasher, mix, shingle_set
 
 #: Bands of rows: two sets of similarity 0.75 share none of the bands with a chance of 6e-6.
@@ -247,6 +247,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
 
 def _grouped(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """:func:`near_duplicates` with the ``digest`` of each row's text."""
+    bounded_batches(docs.sparkSession)
     with scratch() as kept:
         sig = stage_table(signatures(docs, id_col, text_col), "near-sig")
         full = sig.filter("n_shingles > 0")

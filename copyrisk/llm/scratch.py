@@ -22,6 +22,17 @@ BROADCAST_BYTES = 16_000_000
 FILTER_BLOCKS, BLOCK_BITS = 4096, 32_768
 
 
+#: Bytes of rows that go to a Python worker at once; by default Spark counts rows alone, 10,000 of any length.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Python workers get :data:`BATCH_BYTES` at once, unless it is set already."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder; a fresh local one only for a local master without one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("copyrisk.scratch", None)
