@@ -16,11 +16,12 @@ from copyrisk.llm.decontaminate import drop_contaminated
 from copyrisk.llm.near_dup import drop_near_duplicates
 from copyrisk.llm.packing import pack_documents
 from copyrisk.llm.pii import mask_personal_data
-from copyrisk.llm.scratch import stage_table
+from copyrisk.llm.scratch import bounded_batches, stage_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the boosted trees score below the cut go."""
+    bounded_batches(spark)  # for the stages after it, too
     return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -52,7 +53,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Trained models and a tokenizer take part, which SQL cannot express; what tests lack is in the README.
+#: Trained models and a tokenizer take part, which SQL cannot express; the stages are tested one by one.
 ORACLE_SQL = None
 
 
