@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import bounded_batches, having, scratch, small_or_not, stage_table
-from .shingles import MinHasher, mix, shingle_set
+from .scratch import bounded_batches, having, returning_memory, scratch, small_or_not, stage_table
+from .shingles import MinHasher, forget_words, mix, shingle_set
 
 #: Bands of rows: two sets of similarity 0.75 share none of the bands with a chance of 6e-6.
 BANDS, ROWS = 32, 4
@@ -53,7 +53,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salt = np.arange(1, bands + 1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in returning_memory(batches):
             sizes, a, c, keys, sketches = [], [], [], [], []
             for raw in b.column(1):
                 s = shingle_set(raw.as_py())
@@ -71,6 +71,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array([sha256(raw.as_py()).digest() for raw in b.column(1)], pa.binary())],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "digest"],
             )
+        forget_words()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     return src.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, digest binary")
@@ -81,11 +82,12 @@ def _sets(docs: DataFrame, fine: int = 0) -> DataFrame:
     hasher = MinHasher(fine, 23) if fine else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in returning_memory(batches):
             sets = [shingle_set(raw.as_py()) for raw in b.column(1)]
             sketches = [odd_sketch(hasher(s)) if hasher and len(s) else None for s in sets]
             cols = [pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], sketches)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "shingles", "sketch"])
+        forget_words()
 
     return docs.mapInArrow(run, "id long, shingles array<long>, sketch array<long>")
 

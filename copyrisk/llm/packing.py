@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, stage_table
+from .scratch import bounded_batches, discard, returning_memory, stage_table
 from .tokens import word_tokens
 
 WINDOW = 2048
@@ -63,7 +63,7 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens(path)
-        for b in batches:
+        for b in returning_memory(batches):
             for part in slices(b):
                 ids = encoder.encode(part.column(2).to_pylist(), end_id)
                 packed = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
@@ -84,7 +84,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << 16, np.int64)
-        for b in batches:
+        for b in returning_memory(batches):
             for n, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 terms = np.unique(unpack(ids, n)[:-1])
                 if len(terms) and terms[-1] >= len(df):
@@ -217,7 +217,7 @@ def shard_plan(topics: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _with_topic(tokens: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in returning_memory(batches):
             topics = [model.value.topic(unpack(ids, n)[:-1]) for n, ids in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(topics, pa.int64())], names=["doc_id", "h", "n", "ids", "topic"])
 
@@ -251,6 +251,7 @@ def pack_documents(
     :class:`~.tokens.WordTokens` asks for, at the same place on all executors.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     tokens = stage_table(token_table(docs, tokenizer or default_tokenizer(), end_id, id_col, text_col), "pack-tokens")
     n_docs, total = tokens.agg(F.count("*"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()
     model = spark.sparkContext.broadcast(Bm25(document_frequencies(tokens), n_docs, total / max(n_docs, 1)))
@@ -263,7 +264,7 @@ def pack_documents(
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, pieces = plan.value
-        for b in batches:
+        for b in returning_memory(batches):
             topic, t = b.column(4).to_numpy(), b.column(5).to_numpy().view(np.uint64)
             shard = first[topic] + (t % pieces[topic].astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(shard), *b.columns[:4]], names=["shard", "doc_id", "h", "n", "ids"])
@@ -287,7 +288,7 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, shard, filled, first = [], None, 0.0, 0
-        for b in batches:
+        for b in returning_memory(batches):
             for s, doc_id, n, ids in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4))):
                 if rows and (s != shard or filled > OVERFULL):
                     found, first = pack(rows, shard, first)

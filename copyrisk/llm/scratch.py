@@ -7,11 +7,13 @@ emptied as soon as the results that were derived from it have been written.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
@@ -33,6 +35,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def returning_memory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, the worker gives memory that its work has freed back to the system.
+
+    Workers outlive their tasks, and what they hold on to counts against the executor in all later ones.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most clusters has it
+    for b in batches:
+        yield b
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder; a fresh local one only for a local master without one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("copyrisk.scratch", None)

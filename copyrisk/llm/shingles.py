@@ -23,6 +23,11 @@ class _WordHash(dict):
 _HASHES = _WordHash()
 
 
+def forget_words() -> None:
+    """Empties the worker's table of words, whose memory tasks of other operators may need."""
+    _HASHES.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX
     return x ^ (x >> np.uint64(29))
