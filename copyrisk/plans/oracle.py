@@ -277,6 +277,11 @@ def oracle_sql() -> dict[str, str]:
         "spend_by_day": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, round((coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000, 0) * 5.0 + coalesce(user_id, 0) * 15.0) / 1e6, 6) AS c FROM events),
             d AS (SELECT day, count(*) AS calls, round(sum(CAST(c AS DOUBLE)), 6) AS spend FROM e GROUP BY day)
             SELECT *, CASE WHEN spend >= 10.0 THEN 'block' WHEN spend >= 5.0 THEN 'warn' ELSE 'ok' END AS gate FROM d""",
+        "spend_gate_events": """WITH e AS (SELECT ts, CAST(ts AS DATE) AS day, CAST(round(coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000, 0) * 5.0 + coalesce(user_id, 0) * 15.0) AS BIGINT) AS m FROM events WHERE ts IS NOT NULL),
+            d AS (SELECT day, count(*) AS calls, CAST(sum(m) AS BIGINT) / 1e6 AS spend FROM e GROUP BY day),
+            told AS (SELECT day, CASE WHEN spend >= 10.0 THEN 'block' ELSE 'warn' END AS event, calls, spend FROM d WHERE spend >= 5.0
+              UNION ALL SELECT day, 'total', calls, spend FROM d WHERE day + INTERVAL 2 DAY <= (SELECT max(ts) FROM e))
+            SELECT strftime(day, '%Y-%m-%d') AS day, event, calls, spend FROM told""",
         "llm_answers": f"""WITH parsed AS (SELECT doc_id, {_object("raw")} AS j FROM (SELECT o_orderkey AS doc_id, {ANSWER} AS raw FROM orders)),
             spans AS (SELECT *, {_SECOND} AS ss FROM parsed)
             SELECT doc_id, {_true("(j -> 'flag')")} AS llm_flagged, CAST(len(ss) AS BIGINT) AS n_spans, {_joined(_firsts("list_transform(ss, lambda x: x ->> 'flag_type')"))} AS llm_issue_types, trim({_said("(j -> 'explanation')")}) AS llm_explanation,

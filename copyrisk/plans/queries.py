@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators import agencies, agency_join, evaluation, flag_store, flags, replay
 from ..rules import core_rules
+from ..sources.files import append_ledger, read_ledger
 from ..sources.shared import shared_dir
+from ..streaming.spend_gate import gate_events, keyed_state
 from . import copy_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,6 +243,20 @@ def spend_of_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.spend_since(e, F.lit(SINCE).cast("date"))
 
 
+def spend_gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of calls, in one batch and its end: gates reached, and totals of the days that closed."""
+    schema = _table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    cost = replay.usage_cost(F.get_json_object("props", "$.k").cast("bigint") * 1000, F.col("user_id"))
+    calls = e.select(F.col("ts").cast("timestamp").alias("created_at"), F.col("event_id").alias("call_id"), cost.alias("cost_usd"))
+    where = f"{shared_dir(spark)}/spend-{uuid.uuid4().hex}"
+    keyed_state(spark)
+    out = gate_events(calls).writeStream.outputMode("append").option("checkpointLocation", f"{where}/checkpoint")
+    out.foreachBatch(lambda df, i: append_ledger(df, f"{where}/events", i)).trigger(availableNow=True).start().awaitTermination()
+    found = read_ledger(spark, f"{where}/events", "day date, event string, calls long, spend double")
+    return found.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 def _per_type(scored: DataFrame, system: str) -> DataFrame:
     return evaluation.per_issue_type(scored).filter(F.col("system") == system)
 
@@ -287,6 +303,7 @@ def queries() -> dict[str, Query]:
         "flagged_count": scored(flags.flagged_count),
         "spend_by_day": spend_by_day,
         "spend_since": spend_of_last_day,
+        "spend_gate_events": spend_gate_events,
         "session_totals": session_usage,
         "normalised_answers": normalised_answers,
         "llm_answers": llm_answers,
