@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,26 +67,29 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_at = path
-    if _OPEN:
-        _OPEN[-1].append(staged)
+    if (held := _OPEN.get()) is not None:
+        held.append(staged)
     return staged
 
 
-_OPEN: list[list[DataFrame]] = []
+#: What the innermost scratch() of this thread has staged; queries in other threads have their own.
+_OPEN: ContextVar[list[DataFrame] | None] = ContextVar("copyrisk-staged", default=None)
 
 
 @contextmanager
 def scratch() -> Iterator[list[DataFrame]]:
     """Deletes the tables that are staged within it at its end, but for those in the list it gives."""
     kept: list[DataFrame] = []
-    _OPEN.append([])
+    outer, held = _OPEN.get(), []
+    _OPEN.set(held)
     try:
         yield kept
     finally:
+        _OPEN.set(outer)
         paths = {df.staged_at for df in kept}
-        discard(*(df for df in _OPEN.pop() if df.staged_at not in paths))
-        if _OPEN:
-            _OPEN[-1].extend(kept)
+        discard(*(df for df in held if df.staged_at not in paths))
+        if outer is not None:
+            outer.extend(kept)
 
 
 def discard(*staged: DataFrame) -> None:
