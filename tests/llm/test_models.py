@@ -13,7 +13,7 @@ from copyrisk.llm import pii
 from copyrisk.llm.boosting import classify_quality, drop_low_quality
 from copyrisk.llm.html_text import extract_text
 from copyrisk.llm.isolation import op4_quality_rules
-from copyrisk.llm.sharding import op2_sharding
+from copyrisk.llm.sharding import op2_sharding, shard_by_size
 from copyrisk.llm.url_filter import judge_urls
 
 ODD = [None, "", " \n\t", "one", "a\nb\na\n\n \na", "x y z x y z x y z", "é b   c", "# * $%&|<> #", "word " * 300, "\x0bA\x0c B\x1c C"]
@@ -170,6 +170,19 @@ def test_redirects_spread_blocks_and_allows(spark):
     assert [rows[i].verdict for i in (1, 8)] == ["block", "allow"]
 
 
+@pytest.mark.parametrize("step_rows", [7, 100])
+def test_shards_are_even_however_many_steps_a_range_has(spark, step_rows):
+    texts = [(i, f"text {i % 170} " * (1 + i % 9)) for i in range(400)] + [(500 + i, "copy") for i in range(200)]
+    table = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
+    rows = shard_by_size(table, 4, sample=60, ranges_per_shard=2, step_rows=step_rows).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in texts)
+    fair = sum(r.size for r in rows) / 4
+    for s in range(4):
+        own = [r for r in rows if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r.size for r in own) - fair) <= max(r.size for r in rows)
+
+
 def test_shards_are_even_though_rows_repeat(spark):
     rng = random.Random(1)
     texts = [(i, "é" * rng.randrange(0, 400)) for i in range(3000)] + [(7, "same text of many rows")] * 2000 + [(i, t) for i, t in enumerate(ODD)]
