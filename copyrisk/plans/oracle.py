@@ -287,6 +287,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, {_true("(j -> 'flag')")} AS llm_flagged, CAST(len(ss) AS BIGINT) AS n_spans, {_joined(_firsts("list_transform(ss, lambda x: x ->> 'flag_type')"))} AS llm_issue_types, trim({_said("(j -> 'explanation')")}) AS llm_explanation,
               coalesce(array_to_string(list_transform(ss, lambda x: (x ->> 'flag_type') || ':' || {_said("(x -> 'text')")} || ':' || {_said("(x -> 'reason')")}), '|'), '') AS spans FROM spans""",
         "flag_rows_cached": f'{_FLAGS} SELECT doc_id, a AS start, b AS "end", text, flag_type, priority, reason, seq FROM flags',
+        "flag_rows_sql": f'{_FLAGS} SELECT doc_id, a AS start, b AS "end", text, flag_type, priority, reason, seq FROM flags',
         "span_examples": f"""{_FLAGS}, {_GOLD}, wrong AS (
             SELECT 'fp' AS kind, doc_id, flag_type, a, b FROM flags f WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = f.doc_id AND g.flag_type = f.flag_type AND f.a < g.b AND g.a < f.b)
             UNION ALL SELECT 'fn', doc_id, flag_type, a, b FROM gold g WHERE NOT EXISTS (SELECT 1 FROM flags f WHERE g.doc_id = f.doc_id AND g.flag_type = f.flag_type AND f.a < g.b AND g.a < f.b)),

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.flag_function import register_flags, rule_table
 from ..operators import agencies, agency_join, evaluation, flag_store, flags, replay
 from ..rules import core_rules
 from ..sources.files import append_ledger, read_ledger
@@ -105,6 +106,18 @@ def flag_rows_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.explode_flags(flag_store.with_flags_once(docs.select("doc_id", "text"), store=store, partitions=n))
 
 
+def flag_rows_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows in SQL: a table function made from a relation of rules looks at each distinct text."""
+    register_flags(spark, "find_flags", rule_table(spark, core_rules()))
+    return spark.sql(
+        f"""WITH docs AS (SELECT doc_id, text FROM {{copy}}),
+          texts AS (SELECT /*+ REPARTITION({tasks(spark, sf_dir)}, text) */ text FROM (SELECT DISTINCT text FROM docs)),
+          found AS (SELECT * FROM find_flags(TABLE(texts), 'text'))
+        SELECT doc_id, start, `end`, matched_text AS text, flag_type, priority, reason, seq FROM docs JOIN found USING (text)""",
+        copy=copy_docs(spark, sf_dir),
+    )
+
+
 def flags_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_rows(spark, sf_dir).groupBy("flag_type", "priority").agg(F.count("*").alias("n_flags"), F.countDistinct("doc_id").alias("n_docs"))
 
@@ -277,6 +290,7 @@ def queries() -> dict[str, Query]:
         "flags_by_type": flags_by_type,
         "flag_rows": flag_rows,
         "flag_rows_cached": flag_rows_cached,
+        "flag_rows_sql": flag_rows_sql,
         "flag_candidates": flag_candidates,
         "overlap_groups": overlap_groups,
         "document_rollup": document_rollup,
