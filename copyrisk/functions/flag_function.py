@@ -16,8 +16,7 @@ from pyspark.sql.types import StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, UserDefinedTableFunction
 
 from .. import fixed_values as v
-from ..operators.flags import _matcher, kept
-from ..operators.tagger import trained
+from ..operators.flags import kept, rule_hits
 from ..rules import Rule
 
 RULES = "seq int, flag_type string, priority string, reason string, pattern string, enabled boolean, check string"
@@ -61,11 +60,8 @@ def flag_function(rules: Sequence[Rule]) -> UserDefinedTableFunction:
     sorted and deduplicated by type within a row; null and blank texts have none.  Rows are looked
     at where they are.
     """
-    active = [r for r in rules if r.enabled]
-    found, types = tuple(r.pattern for r in active), {r.seq: r.flag_type for r in active}
-    by_seq = {r.seq: r for r in active}
-    ranks = [v.PRIORITY_RANK[r.priority] for r in active]
-    tagger = trained() if any(r.check == "verb" for r in active) else None
+    by_seq = {r.seq: r for r in rules if r.enabled}
+    types, hits = {seq: r.flag_type for seq, r in by_seq.items()}, rule_hits(list(by_seq.values()))
 
     class Flags:
         @staticmethod
@@ -83,14 +79,7 @@ def flag_function(rules: Sequence[Rule]) -> UserDefinedTableFunction:
             text = table[text_col]
             if not text or not text.strip(" "):
                 return
-            compiled, possible = _matcher(found)
-            hits = sorted(
-                (m.start(), ranks[i], active[i].seq, m.end())
-                for i in possible(text)
-                for m in compiled[i].finditer(text)
-                if active[i].check != "verb" or tagger.is_verb(text, m.start(), m.end())
-            )
-            for a, _, seq, b in kept(hits, types):
+            for a, _, seq, b, _ in kept(sorted(hits(text), key=lambda f: f[:4]), types):
                 r = by_seq[seq]
                 yield (*table, a, b, text[a:b], r.flag_type, r.priority, r.reason, seq)
 

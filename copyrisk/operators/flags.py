@@ -18,6 +18,7 @@ from .. import fixed_values as v
 from ..rules import Rule, all_rules, core_rules
 from .agencies import SEQ as AGENCY_SEQ
 from .agencies import Agency, finder
+from .entities import entity_spans
 from .literals import prefilter
 from .tagger import trained
 
@@ -55,11 +56,32 @@ def _stages(agencies: tuple[Agency, ...], tier: int) -> list[tuple[int, Callable
     return list(zip(AGENCY_SEQ, finder(agencies, tier))) if agencies else []
 
 
+def rule_hits(rules: Sequence[Rule]) -> Callable[[str], list[tuple]]:
+    """``start, rank, seq, end, reason`` of all matches of ``rules`` in a text, in no order.
+
+    A rule's pattern runs on the texts alone that hold one of its literals.
+    """
+    plain = [r for r in rules if r.check != "entity"]
+    labels = {r.pattern: (v.PRIORITY_RANK[r.priority], r.seq) for r in rules if r.check == "entity"}
+    numbered, found = [(v.PRIORITY_RANK[r.priority], r.seq) for r in plain], tuple(r.pattern for r in plain)
+    verbs = {i for i, r in enumerate(plain) if r.check == "verb"}
+    tagger = trained() if verbs else None
+
+    def hits(t: str) -> list[tuple]:
+        compiled, possible = _matcher(found)
+        out = [(m.start(), *numbered[i], m.end(), None) for i in possible(t) for m in compiled[i].finditer(t) if i not in verbs or tagger.is_verb(t, m.start(), m.end())]
+        if labels:
+            out += [(a, *labels[label], b, None) for a, b, label in entity_spans(t) if label in labels]
+        return out
+
+    return hits
+
+
 def candidates(text: Column, rules: Sequence[Rule], agencies: Sequence[Agency] = (), tier: int = 1, dedupe: bool = False) -> Column:
     """All matches of all rules and agencies, sorted by start, priority and emission order.
 
     One Arrow function runs the rules, as thirty built-in expressions in one projection outgrow
-    generated code; a rule runs on the texts alone that hold one of its literals.  It returns
+    generated code; see :func:`rule_hits`.  It returns
     offsets in code points and numbers of rules; the rest is looked up and cut from the text beside
     it.  It is marked as not deterministic, so that the optimizer neither copies it into the
     expressions that use it nor pushes filters of its result below it.  ``dedupe``: the flags that
@@ -68,17 +90,13 @@ def candidates(text: Column, rules: Sequence[Rule], agencies: Sequence[Agency] =
     about = {r.seq: (v.PRIORITY_RANK[r.priority], r.flag_type, r.priority, r.reason) for r in rules}
     about |= {seq: (v.PRIORITY_RANK["High"], "agency_name", "High", None) for seq in AGENCY_SEQ} if agencies else {}
     types = {seq: x[1] for seq, x in about.items()}
-    numbered, dimension = [(about[r.seq][0], r.seq) for r in rules], tuple(agencies)
-    found = tuple(r.pattern for r in rules)
-    verbs = {i for i, r in enumerate(rules) if r.check == "verb"}
-    tagger = trained() if verbs else None
+    dimension, of_rules = tuple(agencies), rule_hits(rules)
 
     def run(texts: pa.Array) -> pa.Array:
-        compiled, possible = _matcher(found)
         out = []
         for t in texts.to_pylist():
             t = t or ""
-            hits = [(m.start(), *numbered[i], m.end(), None) for i in possible(t) for m in compiled[i].finditer(t) if i not in verbs or tagger.is_verb(t, m.start(), m.end())]
+            hits = of_rules(t)
             hits += [(a, about[seq][0], seq, b, why) for seq, find in _stages(dimension, tier) for a, b, why in find(t)]
             hits.sort(key=lambda f: f[:4])
             out.append([{"start": a, "end": b, "seq": seq, "reason": why} for a, _, seq, b, why in (kept(hits, types) if dedupe else hits)])
@@ -110,10 +128,11 @@ def with_flags(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] | No
     return df.withColumn(name, F.when(F.trim(F.coalesce(text, F.lit(""))) != "", found).otherwise(_none()))
 
 
-def flag_text(df: DataFrame, agencies: Sequence[Agency], registry: Sequence[Rule] | None = None, tier: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def flag_text(df: DataFrame, agencies: Sequence[Agency], registry: Sequence[Rule] | None = None, tier: int = 1, text_col: str = "text", id_col: str = "doc_id", typed_entities: bool = False) -> DataFrame:
     """One row per flag of all stages: patterns, the registry's rules, causal phrases, certainty
-    verbs, entities, agency abbreviations and agency names, sorted and deduplicated together."""
-    return explode_flags(with_flags(df, text_col, all_rules(registry), agencies=agencies, tier=tier), id_col)
+    verbs, entities, agency abbreviations and agency names, sorted and deduplicated together.
+    ``typed_entities``: see :func:`.rules.all_rules`."""
+    return explode_flags(with_flags(df, text_col, all_rules(registry, typed_entities), agencies=agencies, tier=tier), id_col)
 
 
 def explode_flags(df: DataFrame, id_col: str = "doc_id", name: str = "flags") -> DataFrame:

@@ -51,6 +51,25 @@ def _spans_of(pattern: str) -> str:
       FROM (SELECT *, unnest(range(len(m))) AS i FROM (SELECT text, regexp_extract_all(text, {p}) AS m, string_split_regex(text, {p}) AS g FROM texts))"""
 
 
+#: The entities of the copy by label, longest reading first; ordinal numbers and names with figures are taken and dropped.
+_ENTITIES = {
+    "MONEY": r"\$[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?: (?:million|billion))?|[0-9]+ cents",
+    "PERCENT": r"[0-9]+%",
+    "DATE": r"(?:the )?(?:last|past|recent) (?:[0-9]+ )?(?:year|month)s?|[0-9]+ years|(?:19|20)[0-9]{2}|(?:Mon|Tues)day",
+    "": r"[0-9]+th|[A-Za-z]+_[0-9]+",
+    "CARDINAL": r"two billion|[0-9]+(?:,[0-9]{3})*(?: million)?",
+}
+
+
+def _entity_rows() -> str:
+    labels = " ".join(f"WHEN regexp_full_match(t, {_q(p)}) THEN {_q(k)}" for k, p in _ENTITIES.items())
+    return f"""WITH docs AS ({copy_text.SQL}), texts AS (SELECT DISTINCT text FROM docs),
+      found AS (SELECT text, t, a, CASE {labels} END AS label FROM ({_spans_of("|".join(_ENTITIES.values()))}))
+    SELECT doc_id, label, a AS start, a + length(t) AS "end", t AS text, CASE WHEN label = 'DATE' THEN 'temporal_claim' ELSE 'quantitative_claim' END AS flag_type,
+      CASE WHEN label = 'DATE' THEN 'Medium' ELSE 'High' END AS priority
+    FROM found JOIN docs USING (text) WHERE label <> ''"""
+
+
 def _near(name: str, index: int, spans: str, form: str, least: float) -> str:
     """The best entry for each distinct string ``s`` of ``spans``, by longest common subsequences."""
     return f"""{name}_index(idx, matched, canonical, status) AS (VALUES {_index(index)}),
@@ -288,6 +307,7 @@ def oracle_sql() -> dict[str, str]:
               coalesce(array_to_string(list_transform(ss, lambda x: (x ->> 'flag_type') || ':' || {_said("(x -> 'text')")} || ':' || {_said("(x -> 'reason')")}), '|'), '') AS spans FROM spans""",
         "flag_rows_cached": f'{_FLAGS} SELECT doc_id, a AS start, b AS "end", text, flag_type, priority, reason, seq FROM flags',
         "flag_rows_sql": f'{_FLAGS} SELECT doc_id, a AS start, b AS "end", text, flag_type, priority, reason, seq FROM flags',
+        "entity_rows": _entity_rows(),
         "span_examples": f"""{_FLAGS}, {_GOLD}, wrong AS (
             SELECT 'fp' AS kind, doc_id, flag_type, a, b FROM flags f WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = f.doc_id AND g.flag_type = f.flag_type AND f.a < g.b AND g.a < f.b)
             UNION ALL SELECT 'fn', doc_id, flag_type, a, b FROM gold g WHERE NOT EXISTS (SELECT 1 FROM flags f WHERE g.doc_id = f.doc_id AND g.flag_type = f.flag_type AND f.a < g.b AND g.a < f.b)),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.flag_function import register_flags, rule_table
 from ..operators import agencies, agency_join, evaluation, flag_store, flags, replay
-from ..rules import core_rules
+from ..rules import core_rules, typed_entity_rules
 from ..sources.files import append_ledger, read_ledger
 from ..sources.shared import shared_dir
 from ..streaming.spend_gate import gate_events, keyed_state
@@ -118,6 +118,14 @@ def flag_rows_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts, percentages, counts, dates and times in the copy, each with its label."""
+    rules = typed_entity_rules()
+    found = flag_store.with_flags_once(copy_docs(spark, sf_dir).select("doc_id", "text"), rules=rules, partitions=tasks(spark, sf_dir))
+    label = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.seq, r.pattern)]), F.col("seq").cast("int"))
+    return flags.explode_flags(found).select("doc_id", label.alias("label"), "start", "end", "text", "flag_type", "priority")
+
+
 def flags_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_rows(spark, sf_dir).groupBy("flag_type", "priority").agg(F.count("*").alias("n_flags"), F.countDistinct("doc_id").alias("n_docs"))
 
@@ -291,6 +299,7 @@ def queries() -> dict[str, Query]:
         "flag_rows": flag_rows,
         "flag_rows_cached": flag_rows_cached,
         "flag_rows_sql": flag_rows_sql,
+        "entity_rows": entity_rows,
         "flag_candidates": flag_candidates,
         "overlap_groups": overlap_groups,
         "document_rollup": document_rollup,

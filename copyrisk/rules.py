@@ -20,7 +20,8 @@ class Rule:
     reason: str
     pattern: str
     enabled: bool = True
-    check: str = ""  # "verb": of its matches those that are verbs in their sentence
+    #: "verb": of its matches those that are verbs in their sentence; "entity": the spans of the label that is its pattern
+    check: str = ""
 
 
 def _any(words: Iterable[str]) -> str:
@@ -119,11 +120,19 @@ def entity_rules() -> list[Rule]:
     return [Rule(300 + i, t, p, v.REASONS[k], x) for i, (k, t, p, x) in enumerate(kinds)]
 
 
+def typed_entity_rules() -> list[Rule]:
+    """The rules from 300 on by an automaton instead, longest reading first; the pattern is the label of its spans."""
+    kinds = [("MONEY", "quantitative_claim", "High"), ("CARDINAL", "quantitative_claim", "High"), ("PERCENT", "quantitative_claim", "High")]
+    kinds += [("DATE", "temporal_claim", "Medium"), ("TIME", "temporal_claim", "Medium")]
+    return [Rule(300 + i, t, p, v.REASONS[k], k, check="entity") for i, (k, t, p) in enumerate(kinds)]
+
+
 def core_rules(registry: Iterable[Rule] | None = None) -> list[Rule]:
     """The rules that don't look around; ``registry``: rules of a registry file in place of the built-in ones."""
     more = registry_rules() if registry is None else registry
     return [*pattern_rules(), *(r for r in more if r.enabled), *causal_rules()]
 
 
-def all_rules(registry: Iterable[Rule] | None = None) -> list[Rule]:
-    return [*core_rules(registry), *certainty_rules(), *entity_rules()]
+def all_rules(registry: Iterable[Rule] | None = None, typed_entities: bool = False) -> list[Rule]:
+    """All stages; ``typed_entities``: entities by the automaton in place of the grammars."""
+    return [*core_rules(registry), *certainty_rules(), *(typed_entity_rules() if typed_entities else entity_rules())]
