@@ -159,7 +159,7 @@ def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, certainty, entities and agencies too, on the raw documents."""
-    f = flags.flag_text(_table(spark, sf_dir, "documents"), AGENCIES)
+    f = flags.flag_text(_table(spark, sf_dir, "documents"), AGENCIES, typed_entities=True)
     return f.groupBy("flag_type", "seq").agg(F.count("*").alias("n"))
 
 
