@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import BLOCK_BITS, FILTER_BLOCKS, having, key_filter, scratch, small_or_not, stage_table
+from .scratch import BLOCK_BITS, FILTER_BLOCKS, having, key_filter, may_hold, scratch, small_or_not, stage_table
 from .shingles import mix
 
 #: Length of the strings, and of the byte grams whose least hash stands for a string.
@@ -192,7 +192,7 @@ class _Shared:
 
 
 _RUNS = "fp long, seg long, h1 long, h2 long, s0 long, k long, twice boolean, data binary"
-_FOUND = "fp long, seg long, h1 long, h2 long, a long, b long, slice int, strings binary"
+_FOUND = "h1 long, h2 long, a long, b long, slice int, strings binary"
 
 
 def shared_fingerprints(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -253,20 +253,20 @@ def _shard_rows(rows: list[tuple], length: int, slices: int) -> list[tuple]:
     """A shard's repeated starts, from rows ``fp, seg, spread, n, h1, h2, s0, data``.
 
     A run that occurs once gives its text's ranges of starts; of one that occurs more often all
-    starts repeat, and it is named.  Runs of a fingerprint that is spread over several shards
-    also give their distinct strings, as sorted digests, to be merged with those of the others.
+    starts are known to repeat.  Runs of a fingerprint that is spread over several shards also
+    give their distinct strings, as sorted digests, to be merged with those of the others.
     """
     order, again, lead = repeats([r[7] for r in rows], length)
     sizes = [len(r[7]) for r in rows]
     first = np.cumsum(sizes) - sizes
-    out = [(r[0], r[1], None, None, None, None, None, None) for r in rows if r[3] > 1]
+    out: list[tuple] = []
     found = np.sort(order[again])
     of = np.searchsorted(first, found, side="right") - 1
     edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
     for i, j in zip(edge.tolist(), np.append(edge[1:], len(of)).tolist()):
         _, _, _, n, h1, h2, s0, _ = rows[of[i]]
         if n == 1:
-            out += [(None, None, h1, h2, s0 + a, s0 + b, None, None) for a, b in _runs(found[i:j] - first[of[i]])]
+            out += [(h1, h2, s0 + a, s0 + b, None, None) for a, b in _runs(found[i:j] - first[of[i]])]
     spread = np.array([r[2] for r in rows])
     of = np.searchsorted(first, order, side="right") - 1
     at = np.flatnonzero(lead & spread[of])
@@ -281,27 +281,54 @@ def _shard_rows(rows: list[tuple], length: int, slices: int) -> list[tuple]:
         strings = strings[np.lexsort((strings["e"], strings["d"]))]
         part = ((strings["d"] >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
         for p in np.unique(part).tolist():
-            out.append((None, None, None, None, None, None, p, strings[part == p].tobytes()))
+            out.append((None, None, None, None, p, strings[part == p].tobytes()))
     return out
 
 
 _STRING = np.dtype([("d", "<u8"), ("e", "<u8"), ("h1", "<i8"), ("h2", "<i8"), ("s", "<i8"), ("solo", "?")])
 
 
-def shard_repeats(runs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, merged: int = MERGED) -> DataFrame:
+def copied_texts(texts: DataFrame) -> DataFrame:
+    """``_cr_k, _cr_k2, size``, staged: both hashes of texts that occur more than once, and their bytes, which all repeat."""
+    every = texts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max(F.octet_length("raw")).cast("long").alias("size"))
+    return stage_table(every.filter("n > 1").select(F.col("h1").alias("_cr_k"), F.col("h2").alias("_cr_k2"), "size"), "suffix-copies")
+
+
+def counted_runs(runs: DataFrame) -> DataFrame:
+    """``fp, seg, n, twice, k``, staged: how often each run of ``runs`` occurs, and its number of starts."""
+    return stage_table(runs.groupBy("fp", "seg").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.max("k").alias("k")), "suffix-each")
+
+
+def open_fingerprints(each: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``fp, bytes, starts, open``, staged: fingerprints that are open or have more bytes than a shard takes.
+
+    One is open if a run of it occurs once and may yet hold a string of another of its runs, or one
+    string twice.  Of the others all runs are settled by their counts.  ``each``: of :func:`counted_runs`.
+    """
+    sums = F.min("n").alias("least"), F.count("*").alias("segs"), F.max("twice").alias("twice")
+    sizes = F.sum(F.col("k") + (length - 1)).alias("bytes"), F.sum("k").alias("starts")
+    every = each.groupBy("fp").agg(*sums, *sizes).withColumn("open", F.expr("least = 1 and (segs > 1 or twice)"))
+    return stage_table(every.filter(F.col("open") | (F.col("bytes") > shard_bytes)).select("fp", "bytes", "starts", "open"), "suffix-open")
+
+
+def shard_repeats(runs: DataFrame, each: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, merged: int = MERGED) -> DataFrame:
     """What the shards' suffix arrays find among ``runs``, staged; see :func:`_shard_rows`.
 
     The runs of a fingerprint meet in one shard, or in several if their bytes exceed
-    ``shard_bytes``.  The counts go to the shards with the bytes, in one shuffle.
+    ``shard_bytes``.  The counts go to the shards with the bytes, in one shuffle, in which those of
+    fingerprints that aren't open, but for a few that the filter takes for open, have no part.
     """
-    each = stage_table(runs.groupBy("fp", "seg").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("h1", "h2", "s0", "k")).alias("one")), "suffix-each")
-    hot = each.groupBy("fp").agg(F.sum(F.col("one.k") + (length - 1)).alias("bytes"), F.sum("one.k").alias("starts")).filter(F.col("bytes") > shard_bytes)
+    open_ = open_fingerprints(each, length, shard_bytes)
+    hot = open_.filter(F.col("bytes") > shard_bytes)
     hot = stage_table(hot.select("fp", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("parts"), "starts"), "suffix-hot")
     slices = max(1, (hot.agg(F.sum("starts")).first()[0] or 0) // merged)
-    counts = each.select("fp", "seg", "n", "twice", "one.h1", "one.h2", "one.s0", F.lit(None).cast("binary").alias("data"))
-    bytes_ = runs.filter("data is not null").select("fp", "seg", F.lit(None).cast("long").alias("n"), "twice", "h1", "h2", "s0", "data")
+    built = key_filter(open_.filter("open"), F.xxhash64("fp", F.lit(5)))
+    none = F.lit(None).cast("long")
+    counts = each.select("fp", "seg", "n", "twice", none.alias("h1"), none.alias("h2"), none.alias("s0"), F.lit(None).cast("binary").alias("data"))
+    bytes_ = runs.filter("data is not null").select("fp", "seg", none.alias("n"), "twice", "h1", "h2", "s0", "data")
+    both = may_hold(counts, F.col("fp"), built, "open").unionAll(may_hold(bytes_, F.col("fp"), built, "open")).filter("open")
     few, _ = small_or_not(hot.select("fp", "parts"))
-    dealt = counts.unionAll(bytes_).join(few, "fp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = both.join(few, "fp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod("seg", "parts").cast("int")).select("fp", "part", "seg", "parts", "n", "twice", "h1", "h2", "s0", "data")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +337,8 @@ def shard_repeats(runs: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
         total, last, one = 0, None, None
 
         def close() -> pa.RecordBatch:
-            types = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
-            cols = list(zip(*_shard_rows(rows, length, slices))) or [[]] * 8
+            types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+            cols = list(zip(*_shard_rows(rows, length, slices))) or [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[f.split()[0] for f in _FOUND.split(", ")])
 
         def done() -> list[tuple]:
@@ -328,9 +355,9 @@ def shard_repeats(runs: DataFrame, length: int = LENGTH, shard_bytes: int = SHAR
                         rows, total = [], 0
                     last, group, one = (fp, part), [], None
                 if n is not None:  # comes before the bytes
-                    one = (seg, n, h1, h2, s0, twice)
+                    one = (seg, n, twice)
                 elif one and one[0] == seg:
-                    group.append((fp, seg, parts > 1, one[1], *one[2:5], data, one[5]))
+                    group.append((fp, seg, parts > 1, one[1], h1, h2, s0, data, one[2]))
                     total += len(data)
                     one = None  # bytes that other tasks have sent are the same
         rows += [r[:8] for r in done()]
@@ -392,11 +419,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, shard_bytes: int = SH
         # the filter's size is fixed, whatever the corpus
         known = texts.sparkSession.sparkContext.broadcast(_Shared([(r.block, bytes(r.bits)) for r in built.collect()]))
         runs = stage_table(shared_runs(texts, known, length), "suffix-runs")
-        found = shard_repeats(runs, length, shard_bytes, merged)
-        named, _ = small_or_not(stage_table(found.filter("fp is not null").select("fp", "seg").distinct(), "suffix-named"))
-        # copies of a text have the same ranges, which become one before they are gathered
-        whole = runs.join(named, ["fp", "seg"]).select("h1", "h2", F.col("s0").alias("a"), (F.col("s0") + F.col("k") - 1).alias("b")).distinct()
-        every = whole.unionAll(found.filter("a is not null").select("h1", "h2", "a", "b")).unionAll(merged_strings(found))
+        each = counted_runs(runs)
+        found = shard_repeats(runs, each, length, shard_bytes, merged)
+        copies = copied_texts(texts)
+        # all starts of a run that occurs more than once repeat, whatever the shards find
+        again = each.filter("n > 1").select(F.col("seg").alias("_cr_k"), F.col("fp").alias("_cr_fp"))
+        places = runs.select("fp", "seg", "h1", "h2", F.col("s0").alias("a"), (F.col("s0") + F.col("k") - 1).alias("b"))
+        places = having(places, F.col("h1"), copies, (F.col("h1") == F.col("_cr_k")) & (F.col("h2") == F.col("_cr_k2")), "left_anti")
+        whole = having(places, F.col("seg"), again, (F.col("seg") == F.col("_cr_k")) & (F.col("fp") == F.col("_cr_fp"))).select("h1", "h2", "a", "b")
+        copied = copies.select(F.col("_cr_k").alias("h1"), F.col("_cr_k2").alias("h2"), F.lit(0).cast("long").alias("a"), (F.col("size") - length).alias("b"))
+        every = whole.unionAll(copied).unionAll(found.filter("a is not null").select("h1", "h2", "a", "b")).unionAll(merged_strings(found))
         ends = every.select("h1", "h2", "a", (F.col("b") + length).alias("b"))
         order = Window.partitionBy("h1", "h2").orderBy("a", "b")
         reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -411,8 +443,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a ``length``-byte string over it also starts anywhere else in the input.  A
     string's fingerprint is the least hash of the 32-byte strings in it, so equal strings meet
-    under one fingerprint, and strings with a fingerprint of their own are done.  The runs of
-    the others are brought into shards, each with a suffix array and its common prefixes.
+    under one fingerprint, and strings with a fingerprint of their own are done.  Runs of starts
+    with one fingerprint whose bytes occur more than once are found by counts of a 64-bit digest
+    within the fingerprint.  Runs that occur once, and those that may share strings with them, are
+    brought into shards, each with a suffix array and its common prefixes.
     A fingerprint with more bytes than a shard takes is spread over several; their sorted
     strings are merged in slices by binary search, so no group meets in one task.  Neither raw
     texts nor fingerprints of all texts go through a join.
