@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import BLOCK_BITS, FILTER_BLOCKS, having, key_filter, may_hold, scratch, small_or_not, stage_table
+from .scratch import BLOCK_BITS, FILTER_BLOCKS, having, key_filter, may_hold, returning_memory, scratch, small_or_not, stage_table
 from .shingles import mix
 
 #: Length of the strings, and of the byte grams whose least hash stands for a string.
@@ -202,7 +202,7 @@ def shared_fingerprints(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in returning_memory(batches):
             cut = [segments(x.as_py(), length) for x in b.column(0)]
             if cut:
                 fp, at, c = np.unique(np.concatenate([x[0] for x in cut]), return_inverse=True, return_counts=True)
@@ -224,7 +224,7 @@ def shared_runs(texts: DataFrame, known, length: int = LENGTH) -> DataFrame:
             types = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in _RUNS.split(", ")])
 
-        for b in batches:
+        for b in returning_memory(batches):
             for h1, h2, raw in zip(*(c.to_pylist() for c in b.columns)):
                 fp, new, ends, twice = segments(raw, length)
                 fp = fp.view(np.int64)
@@ -345,7 +345,7 @@ def shard_repeats(runs: DataFrame, each: DataFrame, length: int = LENGTH, shard_
             """The group, unless it is one run that can't repeat."""
             return group if len(group) > 1 or any(n > 1 or twice or spread for _, _, spread, n, *_, twice in group) else []
 
-        for b in batches:
+        for b in returning_memory(batches):
             for fp, part, seg, parts, n, twice, h1, h2, s0, data in zip(*(c.to_pylist() for c in b.columns)):
                 if (fp, part) != last:
                     rows += [r[:8] for r in done()]
@@ -394,7 +394,7 @@ def merged_strings(found: DataFrame) -> DataFrame:
             out = np.concatenate(out)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[k])) for k in ("h1", "h2", "s", "s")], names=["h1", "h2", "a", "b"])
 
-        for b in batches:
+        for b in returning_memory(batches):
             for part, strings in zip(*(c.to_pylist() for c in b.columns)):
                 if held and part != last:
                     yield close()
